@@ -17,10 +17,8 @@ FIRM_GSTIN = "07AABCF0001A1Z5"
 B2CL_THRESHOLD = 50000
 REGISTRATIONS = {"MH": "27AABCM0001A1Z5", "HR": "06AABCH0001A1Z5"}
 
-LINE_ORDER = [
-    "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
-    "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus",
-]
+# Unique on every data set and a total order of arrival.
+LINE_ORDER = ["l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,14 +51,14 @@ def date_text(d: Column, key: Column) -> Column:
     )
 
 
-def _amounts(lines: DataFrame, state: Column) -> DataFrame:
-    """Gross, taxable, GST rate and taxes of a line whose party sits in ``state``."""
+def _amounts(lines: DataFrame) -> DataFrame:
+    """Gross, taxable, GST rate and taxes of a line whose party sits in ``party_state``."""
     steps = F.round(F.col("l_tax") * 100).cast("int")
     rate = (
         F.when(steps == 0, 0).when(steps <= 2, 5).when(steps <= 4, 12).when(steps <= 7, 18)
         .otherwise(28).cast("decimal(2,0)")
     )
-    home = state == FIRM_STATE
+    home = F.col("party_state") == FIRM_STATE
     gross = F.col("l_extendedprice").cast("decimal(12,2)")
     out = lines.select(
         "*", gross.alias("gross"), rate.alias("pct"), home.alias("home"),
@@ -91,117 +89,125 @@ def _hsn(ptype: Column) -> Column:
     return chain
 
 
-def _seq() -> Column:
-    return F.struct(*LINE_ORDER)
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header attributes, worked out once per order and not once per line."""
+    okey = F.col("o_orderkey")
+    original = F.concat(
+        F.when(okey % 17 == 0, "OX").when(okey % 2 == 0, "MH").otherwise("HR"), digits(okey, 7)
+    )
+    return read(spark, sf_dir, "orders").select(
+        okey.alias("okey"), F.col("o_custkey").alias("ckey"), "o_orderdate",
+        F.concat(F.lit("B"), F.date_format("o_orderdate", "yyyyMM")).alias("batch_id"),
+        date_text(F.col("o_orderdate"), okey).alias("voucher_date"),
+        original.alias("original_no"), digits(okey, 7).alias("order_digits"),
+    )
 
 
-def sales_lines(spark: SparkSession, sf_dir: str, part: bool = True) -> DataFrame:
-    """Outward supplies: every lineitem row, sold to the customer of its order."""
-    li = read(spark, sf_dir, "lineitem")
-    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    cust = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
-    rows = li.join(orders, li.l_orderkey == orders.o_orderkey).join(
-        cust, F.col("o_custkey") == F.col("c_custkey")
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, state = F.col("c_custkey"), state_of(F.col("c_nationkey"))
+    pos = (
+        F.when(key % 23 == 0, "OUTSIDE INDIA").when(key % 3 == 0, F.lit(None))
+        .when(key % 3 == 1, state).otherwise(F.concat(state, F.lit("-State")))
+    )
+    return read(spark, sf_dir, "customer").select(
+        key.alias("ckey"), F.col("c_name").alias("party_ledger_name"),
+        F.col("c_mktsegment").alias("tenant_id"), state.alias("party_state"),
+        gstin(state, key).alias("party_gstin"), pos.alias("place_of_supply"),
     )
+
+
+def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, state = F.col("s_suppkey"), state_of(F.col("s_nationkey"))
+    given = (
+        F.when(key % 6 == 0, "YES").when(key % 6 == 1, "eligible").when(key % 6 == 2, "PARTIAL")
+        .when(key % 6 == 3, "NIL_RATED").when(key % 6 == 4, "no")
+    )
+    return read(spark, sf_dir, "supplier").select(
+        key.alias("skey"), F.col("s_name").alias("party_ledger_name"), state.alias("party_state"),
+        gstin(state, key).alias("party_gstin"), given.alias("itc_category"),
+    )
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("item"),
+        _hsn(F.col("p_type")).alias("hsn"),
+    )
+
+
+def _with_parts(rows: DataFrame, spark: SparkSession, sf_dir: str, part: bool) -> DataFrame:
     if part:
-        items = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
-        rows = rows.join(items, F.col("l_partkey") == F.col("p_partkey"))
-        name, hsn = F.col("p_name"), _hsn(F.col("p_type"))
-    else:
-        name, hsn = F.lit("item"), F.lit(None).cast("string")
-    okey, ckey, line = F.col("l_orderkey"), F.col("c_custkey"), F.col("l_linenumber")
-    state = state_of(F.col("c_nationkey"))
-    rows = _amounts(rows, state)
+        return rows.join(_parts(spark, sf_dir), "l_partkey")
+    return rows.select("*", F.lit("item").alias("item"), F.lit(None).cast("string").alias("hsn"))
 
-    original = F.concat(
-        F.when(okey % 17 == 0, "OX").when(okey % 2 == 0, "MH").otherwise("HR"), digits(okey, 7)
+
+def sales_lines(spark: SparkSession, sf_dir: str, part: bool = True) -> DataFrame:
+    """Outward supplies: every lineitem row, sold to the customer of its order."""
+    rows = (
+        read(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "okey")
+        .join(_orders(spark, sf_dir), "okey").join(_customers(spark, sf_dir), "ckey")
     )
+    rows = _amounts(_with_parts(rows, spark, sf_dir, part))
+    okey, line = F.col("okey"), F.col("l_linenumber")
     credit = F.col("l_returnflag") == "R"
     debit = (F.col("l_returnflag") == "A") & (line == 7)
-    vtype = F.when(credit, "Credit Note").when(debit, "Debit Note").otherwise("Sales")
+    original = F.col("original_no")
     built = F.col("taxable") + F.col("cgst") + F.col("sgst") + F.col("igst")
     total = F.when(okey % 37 == 0, 0).when(okey % 41 == 0, built + 5).otherwise(built)
-    pos = (
-        F.when(ckey % 23 == 0, "OUTSIDE INDIA").when(ckey % 3 == 0, F.lit(None))
-        .when(ckey % 3 == 1, state).otherwise(F.concat(state, F.lit("-State")))
-    )
     paise = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     unit_price = F.floor(paise / F.col("l_quantity").cast("bigint"))
-    cols = rows.select(
-        _seq().alias("seq"),
-        okey.cast("string").alias("task_id"),
-        F.concat(F.lit("B"), F.date_format("o_orderdate", "yyyyMM")).alias("batch_id"),
-        F.col("c_mktsegment").alias("tenant_id"),
-        date_text(F.col("o_orderdate"), okey).alias("voucher_date"),
-        vtype.alias("voucher_type"),
-        F.when(credit, F.concat(F.lit("CR"), digits(okey, 7)))
-        .when(debit, F.concat(F.lit("DN"), digits(okey, 7))).otherwise(original).alias("invoice_no"),
-        F.col("c_name").alias("party_ledger_name"),
-        gstin(state, ckey).alias("party_gstin"),
-        pos.alias("place_of_supply"),
-        F.when(credit | debit, F.concat(name, F.lit(" (against "), original, F.lit(")")))
-        .otherwise(name).alias("particulars"),
-        hsn.alias("hsn"),
-        F.col("l_quantity").alias("qty"),
+    lines = rows.select(
+        F.struct(F.col("okey").alias("l_orderkey"), *LINE_ORDER[1:]).alias("seq"),
+        okey.cast("string").alias("task_id"), "batch_id", "tenant_id", "voucher_date",
+        F.when(credit, "Credit Note").when(debit, "Debit Note").otherwise("Sales").alias("voucher_type"),
+        F.when(credit, F.concat(F.lit("CR"), "order_digits"))
+        .when(debit, F.concat(F.lit("DN"), "order_digits")).otherwise(original).alias("invoice_no"),
+        "party_ledger_name", "party_gstin", "place_of_supply",
+        F.when(credit | debit, F.concat("item", F.lit(" (against "), original, F.lit(")")))
+        .otherwise(F.col("item")).alias("particulars"),
+        "hsn", F.col("l_quantity").alias("qty"), line.cast("bigint").alias("line"),
         F.when(line % 3 == 0, F.col("pct").cast("double"))
         .otherwise((unit_price.cast("decimal(18,0)") * dec("0.01")).cast("double")).alias("rate"),
         money(F.col("taxable")).alias("taxable_value"),
         money(F.col("gross") - F.col("taxable")).alias("discount"),
         money(F.when((line == 1) & (okey % 50 == 0), 10).otherwise(0)).alias("advances"),
         F.col("cgst").alias("cgst_amount"), F.col("sgst").alias("sgst_amount"),
-        F.col("igst").alias("igst_amount"),
-        money(total).alias("total_invoice_value"),
+        F.col("igst").alias("igst_amount"), money(total).alias("total_invoice_value"),
         F.when((F.col("pct") == 0) & (line % 2 == 0), "NIL_EXEMPT").alias("raw_category"),
         F.when(okey % 6 == 0, "professional services").when(okey % 6 == 1, "supply").alias("narration"),
-        "o_orderdate", okey.alias("okey"), ckey.alias("ckey"), state.alias("party_state"),
-        original.alias("original_no"), "gross", "pct",
+        "o_orderdate", "okey", "ckey", "party_state", "original_no", "gross", "pct",
     )
     classified = return_category(
         F.col("party_gstin"), F.col("voucher_type"), F.col("particulars"), F.col("place_of_supply"),
         F.col("raw_category"), F.col("total_invoice_value"), FIRM_STATE, threshold=B2CL_THRESHOLD,
     )
-    return cols.withColumn("gstr1_category", keep_or_classify(F.col("raw_category"), classified))
+    return lines.withColumn("gstr1_category", keep_or_classify(F.col("raw_category"), classified))
 
 
 def purchase_lines(spark: SparkSession, sf_dir: str, part: bool = True) -> DataFrame:
     """Inward supplies: lineitem rows flagged N, bought from their supplier."""
-    li = read(spark, sf_dir, "lineitem").filter("l_returnflag = 'N'")
-    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    supp = read(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    rows = li.join(orders, li.l_orderkey == orders.o_orderkey).join(
-        supp, F.col("l_suppkey") == F.col("s_suppkey")
-    )
-    if part:
-        items = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
-        rows = rows.join(items, F.col("l_partkey") == F.col("p_partkey"))
-        name, hsn = F.col("p_name"), _hsn(F.col("p_type"))
-    else:
-        name, hsn = F.lit("item"), F.lit(None).cast("string")
-    okey, skey = F.col("l_orderkey"), F.col("s_suppkey")
-    state = state_of(F.col("s_nationkey"))
-    rows = _amounts(rows, state)
-    given = (
-        F.when(skey % 6 == 0, "YES").when(skey % 6 == 1, "eligible").when(skey % 6 == 2, "PARTIAL")
-        .when(skey % 6 == 3, "NIL_RATED").when(skey % 6 == 4, "no")
+    rows = (
+        read(spark, sf_dir, "lineitem").filter("l_returnflag = 'N'")
+        .withColumnsRenamed({"l_orderkey": "okey", "l_suppkey": "skey"})
+        .join(_orders(spark, sf_dir), "okey").join(_suppliers(spark, sf_dir), "skey")
     )
+    rows = _amounts(_with_parts(rows, spark, sf_dir, part))
     return rows.select(
-        _seq().alias("seq"),
-        okey.cast("string").alias("task_id"),
-        F.concat(F.lit("B"), F.date_format("o_orderdate", "yyyyMM")).alias("batch_id"),
-        date_text(F.col("o_orderdate"), okey).alias("voucher_date"),
+        F.struct(F.col("okey").alias("l_orderkey"), *LINE_ORDER[1:]).alias("seq"),
+        F.col("okey").cast("string").alias("task_id"), "batch_id", "voucher_date",
         F.lit("Purchase").alias("voucher_type"),
-        F.concat(F.lit("PI/"), digits(okey, 7), F.lit("/"), skey.cast("string")).alias("invoice_no"),
-        F.col("s_name").alias("party_ledger_name"),
-        gstin(state, skey).alias("party_gstin"),
-        state.alias("place_of_supply"), name.alias("particulars"), hsn.alias("hsn"),
+        F.concat(F.lit("PI/"), "order_digits", F.lit("/"), F.col("skey").cast("string"))
+        .alias("invoice_no"),
+        "party_ledger_name", "party_gstin", F.col("party_state").alias("place_of_supply"),
+        F.col("item").alias("particulars"), "hsn",
         F.col("l_quantity").alias("qty"), F.col("pct").cast("double").alias("rate"),
         money(F.col("taxable")).alias("taxable_value"),
         F.col("cgst").alias("cgst_amount"), F.col("sgst").alias("sgst_amount"),
         F.col("igst").alias("igst_amount"),
         money(F.col("taxable") + F.col("cgst") + F.col("sgst") + F.col("igst"))
         .alias("total_invoice_value"),
-        given.alias("itc_category"), F.lit(None).cast("string").alias("narration"),
-        "o_orderdate", F.col("l_shipdate").alias("pay_date"), okey.alias("okey"), skey.alias("skey"),
+        "itc_category", F.lit(None).cast("string").alias("narration"),
+        "o_orderdate", F.col("l_shipdate").alias("pay_date"), "okey", "skey",
     )
 
 
@@ -209,14 +215,14 @@ def statement_2b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2B statement: books per invoice, perturbed in known ways, plus records of other sales."""
     li = read(spark, sf_dir, "lineitem").filter(
         "l_returnflag = 'N' OR (l_returnflag = 'A' AND l_orderkey % 25 = 0)"
+    ).withColumnsRenamed({"l_orderkey": "okey", "l_suppkey": "skey"})
+    supp = _suppliers(spark, sf_dir).select(
+        "skey", "party_state", normalize_id(F.col("party_gstin")).alias("gstin")
+    )
+    rows = _amounts(li.join(supp, "skey"))
+    per_invoice = rows.groupBy("l_returnflag", "okey", "skey", "gstin").agg(
+        *[money(F.sum(c)).alias(c) for c in ("taxable", "igst", "cgst", "sgst")]
     )
-    supp = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    state = state_of(F.col("s_nationkey"))
-    rows = _amounts(li.join(supp, li.l_suppkey == supp.s_suppkey), state)
-    per_invoice = rows.groupBy(
-        "l_returnflag", F.col("l_orderkey").alias("okey"), F.col("s_suppkey").alias("skey"),
-        state.alias("state"),
-    ).agg(*[money(F.sum(c)).alias(c) for c in ("taxable", "igst", "cgst", "sgst")])
     okey, skey = F.col("okey"), F.col("skey")
     own = F.col("l_returnflag") == "N"
     m = F.when(own, (okey * 31 + skey) % 20).otherwise(-1)
@@ -228,15 +234,16 @@ def statement_2b(spark: SparkSession, sf_dir: str) -> DataFrame:
     built = F.col("taxable") + F.col("igst") + F.col("cgst") + F.col("sgst")
     total = F.when(m == 1, built + dec("1.50")).when(m == 2, built + 50).otherwise(built)
     copies = F.explode(F.when(m == 4, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
-    party = normalize_id(gstin(F.col("state"), skey))
     return per_invoice.filter(m != 0).select(
-        party.alias("gstin"), number.alias("inv_no"),
+        "gstin", number.alias("inv_no"),
         F.concat(F.lit("01-"), F.format_string("%02d", (okey % 12 + 1).cast("int")), F.lit("-2024"))
         .alias("inv_date"),
         F.col("taxable").alias("taxable_val"), "igst", "cgst", "sgst", money(total).alias("total_val"),
-        F.concat_ws("||", party, normalize_id(number)).alias("norm_key"),
         okey, skey, own.alias("own"), copies.alias("copy"),
-    ).withColumn("seq", F.struct(~F.col("own"), "okey", "skey", "copy"))
+    ).select(
+        "*", F.concat_ws("||", "gstin", normalize_id(F.col("inv_no"))).alias("norm_key"),
+        F.struct(~F.col("own"), "okey", "skey", "copy").alias("seq"),
+    )
 
 
 def sales_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,8 +30,7 @@ _GROSS = "CAST(l_extendedprice AS DECIMAL(12,2))"
 _TAXABLE = f"CAST(round({_GROSS} * (1 - CAST(l_discount AS DECIMAL(4,2))), 2) AS DECIMAL(12,2))"
 _HSN = """CASE p_type WHEN 'ECONOMY' THEN '8471' WHEN 'SMALL' THEN '9971' WHEN 'MEDIUM' THEN '998599'
   WHEN 'PROMO' THEN '3304' WHEN 'STANDARD' THEN '997319' WHEN 'LARGE' THEN '8703' END"""
-_LINE_ORDER = """l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
-  l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus"""
+_LINE_ORDER = "l_orderkey, l_linenumber, l_extendedprice, l_partkey"
 
 
 def _taxes(state: str) -> str:
