@@ -87,20 +87,22 @@ def fuzzy_same_number(a: Column, b: Column) -> Column:
     return both & (contained | ((bare_a != "") & (bare_a == bare_b)))
 
 
-def substrings(c: Column, min_length: int = FUZZY_MIN_OVERLAP) -> Column:
-    """Every distinct substring of at least ``min_length`` characters."""
-    starts = F.sequence(F.lit(1), F.length(c) - min_length + 1)
+LONGEST_PIECE = 64
+
+
+def substrings(c: Column, shortest: int = FUZZY_MIN_OVERLAP, longest: int = LONGEST_PIECE) -> Column:
+    """Every distinct substring of ``shortest`` to ``longest`` characters."""
     pieces = F.flatten(
         F.transform(
-            starts,
+            F.sequence(F.lit(1), F.length(c) - shortest + 1),
             lambda i: F.transform(
-                F.sequence(F.lit(min_length), F.length(c) - i + 1),
+                F.sequence(F.lit(shortest), F.least(F.lit(longest), F.length(c) - i + 1)),
                 lambda n: F.substring(c, i, n),
             ),
         )
     )
     empty = F.array().cast("array<string>")
-    return F.array_distinct(F.when(F.length(c) >= min_length, pieces).otherwise(empty))
+    return F.array_distinct(F.when(F.length(c) >= shortest, pieces).otherwise(empty))
 
 
 def document_sign(doc_type: Column) -> Column:

@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.common import (
     first_filled, first_nonzero, money, zero_if_null,
 )
-from ..functions.ids import FUZZY_MIN_OVERLAP, fuzzy_same_number, match_key, normalize_id, substrings
+from ..functions.ids import (
+    FUZZY_MIN_OVERLAP, LONGEST_PIECE, fuzzy_same_number, match_key, normalize_id, substrings,
+)
 from ..functions.tax import RULE_36_4_FACTOR, TOL_2B_MATCH, dec
 from .assign import assign_in_order
 
@@ -131,11 +133,14 @@ def exact_matches(invoices: DataFrame, statement: DataFrame) -> DataFrame:
 
 
 def _tokens(number: Column, whole: str, parts: str) -> Column:
-    """Keys that meet exactly when one number contains the other or the bare numbers agree."""
+    """Keys that meet whenever one number contains the other or the bare numbers agree.
+
+    A number longer than any piece is looked for by its end.
+    """
     bare = F.ltrim(number, F.lit("0"))
     return F.array_compact(F.concat(
         F.array(
-            F.when(F.length(number) >= FUZZY_MIN_OVERLAP, F.concat(F.lit(f"{whole}:"), number)),
+            F.when(F.length(number) >= FUZZY_MIN_OVERLAP, F.concat(F.lit(f"{whole}:"), F.right(number, F.lit(LONGEST_PIECE)))),
             F.when(bare != "", F.concat(F.lit("0:"), bare)),
         ),
         F.transform(substrings(number), lambda s: F.concat(F.lit(f"{parts}:"), s)),

@@ -247,6 +247,6 @@ def document_verdict(lines: DataFrame, summary: DataFrame, key: str = "task_id")
     checks = summary.join(facts, key, "left").select(
         key, (F.abs(built - zero_if_null(F.col("grand_total"))) <= TOL_BALANCE_FLAG).alias("math_balanced"),
         F.coalesce(F.col("first_gstin").rlike(GSTIN_BATCH), F.lit(False)).alias("gstin_format_valid"),
-        ~F.coalesce("tax_conflict", F.lit(False)).alias("no_tax_conflict"))
+        (~F.coalesce("tax_conflict", F.lit(False))).alias("no_tax_conflict"))
     ok = F.col("math_balanced") & F.col("gstin_format_valid") & F.col("no_tax_conflict")
     return checks.withColumn("validation_status", F.when(ok, "PASSED").otherwise("FAILED"))

@@ -383,7 +383,7 @@ def validation_scores(spark, sf):
 @query("""SELECT e AS error, count(*) AS n FROM (SELECT unnest(list_filter([
    CASE WHEN okey%19=0 THEN 'Missing invoice number' END, CASE WHEN okey%23=0 THEN 'Missing voucher date' END,
    CASE WHEN abs(taxable_value+cgst_amount+sgst_amount+igst_amount-total_invoice_value)>2 THEN 'Math mismatch' END],
-   x -> x IS NOT NULL)) AS e FROM sales) GROUP BY 1""", "sales")
+   lambda x: x IS NOT NULL)) AS e FROM sales) GROUP BY 1""", "sales")
 def line_checks(spark, sf):
     lines = sales_lines(spark, sf, part=False).withColumns({
         "invoice_no": F.when(F.col("okey") % 19 != 0, F.col("invoice_no")),
@@ -402,7 +402,7 @@ def line_checks(spark, sf):
    CASE WHEN abs(taxable_value+cgst_amount+sgst_amount+igst_amount-total_invoice_value)>1
      THEN {'field':'total_amount','issue':'math','severity':'error'} END,
    CASE WHEN place_of_supply IS NULL THEN {'field':'place_of_supply','issue':'missing','severity':'warning'} END],
-   x -> x IS NOT NULL)) AS i FROM (SELECT *, coalesce(party_gstin,'') AS g FROM sales)) GROUP BY 1,2,3""", "sales")
+   lambda x: x IS NOT NULL)) AS i FROM (SELECT *, coalesce(party_gstin,'') AS g FROM sales)) GROUP BY 1,2,3""", "sales")
 def entry_issues(spark, sf):
     okey = F.col("okey")
     lines = sales_lines(spark, sf, part=False).select(
