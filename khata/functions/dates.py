@@ -96,11 +96,14 @@ def last_periods(as_of: Column, months: int = 24) -> Column:
     )
 
 
-DATE_IN_TEXT = (
-    r"(?i)\b(\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}|\d{1,2}[-/\s]"
-    r"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[-/\s]\d{2,4})\b"
+# Day-first dates, then year-first ones, inside free text.
+DATES_IN_TEXT = (
+    r"(\b\d{1,2}[/\-\.\s]+(?:\d{1,2}|[A-Za-z]{3,9})[/\-\.\s]+\d{2,4}\b)",
+    r"(\b\d{4}[/\-\.\s]+\d{1,2}[/\-\.\s]+\d{1,2}\b)",
 )
 
 
 def first_date_in(c: Column) -> Column:
-    return F.regexp_extract(F.coalesce(c, F.lit("")), DATE_IN_TEXT, 1)
+    """The first date-like piece of a text, or NULL."""
+    found = [F.nullif(F.regexp_extract(F.coalesce(c, F.lit("")), p, 1), F.lit("")) for p in DATES_IN_TEXT]
+    return F.trim(F.coalesce(*found))
