@@ -57,64 +57,83 @@ def _all(line: Column, pattern: str) -> Column:
     return F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
 
 
-def _gst_and_pan(line: Column, low: Column, line_no: Column, pans: Column) -> list[Column]:
+def _when_near(low: Column, words, found: Column) -> Column:
+    """Run a pattern only on lines that hold one of its words."""
+    return F.when(any_contains(low, words), found).otherwise(F.array().cast("array<string>"))
+
+
+def _gst_and_pan(low: Column) -> list[Column]:
     keyword = F.when(any_contains(low, SELLER_WORDS), "supplier").when(any_contains(low, BUYER_WORDS), "buyer")
     sure = F.when(any_contains(low, SELLER_WORDS), 0.95).when(any_contains(low, BUYER_WORDS), 0.9).otherwise(0.8)
-    gstins = F.transform(_all(line, GSTIN_IN_LINE), lambda g: _found(0, "gstin", g, keyword, sure))
     fresh = F.filter(
-        _all(line, PAN_IN_LINE),
-        lambda p: ~F.exists(pans, lambda k: (k["pan"] == p) & (k["line_no"] <= line_no)))
-    return [gstins, F.transform(fresh, lambda p: _found(0, "pan", p, None, 0.7))]
+        F.col("pan"), lambda p: ~F.exists("pans", lambda k: (k["pan"] == p) & (k["line_no"] <= F.col("line_no"))))
+    return [F.transform("gstin", lambda g: _found(0, "gstin", g, keyword, sure)),
+            F.transform(fresh, lambda p: _found(0, "pan", p, None, 0.7))]
 
 
 def _invoice_numbers(line: Column) -> list[Column]:
     out = []
     for word in INVOICE_WORDS:
         value = F.regexp_extract(line, rf"^(?>.*?(?i:{word}))[:\-\s#]*+([a-zA-Z0-9/\-_]+)", 1)
-        out.append(F.when(F.length(value) >= 3, F.array(_found(1, "invoice_number", value, word, 0.85)))
-                   .otherwise(_none()))
+        found = F.filter(F.array(value), lambda v: F.length(v) >= 3)
+        hits = F.transform(found, lambda v: _found(1, "invoice_number", v, word, 0.85))
+        out.append(F.when(F.col("low").contains(word), hits).otherwise(_none()))
     return out
 
 
-def _numbers(line: Column, low: Column, detector: int, pattern: str, words: dict[str, str], drop: str,
-             confidence: float) -> list[Column]:
-    numbers = F.transform(_all(line, pattern), lambda n: F.regexp_replace(n, drop, ""))
-
+def _numbers(numbers: str, low: Column, detector: int, words: dict[str, str], drop: str, confidence: float) -> list[Column]:
     def under(word: str, field: str) -> Column:
-        hits = F.transform(numbers, lambda n: _found(detector, field, n, word, confidence))
+        hits = F.transform(numbers, lambda n: _found(detector, field, F.replace(n, F.lit(drop), F.lit("")), word, confidence))
         return F.when(low.contains(word), hits).otherwise(_none())
 
     return [under(word, field) for word, field in words.items()]
 
 
-def _metadata(line: Column, low: Column) -> list[Column]:
+def _metadata(low: Column) -> list[Column]:
     due = low.contains("due")
-    account = F.regexp_extract(line, r"\b\d{9,18}\b", 0)
-    near_bank = any_contains(low, ("a/c", "account", "bank"))
     return [
-        F.transform(_all(line, IFSC_IN_LINE), lambda v: _found(4, "ifsc", v, None, 0.9)),
-        F.transform(_all(line, DATE_IN_LINE), lambda v: _found(
+        F.transform("ifsc", lambda v: _found(4, "ifsc", v, None, 0.9)),
+        F.transform("dates", lambda v: _found(
             4, F.when(due, "due_date").otherwise("invoice_date"), v,
             F.when(due, "due date").otherwise("date"), 0.8)),
-        F.when(near_bank & (account != ""), F.array(_found(4, "bank_account", account, "account", 0.7)))
-        .otherwise(_none()),
+        F.transform("accounts", lambda v: _found(4, "bank_account", v, "account", 0.7)),
     ]
 
 
 def candidates(documents: DataFrame) -> DataFrame:
-    """All detectors over all lines: (doc_id, field, value, keyword, confidence, context, seq)."""
+    """All detectors over all lines: (doc_id, field, value, keyword, confidence, context, seq).
+
+    Each pattern runs once per line; the keyword rules then only reshape what it found.
+    """
     known = F.flatten(F.transform("lines", lambda line, i: F.transform(
         _all(line, GSTIN_IN_LINE), lambda g: F.named_struct(
             F.lit("line_no"), i, F.lit("pan"), F.substring(g, 3, 10)))))
     rows = documents.select("doc_id", F.split("text", "\n").alias("lines")).select(
         "doc_id", known.alias("pans"), F.posexplode("lines").alias("line_no", "line"))
-    line, low = F.col("line"), F.lower("line")
+    line, low = F.col("line"), F.col("low")
+    digit = line.rlike(r"\d")
+    empty = F.array().cast("array<string>")
+    account = F.regexp_extract(line, r"\b\d{9,18}\b", 0)
+    near_bank = any_contains(low, ("a/c", "account", "bank"))
+    # a line without a digit can hold only an invoice number made of letters
+    staged = rows.withColumn("low", F.lower("line")).select(
+        "*",
+        F.when(digit, _all(line, GSTIN_IN_LINE)).otherwise(empty).alias("gstin"),
+        F.when(digit, _all(line, PAN_IN_LINE)).otherwise(empty).alias("pan"),
+        F.when(digit, _when_near(low, TAX_FIELDS, _all(line, TAX_NUMBER))).otherwise(empty).alias("tax_numbers"),
+        F.when(digit, _when_near(low, TOTAL_FIELDS, _all(line, TOTAL_NUMBER))).otherwise(empty).alias("total_numbers"),
+        F.when(digit, _all(line, IFSC_IN_LINE)).otherwise(empty).alias("ifsc"),
+        F.when(digit, _all(line, DATE_IN_LINE)).otherwise(empty).alias("dates"),
+        F.when(digit & near_bank & (account != ""), F.array(account)).otherwise(empty).alias("accounts"))
+    some = any_contains(low, INVOICE_WORDS)
+    for name in ("gstin", "pan", "tax_numbers", "total_numbers", "ifsc", "dates", "accounts"):
+        some = some | (F.size(name) > 0)
     found = F.concat(
-        *_gst_and_pan(line, low, F.col("line_no"), F.col("pans")), *_invoice_numbers(line),
-        *_numbers(line, low, 2, TAX_NUMBER, TAX_FIELDS, "%", 0.75),
-        *_numbers(line, low, 3, TOTAL_NUMBER, TOTAL_FIELDS, ",", 0.8), *_metadata(line, low))
-    out = rows.select("doc_id", "line_no", F.trim("line").alias("context"),
-                      F.posexplode(found).alias("pos", "c"))
+        *_gst_and_pan(low), *_invoice_numbers(line),
+        *_numbers("tax_numbers", low, 2, TAX_FIELDS, "%", 0.75),
+        *_numbers("total_numbers", low, 3, TOTAL_FIELDS, ",", 0.8), *_metadata(low))
+    out = staged.filter(some).select("doc_id", "line_no", F.trim("line").alias("context"),
+                                     F.posexplode(found).alias("pos", "c"))
     return out.select(
         "doc_id", "line_no", "c.field", "c.value", "c.keyword", "c.confidence", "context",
         F.struct("c.detector", "line_no", "pos").alias("seq"))
