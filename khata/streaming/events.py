@@ -8,10 +8,17 @@ EVENT_TIME = "timestamp_utc"
 DOCUMENT_KEY = ["invoice_no", "party_gstin", "voucher_date"]
 
 
+def _timed(rows: DataFrame, late: str) -> DataFrame:
+    """Watermark on the event time; a stream needs it as TIMESTAMP (sessions run in UTC)."""
+    if rows.isStreaming:
+        rows = rows.withColumn(EVENT_TIME, F.col(EVENT_TIME).cast("timestamp"))
+    return rows.withWatermark(EVENT_TIME, late)
+
+
 def event_counts(events: DataFrame, every: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Tumbling counts per event type, severity and flag; events later than ``late`` are let go."""
     return (
-        events.withWatermark(EVENT_TIME, late)
+        _timed(events, late)
         .groupBy(F.window(EVENT_TIME, every).alias("w"), "event_type", "severity", "flag_id")
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
@@ -21,7 +28,7 @@ def event_counts(events: DataFrame, every: str = "1 hour", late: str = "1 hour")
 def notification_rate(events: DataFrame, span: str = "24 hours", step: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Flags per tenant over a sliding day."""
     return (
-        events.filter("event_type = 'system_flag'").withWatermark(EVENT_TIME, late)
+        _timed(events.filter("event_type = 'system_flag'"), late)
         .groupBy(F.window(EVENT_TIME, span, step).alias("w"), "tenant_id")
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.col("w.start").alias("window_start"), "tenant_id", "n"))
@@ -45,4 +52,4 @@ def without_replaced(events: DataFrame, replayed: DataFrame) -> DataFrame:
 def first_sightings(documents: DataFrame, late: str = "1 day") -> DataFrame:
     """The first arrival of each document; re-uploads within the watermark drop out."""
     normal = documents.withColumns({c: F.upper(F.trim(F.coalesce(c, F.lit("")))) for c in DOCUMENT_KEY})
-    return normal.withWatermark(EVENT_TIME, late).dropDuplicatesWithinWatermark(DOCUMENT_KEY)
+    return _timed(normal, late).dropDuplicatesWithinWatermark(DOCUMENT_KEY)
