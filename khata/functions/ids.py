@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .common import blank_to_null, text
+from .common import any_contains, blank_to_null, text
 
 # The GSTIN shape differs per place of use and the variants are kept apart.
 GSTIN_STRICT = r"^\d{2}[A-Z]{5}\d{4}[A-Z]{1}[A-Z\d]{1}Z[A-Z\d]{1}$"
@@ -105,18 +105,18 @@ def substrings(c: Column, shortest: int = FUZZY_MIN_OVERLAP, longest: int = LONG
     return F.array_distinct(F.when(F.length(c) >= shortest, pieces).otherwise(empty))
 
 
-def document_sign(doc_type: Column) -> Column:
-    """-1 for credit and debit notes, +1 otherwise."""
-    return F.when(F.lower(F.coalesce(doc_type, F.lit(""))).rlike("credit|debit"), -1).otherwise(1)
-
-
 def is_note(*cols: Column) -> Column:
     cond = F.lit(False)
     for c in cols:
-        cond = cond | F.lower(F.coalesce(c, F.lit(""))).rlike("credit|debit")
+        cond = cond | any_contains(F.lower(F.coalesce(c, F.lit(""))), ("credit", "debit"))
     return cond
 
 
+def document_sign(doc_type: Column) -> Column:
+    """-1 for credit and debit notes, +1 otherwise."""
+    return F.when(is_note(doc_type), -1).otherwise(1)
+
+
 def looks_like_hsn(amount_text: Column) -> Column:
     return F.regexp_replace(amount_text, r"[^\d.]", "").rlike(HSN_SHAPE)
 

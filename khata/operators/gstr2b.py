@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import cut_lineage
 from ..functions.common import (
     first_filled, first_nonzero, money, zero_if_null,
 )
@@ -199,11 +202,18 @@ class Reconciliation:
         self.books, self.statement = books, statement
         self.invoices = books_by_invoice(books)
         self.exact = exact_matches(self.invoices, statement)
-        keys = statement.select("norm_key")
-        self.unmatched = self.invoices.join(keys, "norm_key", "left_anti")
-        self.remaining = statement.join(books.select("norm_key"), "norm_key", "left_anti")
         self._fuzzy: DataFrame | None = None
 
+    @cached_property
+    def unmatched(self) -> DataFrame:
+        """Invoices the exact pass left over; few, used several times, so written once."""
+        return cut_lineage(self.invoices.join(self.statement.select("norm_key"), "norm_key", "left_anti"))
+
+    @cached_property
+    def remaining(self) -> DataFrame:
+        """Statement records whose key is not in the books, written once for the same reason."""
+        return cut_lineage(self.statement.join(self.books.select("norm_key"), "norm_key", "left_anti"))
+
     @property
     def fuzzy(self) -> DataFrame:
         if self._fuzzy is None:

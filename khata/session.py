@@ -8,6 +8,11 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Wide invoice rows generate methods the JVM would only interpret; beyond this size Spark falls back
+# to smaller pieces, which the JVM compiles.
+HUGE_METHOD_LIMIT = ("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def build_session(app_name: str = "khata", master: str | None = None, **conf: str) -> SparkSession:
     """A session with ANSI casts, UTC and adaptive execution on."""
     builder = SparkSession.builder.appName(app_name)
@@ -19,6 +24,7 @@ def build_session(app_name: str = "khata", master: str | None = None, **conf: st
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        HUGE_METHOD_LIMIT[0]: HUGE_METHOD_LIMIT[1],
         **conf,
     }
     for key, value in settings.items():
