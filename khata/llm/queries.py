@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, line_dedup, mixing, toxicity
+from . import chat, decontaminate, jaccard, line_dedup, mixing, simhash, suffix_dedup, toxicity, url_templates, warc
+from .common import scratch_path, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -72,6 +73,73 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= TOXIC_AT).cast("int").alias("predicted"), "toxic_terms")
 
 
+@query
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url", F.col("html").alias("payload")), path)
+    # responses are judged by the payload that was read, revisits by their headers
+    responses = warc.read_archives(spark, path).where("record_type = 'response'").withColumn("payload_digest", warc.base32_sha1("payload")).drop("payload")
+    revisits = warc.read_archives(spark, path, payloads=False).where("record_type = 'revisit'").drop("payload")
+    name = "^<urn:page:(.*)>$"
+    number = {c: F.nullif(F.regexp_extract(c, name, 1), F.lit("")).cast("long") for c in ("record_id", "refers_to")}
+    both = responses.unionByName(revisits)
+    return both.select(number["record_id"].alias("page_id"), "payload_bytes", "payload_digest", "record_type", number["refers_to"].alias("refers_to"))
+
+
+ORACLES["op3_warc"] = """
+WITH hashed AS (
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(encode(coalesce(html, ''))) AS h FROM pages
+), named AS (
+    SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        (((('0x' || substr(h, (1 + 5 * (i // 4))::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31) + 1)::INT, 1)), '') AS payload_digest,
+        min(page_id) OVER (PARTITION BY h) AS first_id
+    FROM hashed
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM named
+"""
+
+RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+@query
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_templates.judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template")
+
+
+@query
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op6_chat"] = """
+WITH placed AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n,
+        '<|im_start|>' || coalesce(role, 'user') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS message,
+        to_json({'r': role, 't': text})::VARCHAR AS said
+    FROM conversations
+), steps AS (
+    SELECT conv_id, n, md5(string_agg(said, chr(10)) OVER (PARTITION BY conv_id ORDER BY n)) AS h,
+        lead(n) OVER (PARTITION BY conv_id ORDER BY n) IS NULL AS last
+    FROM placed
+), whole AS (
+    SELECT n, h, min(conv_id) AS conv_id, count(*) AS n_equal FROM steps WHERE last GROUP BY n, h
+), keep AS (
+    SELECT * FROM whole WHERE NOT EXISTS (SELECT 1 FROM steps WHERE NOT steps.last AND steps.n = whole.n AND steps.h = whole.h)
+)
+SELECT keep.conv_id, keep.n AS n_turns, n_equal, string_agg(message, '' ORDER BY placed.n) AS rendered
+FROM keep JOIN placed USING (conv_id) GROUP BY keep.conv_id, keep.n, n_equal
+"""
+
+
 @query
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = mixing.with_topics(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
@@ -86,3 +154,16 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_groups(table(spark, sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
+NEAR_BITS = 6
+"""Hamming radius of the search."""
+
+
+@query
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Besides the digest, ``n_near``: for ids divisible by 50, how many rows have a fingerprint within NEAR_BITS."""
+    prints = written(simhash.with_edits(table(spark, sf_dir, "documents")), "fingerprints")
+    asked = F.col("doc_id") % 50 == 0
+    near = simhash.within_radius(prints, prints.where(asked), NEAR_BITS).withColumn("asked", F.lit(True))
+    return prints.withColumn("asked", F.coalesce(asked, F.lit(False))).join(near, ["fingerprint", "asked"], "left").drop("asked")
