@@ -33,9 +33,11 @@ MOST_TERMS = 50_000
 MIN_TEXTS = 3
 ROUNDS = 3
 """Later rounds learn from the toxic texts that the terms of earlier ones leave unexplained."""
-CHANCE = 1e-6
-"""A term is taken if so unlikely a share of its texts would be toxic by chance; some hundred thousand terms are tried."""
-STEMS = (4, 5, 6, 7)
+EVIDENCE = 14.0
+"""A term is taken if its texts' toxic share has a log-likelihood ratio of so much over the usual share (by chance one in a million
+terms; some hundred thousand are tried), and odds LEAST_WEIGHT (logarithm) above it."""
+LEAST_WEIGHT = 1.5
+STEMS = (4, 5, 6, 7, 8)
 
 # Letters of other scripts that look like Latin ones, and signs used for letters.
 LOOKALIKES = {
@@ -90,10 +92,11 @@ def features(text: str | None, matcher: ahocorasick.Automaton | None) -> tuple[f
         (spans if weight is None else hits).append((end - length + 1, end, weight))
     if spans:
         hits = [h for h in hits if not any(a <= h[0] + 1 and h[1] - 1 <= b for a, b, _ in spans)]
-    # a word counts once, with the heaviest of its terms
-    best: dict[int, float] = {}
+    # a word counts once, with the heaviest of its terms, however often it is repeated
+    best: dict[str, float] = {}
     for begin, _, weight in hits:
-        best[begin] = max(weight, best.get(begin, 0.0))
+        word = text[begin:text.index(" ", begin + 1)]
+        best[word] = max(weight, best.get(word, 0.0))
     total = sum(best.values())
     return float(np.log1p(total)), float(np.log1p(100 * total / (text.count(" ") + 1))), len(best)
 
@@ -134,10 +137,12 @@ def _found(texts: DataFrame, known: dict[str, float], t: int, c: int, most_terms
         F.filter(F.array(*(F.when(F.length("word") >= k, F.concat(F.lit(" "), F.substring("word", 1, k))) for k in STEMS)), lambda x: x.isNotNull()),
     )).alias("term"), "toxic", "clean").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     weight = F.log((F.col("toxic") + 0.5) / (t + 1)) - F.log((F.col("clean") + 0.5) / (c + 1))
-    chance = F.pow(F.lit(t / max(1, t + c)), F.col("toxic").cast("double"))
-    chosen = terms.where((F.col("toxic") >= MIN_TEXTS) & (F.col("clean") <= 0.02 * F.col("toxic")) & (chance < CHANCE))
-    rows = chosen.select("term", "toxic", weight.alias("weight")).orderBy(F.desc("weight"), "term").limit(most_terms).collect()
-    return selected({r["term"]: (int(r["toxic"]), float(r["weight"])) for r in rows})
+    n, usual = F.col("toxic") + F.col("clean"), (t + 0.5) / (t + c + 1)
+    evidence = F.col("toxic") * F.log(F.col("toxic") / (n * usual)) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (n * (1 - usual)))).otherwise(0.0)
+    chosen = terms.where(F.col("toxic") >= MIN_TEXTS).select("term", weight.alias("weight"), evidence.alias("evidence")).where((F.col("weight") >= LEAST_WEIGHT) & (F.col("evidence") >= EVIDENCE))
+    rows = chosen.orderBy(F.desc("evidence"), F.desc(F.length("term")), "term").limit(most_terms).collect()
+    # words of a few texts and their copies have little evidence beside real terms; if they matter, a later round finds them
+    return selected(r for r in rows if r["evidence"] >= 0.05 * rows[0]["evidence"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS, train_rows: int = TRAIN_ROWS, most_terms: int = MOST_TERMS) -> Lexicon:
@@ -174,16 +179,17 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCE
     return Lexicon(kept, exceptions, fitted(data[["total", "density"]].to_numpy(float), data["toxic"].to_numpy(float))) if len(data) else lexicon
 
 
-def selected(found: dict[str, tuple[int, float]]) -> dict[str, float]:
-    """Weights of the terms that stay: a stem only where it gathers several words, and nothing that a kept stem finds anyway."""
-    longest: dict[str, int] = {}
-    for term, (n, _) in found.items():
-        for k in STEMS:
-            if k + 1 < len(term):
-                longest[term[:k + 1]] = max(n, longest.get(term[:k + 1], 0))
-    stems = {t: w for t, (n, w) in found.items() if not t.endswith(" ") and longest.get(t, 0) < 0.9 * n}
-    words = {t: w for t, (_, w) in found.items() if t.endswith(" ")}
-    return {t: w for t, w in (stems | words).items() if not any(t[:k + 1] in stems for k in STEMS if k + 1 < len(t))}
+def selected(rows: Iterable) -> dict[str, float]:
+    """Of terms (term, weight) in descending order of evidence those that stay: none that begins another one, or is begun by one, with
+    more evidence; so of a word's stems the most telling one."""
+    kept: dict[str, float] = {}
+    begun: set[str] = set()
+    for row in rows:
+        starts = [row["term"][:k] for k in range(2, len(row["term"]) + 1)]
+        if row["term"] not in begun and not any(x in kept for x in starts):
+            kept[row["term"]] = float(row["weight"])
+            begun.update(starts)
+    return kept
 
 
 def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30) -> tuple[float, float, float]:
