@@ -22,9 +22,12 @@ HEADER_LABELS = {
 MIN_CHARS_PER_PAGE, MIN_INK_RATIO = 40, 0.5
 
 
-def sanitize_text(c: Column, longest: int = 500) -> Column:
+def sanitize_text(c: Column, longest: int | None = None) -> Column:
+    """Without control characters, white space as single blanks; cut only if the caller names a length."""
     clean = F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
     clean = F.trim(F.regexp_replace(clean, r"\s+", " "))
+    if longest is None:
+        return clean
     return F.when(F.length(clean) > longest, F.concat(F.substring(clean, 1, longest), F.lit("..."))).otherwise(clean)
 
 

@@ -1,34 +1,42 @@
-"""One-to-one assignment in arrival order, as rounds of joins."""
+"""One-to-one assignment in arrival order."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Iterator
 
-from ..session import cut_lineage
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
 
 
-def assign_in_order(pairs: DataFrame, left: str, right: str) -> DataFrame:
+def assign_in_order(pairs: DataFrame, left: str, right: str, within: tuple[str, ...] = ()) -> DataFrame:
     """First come, first served: each left row takes the first right row still free.
 
     ``left`` and ``right`` are sortable columns that identify the two sides, and their order is
-    the order of arrival. A pair is settled as soon as the right row is the first free one for the
-    left row and no earlier left row still wants that right row. The earliest waiting left row
-    always settles, so the rounds end; in each round all groups advance at once, and no group is
-    ever gathered in one task. The outcome is that of going through the left rows one by one.
+    the order of arrival. Who is served depends on all who came before, so it is decided by going
+    through the pairs in order: one shuffle, with no rounds. ``within`` names columns that both
+    sides of a pair share; groups are served apart, each as a stream of sorted pairs of which only
+    the right rows already taken are held, so no group is gathered.
     """
-    open_pairs = cut_lineage(pairs.select(left, right).distinct())
-    settled = None
-    while not open_pairs.isEmpty():
-        first_right = open_pairs.groupBy(left).agg(F.min(right).alias("_first_right"))
-        first_left = open_pairs.groupBy(right).agg(F.min(left).alias("_first_left"))
-        done = cut_lineage(
-            open_pairs.join(first_right, left).join(first_left, right)
-            .filter((F.col(right) == F.col("_first_right")) & (F.col(left) == F.col("_first_left")))
-            .select(left, right)
-        )
-        settled = done if settled is None else settled.unionByName(done)
-        open_pairs = cut_lineage(
-            open_pairs.join(done.select(left), left, "left_anti")
-            .join(done.select(right), right, "left_anti")
-        )
-    return open_pairs if settled is None else settled
+    schema = pairs.select(left, right).schema
+
+    def serve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, served, taken = object(), object(), set()
+        for batch in batches:
+            keep = []
+            for row in batch.itertuples(index=False, name=None):
+                *shared, left_name, right_name, left_row, right_row = row
+                if shared != group:
+                    group, served, taken = shared, object(), set()
+                if left_name != served and right_name not in taken:
+                    served = left_name
+                    taken.add(right_name)
+                    keep.append((left_row, right_row))
+            yield pd.DataFrame(keep, columns=[left, right])
+
+    # the sides may be structs, which Python can't look up; their JSON can be
+    names = [F.to_json(F.struct(c)).alias(f"_{k}") for k, c in (("l", left), ("r", right))]
+    groups = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_g{i}") for i, c in enumerate(within)]
+    shown = pairs.select(*groups, *names, left, right).distinct()
+    keys = [f"_g{i}" for i in range(len(within))]
+    dealt = shown.repartition(*keys) if keys else shown.repartition(1)
+    return dealt.sortWithinPartitions(*keys, left, right).mapInPandas(serve, schema)

@@ -169,7 +169,6 @@ def fuzzy_pairs(invoices: DataFrame, statement: DataFrame) -> DataFrame:
     right = statement.select(
         F.col("seq").alias("rec_seq"), F.col("gstin").alias("g"), number.alias("rec_inv"),
         F.col("total_val").alias("rec_total"), F.floor(F.col("total_val") / width).alias("band"),
-        F.struct(*RECORD).alias("rec"),
     )
     block = ["g", "band"]
     left_kept = left.join(right.select(*block), block, "left_semi")
@@ -180,14 +179,13 @@ def fuzzy_pairs(invoices: DataFrame, statement: DataFrame) -> DataFrame:
     )
     ok = (F.abs(F.col("book_total") - F.col("rec_total")) <= TOL_2B_MATCH) & fuzzy_same_number(
         F.col("book_inv"), F.col("rec_inv"))
-    return meet.filter(ok).select("book_key", "book_seq", "rec_seq", "rec").dropDuplicates(
-        ["book_key", "rec_seq"])
+    return meet.filter(ok).select("book_key", "book_seq", "rec_seq", "g").dropDuplicates(["book_key", "rec_seq"])
 
 
 def fuzzy_matches(invoices: DataFrame, statement: DataFrame) -> DataFrame:
     """One-to-one fuzzy matches, books in arrival order, each statement record used once."""
     pairs = fuzzy_pairs(invoices, statement)
-    chosen = assign_in_order(pairs, "book_seq", "rec_seq")
+    chosen = assign_in_order(pairs, "book_seq", "rec_seq", within=("g",))
     records = statement.select(F.col("seq").alias("rec_seq"), F.struct(*RECORD).alias("rec"))
     return (
         invoices.join(chosen, F.col("first_seq") == F.col("book_seq")).drop("book_seq")

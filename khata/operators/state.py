@@ -173,7 +173,8 @@ def verify_gaps(gaps: DataFrame, documents: DataFrame) -> DataFrame:
     ``gaps`` has gst_no, supplier_inv and invoice_date (DD-MM-YYYY); ``documents`` has doc_id, month
     (first day, DATE) and text. A number may sit anywhere in the whole text; to find it without
     comparing every gap with every document, both sides meet on (GSTIN, month, last characters of
-    the number). A GSTIN of an unusual shape meets on month and characters alone.
+    the number). A GSTIN of an unusual shape meets on the month and the last characters of both. Only
+    keys of documents are joined; each text is fetched once, to look for its candidates.
     """
     def clean(c: Column) -> Column:
         return F.regexp_replace(F.upper(F.coalesce(c, F.lit(""))), "[^A-Z0-9]", "")
@@ -186,16 +187,23 @@ def verify_gaps(gaps: DataFrame, documents: DataFrame) -> DataFrame:
         .select("_g", "_n", "_m", F.explode(F.array("_m", F.add_months("_m", 1).cast("date"))).alias("_doc_m"))
         .distinct().withColumn("_a", anchor(F.col("_n"))))
     shaped = F.col("_g").rlike(r"^\d{2}[A-Z]{5}\d{4}[A-Z][A-Z\d]Z[A-Z\d]$")
-    usual, odd = wanted.filter(shaped), wanted.filter(~shaped)
-    docs = documents.select(F.trunc("month", "month").alias("_doc_m"), clean(F.col("text")).alias("_text"))
-    with_gstin = docs.withColumn(
-        "_g", F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit(GSTIN_ANYWHERE), F.lit(1)))))
-    a = with_gstin.join(usual.select("_g", "_doc_m"), ["_g", "_doc_m"], "left_semi")
-    b = docs.join(odd.select("_doc_m"), "_doc_m", "left_semi")
-    found_a = a.withColumn("_a", F.explode(grams(F.col("_text"), ANCHORS))).join(usual, ["_g", "_doc_m", "_a"])
-    found_b = b.withColumn("_a", F.explode(grams(F.col("_text"), ANCHORS))).join(odd, ["_doc_m", "_a"]).filter(
-        F.col("_text").contains(F.col("_g")))
-    hits = found_a.select("_g", "_n", "_m", "_text").unionByName(found_b.select("_g", "_n", "_m", "_text")).filter(
-        F.col("_text").contains(F.col("_n"))).select("_g", "_n", "_m", F.lit("Yes").alias("in_drive")).distinct()
+    usual, odd = wanted.filter(shaped), wanted.filter(~shaped).withColumn("_ga", anchor(F.col("_g")))
+    docs = documents.select("doc_id", F.trunc("month", "month").alias("_doc_m"), clean(F.col("text")).alias("_text"))
+    doc = ["doc_id", "_doc_m"]
+    # keys of documents only: the text stays behind until the candidates are known
+    holders = docs.select(*doc, F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit(GSTIN_ANYWHERE), F.lit(1)))).alias("_g"))
+    holders = holders.join(usual.select("_g", "_doc_m"), ["_g", "_doc_m"], "left_semi").distinct()
+    near = docs.join(holders, doc, "left_semi").select(*doc, F.explode(grams(F.col("_text"), ANCHORS)).alias("_a"))
+    found_a = near.join(holders, doc).join(usual, ["_g", "_doc_m", "_a"]).select(*doc, "_g", "_n", "_m")
+    month_docs = docs.join(odd.select("_doc_m"), "_doc_m", "left_semi").select(*doc, F.explode(grams(F.col("_text"), ANCHORS)).alias("_a"))
+    # the longer one of the two ends is looked for first, the other one among what that leaves
+    lead = F.length("_ga") > F.length("_a")
+    asked = odd.select("_g", "_n", "_m", "_doc_m", F.when(lead, F.col("_ga")).otherwise(F.col("_a")).alias("_a"), F.when(lead, F.col("_a")).otherwise(F.col("_ga")).alias("_other"))
+    found_b = month_docs.join(asked, ["_doc_m", "_a"]).drop("_a").withColumnRenamed("_other", "_a").join(
+        month_docs, [*doc, "_a"], "left_semi").select(*doc, "_g", "_n", "_m")
+    # a document's candidates are no more than its text has ends for
+    candidates = found_a.unionByName(found_b).groupBy(*doc).agg(F.collect_set(F.struct("_g", "_n", "_m")).alias("_c"))
+    kept = F.filter("_c", lambda c: F.col("_text").contains(c["_n"]) & F.col("_text").contains(c["_g"]))
+    hits = docs.join(candidates, doc).select(F.explode(kept).alias("h")).select("h.*").distinct().withColumn("in_drive", F.lit("Yes"))
     return keyed.join(hits, ["_g", "_n", "_m"], "left").select(
         *gaps.columns, F.coalesce("in_drive", F.lit("No")).alias("in_drive"))

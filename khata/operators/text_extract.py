@@ -248,7 +248,7 @@ def _amount(c: Column) -> Column:
     return money(F.regexp_replace(c, ",", "").try_cast("decimal(20,4)"))
 
 
-SUMMARY_WINDOW = 2000
+# The printed GST summary.
 _MONEY = r"([\d,]+\.[\d]{2})"
 _RATE = r"(\d*\.?\d*)\s*%\s+"
 SUMMARY_ROW = _MONEY + r"\s+" + _RATE + _MONEY + r"\s+" + _RATE + _MONEY + r"\s+" + _RATE + _MONEY
@@ -259,9 +259,17 @@ def gst_summary(documents: DataFrame) -> DataFrame:
     return _summarised(documents.select("doc_id", "text")).drop("text")
 
 
+def _behind(c: Column, *labels: str) -> Column:
+    """What follows the labels, each looked for behind the one before; '' where one is missing. Reads the text once."""
+    for label in labels:
+        at = F.instr(c, label)
+        c = F.when(at > 0, F.substr(c, at + len(label))).otherwise("")
+    return c
+
+
 def _summarised(documents: DataFrame) -> DataFrame:
     t = F.regexp_replace("text", r"[ \t]+", " ")
-    after = F.regexp_extract(t, r"(?s)Taxable Value.{0,300}?Central Tax(.{0," + str(SUMMARY_WINDOW) + "})", 1)
+    after = _behind(t, "Taxable Value", "Central Tax")
     rows = documents.select("*", t.alias("t"), after.alias("after"))
     hits = F.regexp_extract_all("after", F.lit(SUMMARY_ROW), F.lit(0))
     start = F.lit(0).cast("decimal(18,2)")
@@ -287,6 +295,7 @@ def _summarised(documents: DataFrame) -> DataFrame:
     return out.withColumn("advance_amount", F.when(advance > dec("0.50"), advance))
 
 
+# The header block of the invoice template.
 HEADER_BLOCK = (
     r"(?s)Customer Name:\s*(.+?)\s*Billing Month:.*?GSTIN:\s*([0-9A-Z]{15})\s*Invoice Number:\s*(\S+).*?"
     r"Date of Invoice:\s*(\d{2}-\d{2}-\d{4})")
@@ -299,8 +308,11 @@ def _state_name(code: Column) -> Column:
 
 def invoice_header(documents: DataFrame) -> DataFrame:
     """Party, GSTIN, number, date and place of supply; NULLs where the block is absent."""
+    # without all its labels the block can't be there, and the pattern isn't tried
+    body = F.when(_behind(F.col("text"), "Customer Name:", "Billing Month:", "GSTIN:", "Invoice Number:", "Date of Invoice:") != "", F.col("text"))
+
     def part(group: int) -> Column:
-        return _grab(F.col("text"), HEADER_BLOCK, group)
+        return _grab(body, HEADER_BLOCK, group)
 
     out = documents.select(
         "doc_id", F.trim(F.regexp_replace(part(1), r"\s+", " ")).alias("party_name"), part(2).alias("party_gstin"),
@@ -323,11 +335,18 @@ SECTIONS = (
     (r"[A-J]\s+UPI 2\.0 Transactional Messages.*?Sub Total\s+\S*\s*\S*\s*\S*\s*([\d,]+\.\d{2})",
      "UPI 2.0 Transactional Messaging Charges", "998599"),
 )
-SINGLE_LINE = (
-    r"(?s)\bA\b\s*\n?(.+?)\n?(\d{4,8})\b.*?([\d,]+\.\d{2})\s*\n?B\s*\n?Final Total")
+SINGLE_LINE_END = r"(?<=[\d,]\.\d{2})\s*\n?B\s*\n?Final Total"
+SINGLE_LINE_AMOUNT = r"([\d,]+\.\d{2})$"
+SINGLE_LINE_ITEM = r"(?s)^(.+?)\n?(\d{4,8})\b"
 DEFAULT_SECTION = ("SaaS/UPI Platform Charges", "9971")
 
 
+def _section_amounts(body: Column) -> list[Column]:
+    """Amounts of the template's sections; a pattern is tried only where the word that ends it is in the text."""
+    return [zero_if_null(_amount(F.when(body.contains(end), F.regexp_extract(body, "(?s)" + p, 1)).otherwise("")))
+            for p, _, _ in SECTIONS for end in ["Sub Total" if "Sub Total" in p else "Total" if r"\bTotal" in p or "?Total" in p else ""]]
+
+
 def sections_of(documents: DataFrame) -> DataFrame:
     """Billing sections with an amount, or the one ad-hoc line of a document without any.
 
@@ -335,17 +354,25 @@ def sections_of(documents: DataFrame) -> DataFrame:
     """
     body = F.col("text")
     carried = [c for c in documents.columns if c != "text"]
-    amounts = [zero_if_null(_amount(F.regexp_extract(body, "(?s)" + p, 1))) for p, _, _ in SECTIONS]
-    rows = documents.withColumn("amounts", F.array(*amounts))
+    rows = documents.withColumn("amounts", F.array(*_section_amounts(body)))
+    # the one line runs from the first A to the amount before "B Final Total"; each step reads the text once
+    parts = F.split(body, SINGLE_LINE_END, 2)
+    head = F.when(body.contains("Final Total") & (F.size(parts) > 1), parts[0])
+    amount = F.regexp_extract(head, SINGLE_LINE_AMOUNT, 1)
+    item = F.get(F.split(F.substr(head, F.lit(1), F.length(head) - F.length(amount)), r"\bA\b\s*", 2), F.lit(1))
+    hsn = F.regexp_extract(item, SINGLE_LINE_ITEM, 2)
+    whole = (amount != "") & (hsn != "")
+    rows = rows.withColumn("line", F.struct(
+        F.when(whole, F.regexp_extract(item, SINGLE_LINE_ITEM, 1)).alias("words"), F.when(whole, hsn).otherwise("").alias("hsn"),
+        F.when(whole, amount).otherwise("").alias("amount")))
 
     def section(pos: int, label: Column, hsn: Column, amount: Column) -> Column:
         return F.struct(F.lit(pos).alias("pos"), label.alias("particulars"), hsn.alias("hsn"), amount.alias("taxable"))
 
     named = [section(i, F.lit(label), F.lit(hsn or NOT_SPECIFIED_HSN), F.col("amounts")[i])
              for i, (_, label, hsn) in enumerate(SECTIONS)]
-    words = blank_to_null(F.trim(F.regexp_replace(F.regexp_extract(body, SINGLE_LINE, 1), r"\s+", " ")))
-    only = section(len(SECTIONS), F.coalesce(words, F.lit("Ad Hoc Charges")), F.regexp_extract(body, SINGLE_LINE, 2),
-                   zero_if_null(_amount(F.regexp_extract(body, SINGLE_LINE, 3))))
+    words = blank_to_null(F.trim(F.regexp_replace("line.words", r"\s+", " ")))
+    only = section(len(SECTIONS), F.coalesce(words, F.lit("Ad Hoc Charges")), F.col("line.hsn"), zero_if_null(_amount(F.col("line.amount"))))
     bare = F.when(F.array_max("amounts") <= 0, only)
     return rows.select(*carried, F.inline(F.array(*named, bare))).filter(F.col("taxable") > 0)
 
@@ -459,10 +486,8 @@ def audit_fields(documents: DataFrame) -> DataFrame:
         _grab(body, r"(?i)Date of Invoice[:\s]*\n?\s*(\d{1,2}[-/]\d{1,2}[-/]\d{2,4})"),
         _grab(body, r"(?i)(?:Date|Dated)[:\s]*(\d{1,2}[-/\s][A-Za-z]{3,9}[-/\s]\d{2,4}|\d{1,2}[-/]\d{1,2}[-/]\d{2,4})"))
     labels = F.array_compact(F.array(*[
-        F.when(zero_if_null(_amount(F.regexp_extract(body, "(?s)" + p, 1))) > 0, F.lit(label))
-        for p, label, _ in SECTIONS]))
-    taxable = F.regexp_extract(F.regexp_replace("text", r"[ \t]+", " "),
-                               r"(?s)Taxable Value.{0,300}?Central Tax.{0,600}?" + SUMMARY_ROW, 1)
+        F.when(amount > 0, F.lit(label)) for amount, (_, label, _) in zip(_section_amounts(body), SECTIONS)]))
+    taxable = F.regexp_extract(_behind(F.regexp_replace("text", r"[ \t]+", " "), "Taxable Value", "Central Tax"), SUMMARY_ROW, 1)
     billed = F.when((F.size(labels) == 0) & (zero_if_null(_amount(taxable)) > 0), F.array(F.lit(DEFAULT_SECTION[0]))).otherwise(labels)
     return documents.select(
         "doc_id", _grab(body, r"(?i)Invoice\s*(?:No|Number|#)[:\s]*([A-Z0-9/_-]{4,30})").alias("invoice_no"),
@@ -534,7 +559,7 @@ def bank_transactions(documents: DataFrame, confidence: str | None = None) -> Da
     count = F.col("n")
     out = counted.select(
         "doc_id", "line_no", sanitize_date(F.col("date")).alias("date"),
-        sanitize_text(F.coalesce(blank_to_null(words), F.lit("BANK TRANSACTION")), 300).alias("narration"),
+        sanitize_text(F.coalesce(blank_to_null(words), F.lit("BANK TRANSACTION"))).alias("narration"),
         F.when(count == 2, sanitize_amount(from_end(2))).when(count == 3, sanitize_amount(from_end(3))).otherwise("").alias("debit"),
         F.when(count == 3, sanitize_amount(from_end(2))).otherwise("").alias("credit"),
         F.when(count > 0, sanitize_amount(from_end(1))).otherwise("").alias("balance"), "bank")
@@ -543,11 +568,12 @@ def bank_transactions(documents: DataFrame, confidence: str | None = None) -> Da
     return scored if confidence is None else scored.filter(F.col("confidence") == confidence)
 
 
+# Patterns of the fast pass; a number is taken whole, however long.
 FAST_GSTIN = r"\b(0[1-9]|[12]\d|3[0-8])[A-Z]{5}\d{4}[A-Z][1-9A-Z]Z[0-9A-Z]\b"
 FAST_IRN = r"\b([a-fA-F0-9]{64})\b"
 FAST_NUMBER = (
     r"(?i)(?:Invoice|Inv|Bill|Debit\s*Note|Credit\s*Note|Tax\s*Invoice|Proforma)[\s.]*(?:No|Number|#|Ref)?[\s.:#-]*"
-    r"([A-Za-z0-9][A-Za-z0-9\-/\\]{0,15})\b")
+    r"([A-Za-z0-9][A-Za-z0-9\-/\\]*)\b")
 
 
 def fast_extract(documents: DataFrame) -> DataFrame:
@@ -597,7 +623,7 @@ def certificates(documents: DataFrame) -> DataFrame:
     raw = F.coalesce(*[F.nullif(F.regexp_extract(body, p, 1), F.lit("")) for p in patterns])
     name = F.trim(F.try_element_at(F.split(F.trim(raw), r"[:\t\r]"), F.lit(1)))
     kind = F.coalesce(
-        _grab(body, r"(?i)(?:Enterprise Type|Classification|Category)[\s\S]{0,100}\b(micro|small|medium|large)\b"),
+        _grab(F.get(F.split(body, r"(?i)Enterprise Type|Classification|Category", 2), F.lit(1)), r"(?i)\b(micro|small|medium|large)\b"),
         _grab(body, r"(?i)\b(micro|small|medium|large)\b"))
     return documents.select(
         "doc_id", F.coalesce(F.upper(_grab(body, r"(?i)\b(UDYAM-[A-Z]{2}-\d{2}-\d{7})\b")), F.lit("UNKNOWN")).alias("udyam_number"),

@@ -25,6 +25,7 @@ def build_session(app_name: str = "khata", master: str | None = None, **conf: st
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         HUGE_METHOD_LIMIT[0]: HUGE_METHOD_LIMIT[1],
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for key, value in settings.items():
@@ -33,7 +34,7 @@ def build_session(app_name: str = "khata", master: str | None = None, **conf: st
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a fresh local one only when none is set (tests)."""
+    """The shared folder named by the cluster; a fresh local one only where none is set and all runs on this machine."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     active = spark.sparkContext.getCheckpointDir()
     if active:
@@ -41,6 +42,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
         return configured
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(local)
     return local

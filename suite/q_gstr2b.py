@@ -41,8 +41,9 @@ def recon2b_exact(spark, sf):
 def fuzzy_pairs(spark, sf):
     r = reconciliation(spark, sf)
     pairs = gstr2b.fuzzy_pairs(r.unmatched, r.remaining)
-    return pairs.select("book_key", F.col("rec.inv_no").alias("inv_no_2b"),
-                        F.col("rec.total_val").cast("double").alias("total_2b"))
+    records = r.remaining.select(F.col("seq").alias("rec_seq"), F.col("inv_no").alias("inv_no_2b"),
+                                 F.col("total_val").cast("double").alias("total_2b"))
+    return pairs.join(records, "rec_seq").select("book_key", "inv_no_2b", "total_2b")
 
 
 @query("""SELECT norm_key, invoice_no AS supplier_inv, total_amount::DOUBLE AS total_amount, recon_status,

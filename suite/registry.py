@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from khata.session import HUGE_METHOD_LIMIT
-
 from . import tables_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,12 +19,7 @@ def query(sql: str | None = None, uses: str = "", name: str | None = None):
     def register(fn: Query) -> Query:
         key = name or fn.__name__
 
-        @functools.wraps(fn)
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set(*HUGE_METHOD_LIMIT)
-            return fn(spark, sf_dir)
-
-        QUERIES[key] = run
+        QUERIES[key] = fn
         if sql is not None:
             ORACLES[key] = tables_sql.with_tables(sql, uses)
         return fn

@@ -96,6 +96,17 @@ def test_assignment_follows_arrival(spark):
     assert rows(assign_in_order(pairs, "l", "r"), "l", "r") == [(1, 1), (2, 2), (3, 3)]
 
 
+def test_assignment_of_cliques_and_chains(spark):
+    """No rounds: a block in which all are related, and one where each waits for the one before."""
+    clique = [("c", i, j) for i in range(200) for j in range(200)]
+    chain = [("d", i, j) for i in range(200) for j in (i, i + 1)]
+    pairs = spark.createDataFrame(clique + chain + [(None, 5, 5), (None, 6, 5)], "g string, l int, r int").repartition(7)
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    got = assign_in_order(pairs, "l", "r", within=("g",)).collect()
+    assert sorted(map(tuple, got)) == sorted([(i, i) for i in range(200)] * 2 + [(5, 5)])
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - len(before) <= 4
+
+
 def test_statement_shapes(spark, tmp_path):
     docs = [
         '{"gstin":"short","data":{"gstin":" 29bbbbb0000b1z5 ","docdata":{"b2b":[{"ctin":"29-aaa","inv":[{"inum":"A/1","dt":"01-04-2024","val":118,"itms":[{"itm_det":{"txval":60,"iamt":10.8}},{"itm_det":{"taxable_val":40,"igst":7.2}}]},{"inum":" ","val":5}]}]}}}',
