@@ -59,7 +59,7 @@ def to_push(items: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def append_log(log: DataFrame, results: DataFrame) -> DataFrame:
-    """Every attempt is logged, failed ones too; the log itself is never rewritten."""
+    """Every attempt is logged, failed ones too; earlier rows stay as they are."""
     return log.unionByName(results.select(*log.columns))
 
 

@@ -1,7 +1,8 @@
 """foreachBatch sinks that keep state as versioned Parquet.
 
-Batch n reads version n-1 and writes version n, so a batch that is run again after a failure writes
-the same version once more and changes nothing.
+A batch reads the newest committed version and writes the next one; a small commit table behind it names
+the query and epoch that wrote it. A batch that is run again after a failure finds its own commit, reads the version
+before, and writes the same version once more. A query that starts anew, from epoch 0, goes on from the stored state.
 """
 
 from __future__ import annotations
@@ -20,14 +21,50 @@ PUSH_LOG_SCHEMA = "item_type string, item_id string, company string, status stri
 Sink = Callable[[DataFrame, int], None]
 
 
+def _path(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as it names it."""
+    name = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return name.getFileSystem(spark._jsc.hadoopConfiguration()), name
+
+
+def _numbers(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """Numbers of the folders ``prefix``N that a finished write left under a path."""
+    store, name = _path(spark, path)
+    found = store.listStatus(name) if store.exists(name) else []
+    return sorted(int(f.getPath().getName()[len(prefix):]) for f in found if f.getPath().getName().startswith(prefix)
+                  and store.exists(_path(spark, f"{f.getPath()}/_SUCCESS")[1]))
+
+
+def query_id(spark: SparkSession) -> str:
+    """The running streaming query, or '' in a call of one's own."""
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
+
+
 def read_version(spark: SparkSession, path: str, version: int, schema: str) -> DataFrame:
     if version < 0:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(f"{path}/version={version}")
 
 
-def _write(rows: DataFrame, path: str, version: int) -> None:
+def newest_version(spark: SparkSession, path: str) -> int:
+    """The last committed version, -1 without one."""
+    return max(_numbers(spark, path, "commit="), default=-1)
+
+
+def _base_version(spark: SparkSession, path: str, epoch: int) -> int:
+    """The version that a batch starts from: the newest one, or the one before it if this batch wrote the newest."""
+    newest = newest_version(spark, path)
+    if newest >= 0:
+        wrote = spark.read.parquet(f"{path}/commit={newest}").first()
+        if (wrote["query_id"], wrote["epoch"]) == (query_id(spark), epoch):
+            return newest - 1
+    return newest
+
+
+def _write(rows: DataFrame, path: str, version: int, epoch: int) -> None:
+    spark = rows.sparkSession
     rows.write.mode("overwrite").parquet(f"{path}/version={version}")
+    spark.createDataFrame([(query_id(spark), epoch)], "query_id string, epoch long").coalesce(1).write.mode("overwrite").parquet(f"{path}/commit={version}")
 
 
 def trigger_sink(path: str, scope: DataFrame, now: Column) -> Sink:
@@ -37,34 +74,55 @@ def trigger_sink(path: str, scope: DataFrame, now: Column) -> Sink:
     """
     def merge(gaps: DataFrame, epoch: int) -> None:
         spark = gaps.sparkSession
-        old = read_version(spark, path, epoch - 1, schemas.GAP_TRIGGERS)
+        base = _base_version(spark, path, epoch)
+        old = read_version(spark, path, base, schemas.GAP_TRIGGERS)
         seen = gaps.select("tenant_id", "registration_gstin").distinct()
         covered = scope.join(seen, ["tenant_id", "registration_gstin"], "left_semi")
-        _write(state.merge_triggers(old, gaps, covered, now).select(*old.columns), path, epoch)
+        _write(state.merge_triggers(old, gaps, covered, now).select(*old.columns), path, base + 1, epoch)
 
     return merge
 
 
-def file_sink(path: str, handle: Callable[[DataFrame], None]) -> Sink:
-    """Hand new and changed files to ``handle`` and remember them as completed."""
+def file_sink(path: str, handle: Callable[[DataFrame], DataFrame | None]) -> Sink:
+    """Hand new and changed files to ``handle`` and remember what became of them.
+
+    ``handle`` returns (file_id, status) of the files it was given; a file it doesn't name has failed, and comes
+    again. Where it returns nothing, all are completed.
+    """
     def take(files: DataFrame, epoch: int) -> None:
         spark = files.sparkSession
-        tracker = read_version(spark, path, epoch - 1, TRACKER_SCHEMA)
+        base = _base_version(spark, path, epoch)
+        tracker = read_version(spark, path, base, TRACKER_SCHEMA)
         latest = files.groupBy("file_id").agg(F.max_by("md5", "seq").alias("md5"))
         todo = inventory.needs_processing(latest, tracker)
-        handle(todo)
-        done = latest.select("file_id", "md5", F.lit("completed").alias("status"))
-        _write(tracker.join(latest.select("file_id"), "file_id", "left_anti").unionByName(done), path, epoch)
+        outcome = handle(todo)
+        done = todo.select("file_id", "md5")
+        if outcome is None:
+            done = done.withColumn("status", F.lit("completed"))
+        else:
+            done = done.join(outcome.select("file_id", "status"), "file_id", "left").withColumn("status", F.coalesce("status", F.lit("failed")))
+        _write(tracker.join(done.select("file_id"), "file_id", "left_anti").unionByName(done), path, base + 1, epoch)
 
     return take
 
 
+def push_log(spark: SparkSession, path: str, without: str = "") -> DataFrame:
+    """All logged attempts, but for those of one batch."""
+    store, name = _path(spark, path)
+    batches = [str(f.getPath()) for f in store.listStatus(name) if f.getPath().getName() != without] if store.exists(name) else []
+    return spark.read.schema(PUSH_LOG_SCHEMA).parquet(*batches) if batches else spark.createDataFrame([], PUSH_LOG_SCHEMA)
+
+
 def push_sink(path: str, deliver: Callable[[DataFrame], DataFrame]) -> Sink:
-    """Deliver export-ready items once; ``deliver`` returns them with the status of the attempt."""
+    """Deliver export-ready items once; ``deliver`` returns them with the status of the attempt.
+
+    Each batch adds a folder of its own to the log and touches no other; run again, it writes its folder anew.
+    """
     def push(items: DataFrame, epoch: int) -> None:
         spark = items.sparkSession
-        log = read_version(spark, path, epoch - 1, PUSH_LOG_SCHEMA)
+        own = f"batch={query_id(spark)}-{epoch}"
+        log = push_log(spark, path, without=own)
         results = deliver(ledger.to_push(items, log)).withColumn("batch_no", F.lit(epoch).cast("long"))
-        _write(ledger.append_log(log, results), path, epoch)
+        results.select(*log.columns).write.mode("overwrite").parquet(f"{path}/{own}")
 
     return push
