@@ -50,6 +50,8 @@ def without_replaced(events: DataFrame, replayed: DataFrame) -> DataFrame:
 
 
 def first_sightings(documents: DataFrame, late: str = "1 day") -> DataFrame:
-    """The first arrival of each document; re-uploads within the watermark drop out."""
+    """One arrival of each document; re-uploads within the watermark drop out of a stream, all of them out of a table."""
     normal = documents.withColumns({c: F.upper(F.trim(F.coalesce(c, F.lit("")))) for c in DOCUMENT_KEY})
+    if not documents.isStreaming:
+        return normal.dropDuplicates(DOCUMENT_KEY)
     return _timed(normal, late).dropDuplicatesWithinWatermark(DOCUMENT_KEY)

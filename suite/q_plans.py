@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from khata.operators import metrics
 from khata.plans import invoice_audit, period_close, purchase_recon
 from khata.streaming import events as ev
 
@@ -46,11 +47,17 @@ def events_without_replaced(spark, sf):
         F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""WITH {_EV} SELECT event_id, {_TYPE} AS event_type, strftime(ts,'%Y-%m-%d %H:%M:%S') AS at FROM ev WHERE file_id='F7'""")
+def event_trace(spark, sf):
+    """What happened to one file, in order: a look-up, so other files are not the feature."""
+    out = metrics.trace(obs_events(spark, sf), "F7")
+    return out.select("event_id", "event_type", F.date_format("timestamp_utc", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
 @query("""SELECT count(*) AS n FROM (SELECT DISTINCT invoice_no, coalesce(party_gstin,''), voucher_date FROM sales)""", "sales")
 def first_sightings(spark, sf):
     lines = sales_lines(spark, sf, part=False).withColumn("timestamp_utc", F.col("o_orderdate"))
-    unique = lines.select("invoice_no", "party_gstin", "voucher_date").withColumns(
-        {c: F.upper(F.trim(F.coalesce(c, F.lit("")))) for c in ev.DOCUMENT_KEY}).dropDuplicates(ev.DOCUMENT_KEY)
+    unique = ev.first_sightings(lines.select("invoice_no", "party_gstin", "voucher_date", "timestamp_utc"))
     return unique.agg(F.count(F.lit(1)).alias("n"))
 
 

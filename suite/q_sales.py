@@ -50,6 +50,23 @@ def totals_three_way(spark, sf):
                       "matches")
 
 
+@query("""SELECT sum(CASE WHEN voucher_type='Sales' THEN taxable_value ELSE -taxable_value END)::DOUBLE AS net_taxable FROM sales""", "sales")
+def net_taxable(spark, sf):
+    lines = sales_lines(spark, sf, part=False)
+    return sales_recon.net_taxable(lines, "voucher_type", "taxable_value").select(*d("net_taxable"))
+
+
+@query("""WITH a AS (SELECT *, CASE okey%10 WHEN 0 THEN 'ERR' WHEN 1 THEN 'WARN' WHEN 2 THEN NULL ELSE 'PASS' END AS status FROM sales)
+ SELECT count(*) AS total_invoices, count(*) FILTER (status='PASS') AS n_pass, count(*) FILTER (status='WARN') AS n_warn,
+  count(*) FILTER (status='ERR') AS n_err, round(count(*) FILTER (status='PASS')*100.0/count(*),1)::DOUBLE AS accuracy_pct,
+  sum(taxable_value)::DOUBLE AS total_taxable, sum(total_invoice_value)::DOUBLE AS total_value FROM a""", "sales")
+def audit_batch_summary(spark, sf):
+    kind = F.col("okey") % 10
+    status = F.when(kind == 0, "ERR").when(kind == 1, "WARN").when(kind != 2, "PASS")
+    out = registers.audit_batch_summary(sales_lines(spark, sf, part=False).withColumn("status", status))
+    return out.select("total_invoices", "n_pass", "n_warn", "n_err", *d("accuracy_pct total_taxable total_value"))
+
+
 @query("""SELECT invoice_no AS doc_no, count(*) AS n, sum(taxable_value)::DOUBLE AS taxable FROM sales
  GROUP BY 1 HAVING count(*)>1""", "sales")
 def dup_doc_numbers(spark, sf):

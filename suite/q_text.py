@@ -161,7 +161,18 @@ def document_lines(spark, sf):
     return lines.select("doc_id", "n_lines", (F.col("chars") + F.col("n_lines") - 1).alias("n_chars"))
 
 
-@query()
+def _any(column: str, words) -> str:
+    return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
+
+
+@query(f"""WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents),
+ l AS (SELECT doc_id, lower(unnest(p)) AS low, unnest(range(len(p))) AS i FROM parts),
+ m AS (SELECT *, {_any("low", tx.TABLE_WORDS)} AS tab, {_any("low", tx.TOTALS_WORDS)} AS tot, {_any("low", tx.PAYMENT_WORDS)} AS pay FROM l),
+ t AS (SELECT *, coalesce(min(i) FILTER (tab) OVER (PARTITION BY doc_id), 2147483647) AS table_at FROM m),
+ e AS (SELECT *, coalesce(min(i) FILTER (i >= table_at AND NOT pay) OVER (PARTITION BY doc_id), 2147483647) AS item_at FROM t),
+ r AS (SELECT *, coalesce(min(i) FILTER (i > item_at AND tot) OVER (PARTITION BY doc_id), 2147483647) AS totals_at FROM e)
+ SELECT CASE WHEN pay THEN 'payment' WHEN i >= totals_at THEN 'totals' WHEN i >= table_at THEN 'items_table' ELSE 'metadata' END AS region,
+  count(*) AS n FROM r GROUP BY 1""")
 def document_regions(spark, sf):
     docs = read(spark, sf, "documents").select("doc_id", "text")
     return tx.line_regions(docs).groupBy("region").agg(F.count(F.lit(1)).alias("n"))
@@ -174,10 +185,13 @@ def document_candidates(spark, sf):
     return tx.candidates(docs).groupBy("field", "keyword").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("value").alias("n_values"))
 
 
-@query()
+@query(f"""WITH f AS (SELECT page_id AS doc_id, list_distinct(regexp_extract_all(upper(html), '{tx.FAST_GSTIN}')) AS g,
+  regexp_extract(html, '{tx.FAST_IRN}', 1) AS i, regexp_extract_all(html, '{tx.FAST_NUMBER}', 1) AS numbers FROM pages),
+ n AS (SELECT *, list_filter(numbers, lambda x: length(x) >= 2) AS long FROM f)
+ SELECT doc_id, g[1] AS gst_no, nullif(lower(i), '') AS irn, long[1] AS supplier_inv, len(list_distinct(long)) AS n_numbers FROM n""")
 def page_fast_extract(spark, sf):
     pages = read(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
-    return tx.fast_extract(pages).select("doc_id", "gst_no", "irn", "supplier_inv", F.size("numbers").alias("n_numbers"))
+    return tx.fast_extract(pages).select("doc_id", "gst_no", "irn", "supplier_inv", F.size("numbers").cast("bigint").alias("n_numbers"))
 
 
 @query(f"""WITH {_TX} SELECT okey AS doc_id, '07AABCF0001A1Z5' AS gst_no, no AS supplier_inv,
