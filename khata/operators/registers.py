@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.common import any_contains, money, text, zero_if_null
 from ..functions.itc import CATEGORIES
 from ..functions.tax import TDS_THRESHOLD, TOL_MATCHING_SHEET, dec
-from .joins import join_null_safe
 
 KEYS = ["invoice_no", "voucher_date", "party_gstin", "party_ledger_name", "place_of_supply"]
 SUMS = ["taxable_value", "discount", "advances", "sgst_amount", "cgst_amount", "igst_amount",
@@ -24,21 +23,27 @@ def distinct_lines(lines: DataFrame) -> DataFrame:
 
 
 def sales_register(lines: DataFrame, round_off: Column | None = None) -> DataFrame:
-    """One row per invoice and category; missing keys form groups of their own."""
-    rows = distinct_lines(lines)
-    sums = rows.groupBy(*KEYS, "gstr1_category").agg(*[money(F.sum(c)).alias(c) for c in SUMS])
-    heads = rows.groupBy(*KEYS).agg(
-        F.when(F.min("hsn") == F.max("hsn"), F.min("hsn")).alias("hsn"),
-        F.min_by("narration", F.when(F.col("narration").isNotNull(), F.col("seq"))).alias("nature"),
-    )
+    """One row per invoice and category; missing keys form groups of their own.
+
+    ``particulars`` holds all names of the invoice, so its length follows theirs.
+    """
     part = F.trim("particulars")
-    names = (
-        rows.filter((part != "") & (part != PLACEHOLDER))
-        .groupBy(*KEYS, part.alias("part")).agg(F.min("seq").alias("seq"))
-        .groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("seq", "part"))).alias("parts"))
-        .select(*KEYS, F.array_join(F.col("parts.part"), " | ").alias("particulars"))
-    )
-    out = join_null_safe(join_null_safe(sums, heads, KEYS, "left"), names, KEYS, "left")
+    named = F.when((part != "") & (part != PLACEHOLDER), part)
+    first = F.when(F.col("narration").isNotNull(), F.struct("seq", "narration"))
+    # the lines are read once; what all categories of an invoice share is looked up over its few rows
+    names = distinct_lines(lines).groupBy(*KEYS, "gstr1_category", named.alias("part")).agg(
+        *[F.sum(c).alias(c) for c in SUMS], F.min("hsn").alias("low"), F.max("hsn").alias("high"),
+        F.min(first).alias("first"), F.min("seq").alias("seq"))
+    sums = names.groupBy(*KEYS, "gstr1_category").agg(
+        *[money(F.sum(c)).alias(c) for c in SUMS], F.min("low").alias("low"), F.max("high").alias("high"),
+        F.min("first").alias("first"), F.collect_list(F.when(F.col("part").isNotNull(), F.struct("seq", "part"))).alias("parts"))
+    invoice = Window.partitionBy(*KEYS)
+    low, high = F.min("low").over(invoice), F.max("high").over(invoice)
+    parts = F.array_distinct(F.transform(F.array_sort(F.flatten(F.collect_list("parts").over(invoice))), lambda x: x["part"]))
+    out = sums.select(
+        *KEYS, "gstr1_category", *SUMS, F.when(low == high, low).alias("hsn"),
+        F.min("first").over(invoice)["narration"].alias("nature"),
+        F.when(F.size(parts) > 0, F.array_join(parts, " | ")).alias("particulars"))
     return out.withColumn("round_off", money(round_off if round_off is not None else F.lit(0)))
 
 

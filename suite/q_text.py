@@ -185,8 +185,12 @@ def document_candidates(spark, sf):
     return tx.candidates(docs).groupBy("field", "keyword").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("value").alias("n_values"))
 
 
+# DuckDB's \\b knows ASCII letters only; the end of a number is spelled out
+_NUMBER = tx.FAST_NUMBER.removesuffix(r"\b") + r"(?:[^\p{L}\p{N}_]|$)"
+
+
 @query(f"""WITH f AS (SELECT page_id AS doc_id, list_distinct(regexp_extract_all(upper(html), '{tx.FAST_GSTIN}')) AS g,
-  regexp_extract(html, '{tx.FAST_IRN}', 1) AS i, regexp_extract_all(html, '{tx.FAST_NUMBER}', 1) AS numbers FROM pages),
+  regexp_extract(html, '{tx.FAST_IRN}', 1) AS i, regexp_extract_all(html, '{_NUMBER}', 1) AS numbers FROM pages),
  n AS (SELECT *, list_filter(numbers, lambda x: length(x) >= 2) AS long FROM f)
  SELECT doc_id, g[1] AS gst_no, nullif(lower(i), '') AS irn, long[1] AS supplier_inv, len(list_distinct(long)) AS n_numbers FROM n""")
 def page_fast_extract(spark, sf):
