@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.common import money, text, zero_if_null
 from ..functions.dates import in_period
 from ..functions.ids import routing_prefix
+from ..session import cut_lineage
 from . import gstr1
 
 EXCLUDED = ("MISSING_SOURCE_PDF", "UNVERIFIABLE_NO_GSTIN")
@@ -63,9 +64,12 @@ def with_registration(lines: DataFrame, registrations: dict[str, str]) -> DataFr
 
 
 def filings_summary(lines: DataFrame, entries: DataFrame, registrations: dict[str, str]) -> DataFrame:
-    """One row per registration: totals, invoices, sections and flagged documents, in one job."""
+    """One row per registration: totals, invoices, sections and flagged documents.
+
+    The joined lines feed several aggregations, so they are written once.
+    """
     marked = with_registration(with_recon_status(lines, entries), registrations)
-    filed = marked.filter("filing_outcome <> 'skipped'")
+    filed = cut_lineage(marked.filter("filing_outcome <> 'skipped'"))
     firm_state = F.substring("registration", 1, 2)
     known = filed.filter(F.col("registration") != UNKNOWN_REGISTRATION)
     groups = gstr1.invoice_groups(known, firm_state, ["registration"])
