@@ -65,10 +65,8 @@ def _when_near(low: Column, words, found: Column) -> Column:
 def _gst_and_pan(low: Column) -> list[Column]:
     keyword = F.when(any_contains(low, SELLER_WORDS), "supplier").when(any_contains(low, BUYER_WORDS), "buyer")
     sure = F.when(any_contains(low, SELLER_WORDS), 0.95).when(any_contains(low, BUYER_WORDS), 0.9).otherwise(0.8)
-    fresh = F.filter(
-        F.col("pan"), lambda p: ~F.exists("pans", lambda k: (k["pan"] == p) & (k["line_no"] <= F.col("line_no"))))
     return [F.transform("gstin", lambda g: _found(0, "gstin", g, keyword, sure)),
-            F.transform(fresh, lambda p: _found(0, "pan", p, None, 0.7))]
+            F.transform("pan", lambda p: _found(0, "pan", p, None, 0.7))]
 
 
 def _invoice_numbers(line: Column) -> list[Column]:
@@ -108,8 +106,11 @@ def candidates(documents: DataFrame) -> DataFrame:
     known = F.flatten(F.transform("lines", lambda line, i: F.transform(
         _all(line, GSTIN_IN_LINE), lambda g: F.named_struct(
             F.lit("line_no"), i, F.lit("pan"), F.substring(g, 3, 10)))))
-    rows = documents.select("doc_id", F.split("text", "\n").alias("lines")).select(
-        "doc_id", known.alias("pans"), F.posexplode("lines").alias("line_no", "line"))
+    whole = documents.select("doc_id", F.split("text", "\n").alias("lines")).select("doc_id", "lines", known.alias("pans"))
+    # a PAN counts unless a GSTIN up to its line holds it; settled here, so that no line carries the document's GSTINs
+    fresh = F.transform("lines", lambda line, i: F.struct(line.alias("line"), F.filter(
+        _all(line, PAN_IN_LINE), lambda p: ~F.exists("pans", lambda k: (k["pan"] == p) & (k["line_no"] <= i))).alias("pan")))
+    rows = whole.select("doc_id", F.posexplode(fresh).alias("line_no", "l")).select("doc_id", "line_no", "l.line", "l.pan")
     line, low = F.col("line"), F.col("low")
     digit = line.rlike(r"\d")
     empty = F.array().cast("array<string>")
@@ -119,7 +120,6 @@ def candidates(documents: DataFrame) -> DataFrame:
     staged = rows.withColumn("low", F.lower("line")).select(
         "*",
         F.when(digit, _all(line, GSTIN_IN_LINE)).otherwise(empty).alias("gstin"),
-        F.when(digit, _all(line, PAN_IN_LINE)).otherwise(empty).alias("pan"),
         F.when(digit, _when_near(low, TAX_FIELDS, _all(line, TAX_NUMBER))).otherwise(empty).alias("tax_numbers"),
         F.when(digit, _when_near(low, TOTAL_FIELDS, _all(line, TOTAL_NUMBER))).otherwise(empty).alias("total_numbers"),
         F.when(digit, _all(line, IFSC_IN_LINE)).otherwise(empty).alias("ifsc"),
