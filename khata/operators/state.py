@@ -97,6 +97,14 @@ def run_due(state: DataFrame, policy: DataFrame, now: Column) -> DataFrame:
         "resolved_at")
 
 
+def triggers_of(state: DataFrame, tenant: str, registration: str | None = None, status: str | None = None) -> DataFrame:
+    """A tenant's triggers, of one registration and status if named."""
+    rows = state.filter(F.col("tenant_id") == tenant)
+    if registration is not None:
+        rows = rows.filter(F.col("registration_gstin") == registration)
+    return rows if status is None else rows.filter(F.col("status") == status)
+
+
 def decide_triggers(state: DataFrame, decisions: DataFrame) -> DataFrame:
     """Outcome of approve / reject decisions: accepted, or the reason why not."""
     joined = decisions.join(state.select(*TRIGGER_KEY, "status"), TRIGGER_KEY, "left")

@@ -12,7 +12,7 @@ from khata.sources import inventory, tables as source
 
 from .q_gstr2b import reconciliation
 from .registry import query
-from .tables import FIRM_GSTIN, FIRM_STATE, read, sales_lines
+from .tables import FIRM_GSTIN, FIRM_STATE, purchase_lines, read, sales_lines
 from .util import d
 
 _KIND = {"view": "extraction_quality_score", "purchase": "file_metrics", "error": "system_flag",
@@ -321,6 +321,31 @@ _TRIG = """gp AS (SELECT party_gstin AS g, b.invoice_no AS no, 'missing_in_2b' A
   FROM gp FULL JOIN os ON gp.g=os.g AND gp.no=os.no AND gp.bucket=os.bucket)"""
 
 
+_VERDICT = """CASE WHEN bucket<>'not_in_books' AND no LIKE '%5' THEN 'needs no approval' WHEN status<>'pending_review' THEN 'not pending review: '||status END"""
+
+
+def _votes(spark, sf):
+    """The merged state, and votes on all of it: records missing in the books and numbers that end in 5 are approved, the others rejected."""
+    merged = _merged(spark, sf)
+    action = F.when((F.col("bucket") == "not_in_books") | F.endswith("invoice_no", F.lit("5")), "approve").otherwise("reject")
+    return merged, state.decide_triggers(merged, merged.select(*state.TRIGGER_KEY, action.alias("action")))
+
+
+@query(f"""WITH {_TRIG} SELECT g AS counterparty_gstin, no AS invoice_no, bucket, {_VERDICT} AS reason, ({_VERDICT}) IS NULL AS accepted FROM mg""",
+       "rows2b extra2b books")
+def trigger_decisions(spark, sf):
+    return _votes(spark, sf)[1].select("counterparty_gstin", "invoice_no", "bucket", "reason", "accepted")
+
+
+@query(f"""WITH {_TRIG} SELECT g AS counterparty_gstin, no AS invoice_no, amount::DOUBLE AS amount FROM mg
+ WHERE bucket='not_in_books' AND status='pending_review'""", "rows2b extra2b books")
+def trigger_listing(spark, sf):
+    """Approved triggers of a tenant, after the votes are applied."""
+    merged, decided = _votes(spark, sf)
+    after = state.apply_decisions(merged, decided)
+    return state.triggers_of(after, "T1", FIRM_GSTIN, "approved").select("counterparty_gstin", "invoice_no", *d("amount"))
+
+
 @query(f"""WITH {_TRIG} SELECT g AS counterparty_gstin, no AS invoice_no, bucket, period, amount::DOUBLE AS amount, status,
   cnt::BIGINT AS trigger_count FROM mg""", "rows2b extra2b books")
 def gap_trigger_merge(spark, sf):
@@ -538,6 +563,22 @@ def register_view(spark, sf):
                       F.col("Total Invoice Value").cast("double").alias("Total Invoice Value"), "Narration", "Source File")
 
 
+@query("""SELECT invoice_no AS "SUPPLIER INV NO", coalesce(party_gstin,'') AS "GST NO", coalesce(party_ledger_name,'') AS "PARTY A/C NAME",
+  nullif(taxable_value,0)::DOUBLE AS "AMOUNT", nullif(igst_amount,0)::DOUBLE AS "IGST", nullif(total_invoice_value,0)::DOUBLE AS "TOTAL AMOUNT" FROM books""", "books")
+def purchase_view(spark, sf):
+    out = views.project(purchase_lines(spark, sf), views.PURCHASE_REGISTER)
+    return out.select("SUPPLIER INV NO", "GST NO", "PARTY A/C NAME", *[F.col(c).cast("double").alias(c) for c in ("AMOUNT", "IGST", "TOTAL AMOUNT")])
+
+
+@query("""SELECT invoice_no AS "Invoice No", coalesce(party_gstin,'') AS "Party GSTIN", coalesce(gstr1_category,'') AS "GSTR-1 Category",
+  nullif(taxable_value,0)::DOUBLE AS "Taxable Value", nullif(cgst_amount,0)::DOUBLE AS "CGST Amount", '' AS "Note",
+  CASE WHEN okey%10=0 THEN 'ERR' ELSE '' END AS "Status" FROM sales""", "sales")
+def audit_view(spark, sf):
+    lines = sales_lines(spark, sf).withColumn("status", F.when(F.col("okey") % 10 == 0, "ERR"))
+    out = views.project(lines, views.AUDIT)
+    return out.select("Invoice No", "Party GSTIN", "GSTR-1 Category", *[F.col(c).cast("double").alias(c) for c in ("Taxable Value", "CGST Amount")], "Note", "Status")
+
+
 @query("""SELECT "Recon Status", count(*) AS n, count("Fuzzy Matched") AS fuzzy, sum(v)::DOUBLE AS total FROM (
   SELECT recon_status AS "Recon Status", CASE WHEN fuzzy_matched THEN 1 END AS "Fuzzy Matched", total_amount AS v FROM rows2b
   UNION ALL SELECT 'not_in_books', NULL, total_val FROM extra2b) GROUP BY 1""", "rows2b extra2b")
