@@ -69,7 +69,8 @@ def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataF
 
     marked = docs.withColumn(ROW, row_key())
     found = written(marked.select(ROW, F.col("doc_id").cast("long"), "text").mapInArrow(suspects, f"{ROW} long, doc_id long, digest binary"), "line-suspects")
-    confirmed = found.groupBy("digest").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs).drop("n")
+    # a table of its own, so that the join's sides are plain exchanges, of which Spark can split a hot line
+    confirmed = written(found.groupBy("digest").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs).drop("n"), "shared-lines")
     drops = found.join(confirmed, "digest").where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy(ROW).agg(F.collect_set("digest").alias("_drops"))
 
     schema = marked.drop(ROW).schema
