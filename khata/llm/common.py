@@ -48,6 +48,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table that ``written`` made and nothing reads any more."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        remove_path(df.sparkSession, path)
+
+
 def partitions_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -13,6 +13,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     No node's neighbours are gathered: each step joins the edges with one minimum for each node. The rounds grow with the
     logarithm of the longest path. Self-loops are allowed and name a node without partners."""
+    edges = written(edges.select("a", "b"), "edges")
     loops = edges.where("a = b").select("a").distinct()
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
@@ -24,7 +25,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # small star: every node joins its smaller neighbours, and itself, to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        now = written(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
+        old, now = now, written(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
+        discard(old)
         sign = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if sign == before:
             break
