@@ -9,7 +9,9 @@ Blocks hold all pairs that can link. Two sets with Jaccard similarity t or more
 dealt by hash into one part more than that number, one part is equal in both sets. So classes that agree in one part (of the
 same size class) share a key, and linked classes are always in one connected component of the shared-key graph. Each such
 component is a block. A large block is cut into pieces, and every pair of pieces is traversed in a task of its own.
-Keys seen once are kept from the shuffle by a pair of Bloom filters, which lose no repeated key.
+Parts that hold nothing but heavy tokens (of passages that very many documents share) make no key as long as a set has few of
+them, since there are spare parts; so a common passage alone doesn't draw documents into one block. Any choice of heavy
+tokens gives the same links: they are found by counters of fixed size over all documents. Keys seen once are kept from the shuffle by a pair of Bloom filters, which lose no repeated key.
 
 Defined cases: null or empty texts, or texts without words, have an empty set and link with nothing. Equal sets always link. Repeated
 rows are documents that link with each other. Null ids order last among a component's ids.
@@ -17,6 +19,7 @@ rows are documents that link with each other. Null ids order last among a compon
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 from functools import partial
 
@@ -25,12 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, chunks, mixed, partitions_of, row_key, shingle_hashes, signed, word_hashes, written
+from .common import bytes_of, chunks, discard, mixed, partitions_of, row_key, shingle_hashes, signed, word_hashes, written
 from .links import components
-from .sightings import SLOT_SCHEMA, filter_bits, slot_batches, suspect, twice_filter
+from .sightings import SLOT_SCHEMA, filter_bits, matching, slot_batches, suspect, twice_filter
 
 PIECE_TOKENS = 1 << 21
 """A block of more shingles is cut into pieces of about so many (16 MB)."""
+COUNTER_BITS, COUNTER_PART = 22, 14
+HEAVY = 64
+"""A token is heavy if its counter, of 2 ** COUNTER_BITS, is HEAVY above four times the mean."""
 LEAF = 16
 SIGNATURE_BITS = 2048
 
@@ -47,7 +53,7 @@ class SizeClasses:
             end = start * 100 // self.percent  # the last size of this class
             largest = end * 100 // self.percent  # the largest set that can link with it
             differ = (100 - self.percent) * (end + largest) // (100 + self.percent)
-            spare = 2 + differ // 16
+            spare = 2 + differ // 8
             self.starts.append(end + 1)
             self.spare.append(spare)
             self.parts.append(differ + 1 + spare)
@@ -59,20 +65,26 @@ class SizeClasses:
         return [(i, self.parts[i], self.spare[i]) for i in (own - 1, own) if i >= 0]
 
 
-def part_keys(tokens: np.ndarray, classes: SizeClasses) -> np.ndarray:
-    """Keys of a set: for each part, a hash of its tokens there.
+def part_keys(tokens: np.ndarray, classes: SizeClasses, heavy: np.ndarray | None = None) -> np.ndarray:
+    """Keys of a set: for each part, a hash of its tokens there. ``heavy`` marks the counters of heavy tokens.
 
-    Of parts + spare parts, sets that link agree in spare + 1 or more. Parts without tokens make no key, unless a set has more
-    than ``spare`` of them; so an equal part with a key remains."""
+    Of parts + spare parts, sets that link agree in spare + 1 or more. Parts without a light token make no key, unless a set
+    has more than ``spare`` of them; then all parts with tokens do, and if more than ``spare`` have none, all parts. Equal
+    parts are treated alike in both sets unless one of them has more keys; so an equal part with a key in both remains."""
     out = []
     spread, value = tokens >> np.uint64(20), mixed(tokens + np.uint64(0x632BE59BD9B4E019))
+    light = None if heavy is None else ~heavy[(tokens >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
     for table, parts, spare in classes.tables(len(tokens)):
         place = (spread % np.uint64(parts)).astype(np.int64)
         sums = np.zeros(parts, np.uint64)
         np.add.at(sums, place, value)
-        used = np.bincount(place, minlength=parts) > 0
+        used = filled = np.bincount(place, minlength=parts) > 0
+        if light is not None and not light.all():
+            used = np.bincount(place[light], minlength=parts) > 0
         if parts - int(used.sum()) > spare:
-            used[:] = True
+            used = filled
+        if parts - int(used.sum()) > spare:
+            used = np.ones(parts, bool)
         seed = np.arange(parts, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(table * 0x2545F4914F6CDD1D & 0xFFFFFFFFFFFFFFFF)
         out.append(mixed(sums ^ mixed(seed))[used])
     return np.concatenate(out)
@@ -179,30 +191,52 @@ def forest(a: Tree, b: Tree, percent: int) -> list[tuple[int, int]]:
 
 # --- the join
 
-def _marked(words: int, percent: int, bits: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each document (row, doc_id, n, sid), and the filter bits of the keys in rows of their own."""
-    classes, held, size = SizeClasses(percent), [], 0
-    names = ["row", "doc_id", "n", "sid", "part", "once", "twice"]
+def _slots(words: int, percent: int, bits: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The filter bits of all sets' keys, and behind them, with negative part numbers, the task's token counters."""
+    classes, counts = SizeClasses(percent), np.zeros(1 << COUNTER_BITS, np.uint32)
+
+    def keys() -> Iterator[np.ndarray]:
+        for batch in batches:
+            for tokens in shingle_sets(batch.column(0), words):
+                if len(tokens):
+                    counts[(tokens >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)] += 1
+                    yield part_keys(tokens, classes)
+
+    yield from slot_batches(keys(), bits)
+    pieces = counts.reshape(-1, 1 << COUNTER_PART)
+    yield pa.RecordBatch.from_arrays([
+        pa.array(-1 - np.arange(len(pieces)), pa.int32()), pa.array([zlib.compress(p.view(np.uint8).reshape(-1, 4).T.tobytes(), 1) for p in pieces], pa.binary()),
+        pa.array([b""] * len(pieces), pa.binary())], names=["part", "once", "twice"])
 
-    def slots() -> Iterator[pa.RecordBatch]:
-        for b in slot_batches([np.concatenate(held)] if held else [], bits):
-            empty = [pa.nulls(b.num_rows, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64())]
-            yield pa.RecordBatch.from_arrays([*empty, *b.columns], names=names)
+
+def _heavy(limit: float, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, once) of counters, sorted by part: a bitmap of the heavy ones for each part."""
+    now, sums = None, None
+
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(sums > limit, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
 
     for batch in batches:
-        n, ids = [], []
-        for tokens in shingle_sets(batch.column(2), words):
-            n.append(len(tokens))
-            ids.append(set_id(tokens))
-            if len(tokens):
-                held.append(part_keys(tokens, classes))
-                size += len(held[-1])
-            if size >= 1 << 20:
-                yield from slots()
-                held, size = [], 0
-        k = batch.num_rows
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], names=names)
-    yield from slots()
+        for part, counts, _ in zip(*(c.to_pylist() for c in batch.columns)):
+            if part != now:
+                if now is not None:
+                    yield done()
+                now, sums = part, np.zeros(1 << COUNTER_PART, np.int64)
+            sums += np.ascontiguousarray(np.frombuffer(zlib.decompress(counts), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    if now is not None:
+        yield done()
+
+
+def _filters(slots: DataFrame, bits: int, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """The twice-seen filter and the heavy counters' bitmap; of fixed size (32 MB and half a MB at most)."""
+    slots = written(slots, "slots")
+    counters = slots.where("part < 0").repartition(partitions_of(slots.sparkSession), "part").sortWithinPartitions("part")
+    heavy = np.zeros(1 << COUNTER_BITS, bool)
+    for row in counters.mapInArrow(partial(_heavy, limit), "part int, bits binary").collect():
+        heavy[(-1 - row["part"]) << COUNTER_PART:(-row["part"]) << COUNTER_PART] = np.unpackbits(np.frombuffer(row["bits"], np.uint8), bitorder="little").astype(bool)
+    seen = twice_filter(slots.where("part >= 0"), bits)
+    discard(slots)
+    return seen, np.packbits(heavy, bitorder="little")
 
 
 def _grouped(words: int, percent: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,30 +272,39 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = filter_bits(total // 12)  # about as many keys as a text has shingles, times 0.4
     texts = docs.select(row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marked = written(texts.mapInArrow(partial(_marked, words, percent, bits), "row long, doc_id long, n long, sid long, " + SLOT_SCHEMA), "shingle-sets")
-    sets = marked.where(F.col("part").isNull()).select("row", "doc_id", "n", "sid")
-    seen = spark.sparkContext.broadcast(twice_filter(marked.where(F.col("part").isNotNull()).select("part", "once", "twice"), bits))  # at most 32 MB
-
-    def suspects(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, maybe = SizeClasses(percent), suspect(seen.value, bits)
+    limit = HEAVY + 4 * (total / 6) / (1 << COUNTER_BITS)
+    seen = spark.sparkContext.broadcast(_filters(docs.select("text").mapInArrow(partial(_slots, words, percent, bits), SLOT_SCHEMA), bits, limit))
+
+    def marked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each document (row, doc_id, n, sid), and in rows of their own (key, sid) of the keys that may be shared."""
+        classes, maybe = SizeClasses(percent), suspect(seen.value[0], bits)
+        heavy = np.unpackbits(seen.value[1], bitorder="little").astype(bool)
+        names = ["row", "doc_id", "n", "key", "sid"]
         for batch in batches:
-            keys, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for tokens in shingle_sets(batch.column(0), words):
-                if len(tokens):
-                    found = part_keys(tokens, classes)
-                    keys.append(found[maybe(found)])
-                    ids.append(np.full(len(keys[-1]), set_id(tokens), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(ids))], names=["key", "sid"])
-
-    keyed = written(docs.select("text").mapInArrow(suspects, "key long, sid long"), "shared-parts")
-    shared = keyed.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("key", "lo")
+            n, ids, keys = [], [], []
+            for tokens in shingle_sets(batch.column(2), words):
+                n.append(len(tokens))
+                ids.append(set_id(tokens))
+                found = part_keys(tokens, classes, heavy) if len(tokens) else np.zeros(0, np.uint64)
+                keys.append(found[maybe(found)])
+            none = pa.nulls(len(n), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), none, pa.array(ids, pa.int64())], names=names)
+            owners = np.repeat(np.array(ids, np.int64), [len(k) for k in keys])
+            none = pa.nulls(len(owners), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(signed(np.concatenate([*keys, np.zeros(0, np.uint64)]))), pa.array(owners)], names=names)
+
+    both = written(texts.mapInArrow(marked, "row long, doc_id long, n long, key long, sid long"), "shingle-sets")
+    sets = both.where(F.col("n").isNotNull()).select("row", "doc_id", "n", "sid")
+    keyed = both.where(F.col("key").isNotNull()).select("key", "sid")
+    # a table of its own, so that the join's sides are plain exchanges, of which Spark can split a hot key
+    shared = written(keyed.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("key", "lo"), "shared-parts")
     blocks = components(keyed.join(shared, "key").where("sid <> lo").select(F.col("sid").alias("a"), F.col("lo").alias("b")).distinct())
 
     one = sets.where("n > 0").groupBy("sid").agg(F.min("row").alias("row"), F.first("n").alias("n"))
     members = one.join(blocks.withColumnRenamed("node", "sid"), "sid")
     pieces = members.groupBy("component").agg(F.ceil(F.sum("n") / F.lit(PIECE_TOKENS)).cast("int").alias("pieces"))
     members = written(members.join(pieces, "component").select("row", "sid", F.col("component").alias("block"), "pieces", F.pmod(F.xxhash64("sid"), F.col("pieces")).cast("int").alias("piece")), "blocks")
-    dealt = texts.select("row", "text").join(members, "row").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    dealt = matching(texts, members).join(members, "row").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     dealt = dealt.select("block", F.least("piece", "other").alias("left"), F.greatest("piece", "other").alias("right"), "piece", "sid", "text")
     dealt = dealt.repartition(partitions_of(spark), "block", "left", "right").sortWithinPartitions("block", "left", "right")
     links = components(dealt.mapInArrow(partial(_grouped, words, percent), "a long, b long"))

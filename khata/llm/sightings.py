@@ -8,7 +8,9 @@ that only share bits pass too, and an exact step follows. The filter has at most
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame
 
 PART_BITS = 20
 MOST_BITS = 28
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 SLOT_SCHEMA = "part int, once binary, twice binary"
 
 
@@ -32,6 +34,15 @@ def _places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return base | (hashes & low), base | ((hashes >> np.uint64(PART_BITS)) & low)
 
 
+def _packed(places: np.ndarray) -> bytes:
+    """Gaps of ascending places, compressed; all low bytes first, as the other bytes are mostly 0."""
+    return zlib.compress(np.diff(places, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpacked(gaps: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(zlib.decompress(gaps), np.uint8).reshape(4, -1).T).view("<u4").ravel(), dtype=np.int64)
+
+
 def slot_batches(arrays: Iterable[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
     """Rows (part, once, twice) with the bits that these hashes set, and those set more than once."""
     held, size = [], 0
@@ -45,8 +56,8 @@ def slot_batches(arrays: Iterable[np.ndarray], bits: int) -> Iterator[pa.RecordB
         bounds = [*firsts, len(part)]
         rows = [(int(p), at[i:j], n[i:j] > 1) for p, i, j in zip(parts, bounds, bounds[1:])]
         yield pa.RecordBatch.from_arrays([
-            pa.array([p for p, _, _ in rows], pa.int32()), pa.array([x.tobytes() for _, x, _ in rows], pa.binary()),
-            pa.array([x[t].tobytes() for _, x, t in rows], pa.binary())], names=["part", "once", "twice"])
+            pa.array([p for p, _, _ in rows], pa.int32()), pa.array([_packed(x) for _, x, _ in rows], pa.binary()),
+            pa.array([_packed(x[t]) for _, x, t in rows], pa.binary())], names=["part", "once", "twice"])
 
     for hashes in arrays:
         if len(hashes):
@@ -59,12 +70,12 @@ def slot_batches(arrays: Iterable[np.ndarray], bits: int) -> Iterator[pa.RecordB
         yield from flush()
 
 
-def _merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by part: one pair of bitmaps at a time."""
+def _merged(second: bool, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by part: one pair of bitmaps at a time, of which the second or the first is wanted."""
     now, once, twice = None, None, None
 
     def done() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(twice if second else once, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
 
     for batch in batches:
         for part, seen, again in zip(*(c.to_pylist() for c in batch.columns)):
@@ -72,18 +83,18 @@ def _merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if now is not None:
                     yield done()
                 now, once, twice = part, np.zeros(1 << PART_BITS, bool), np.zeros(1 << PART_BITS, bool)
-            at = np.frombuffer(seen, np.uint32)
+            at = _unpacked(seen)
             twice[at] |= once[at]
             once[at] = True
-            twice[np.frombuffer(again, np.uint32)] = True
+            twice[_unpacked(again)] = True
     if now is not None:
         yield done()
 
 
-def twice_filter(slots: DataFrame, bits: int) -> np.ndarray:
-    """The second filter as bytes, at most 2 ** (MOST_BITS - 3) of them."""
+def twice_filter(slots: DataFrame, bits: int, second: bool = True) -> np.ndarray:
+    """The second filter (or the first) as bytes, at most 2 ** (MOST_BITS - 3) of them."""
     n = max(1, min(1 << (bits - PART_BITS), int(slots.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    merged = slots.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_merged, "part int, bits binary")
+    merged = slots.repartition(n, "part").sortWithinPartitions("part").mapInArrow(partial(_merged, second), "part int, bits binary")
     out = np.zeros(1 << (bits - 3), np.uint8)
     size = 1 << (PART_BITS - 3)
     for row in merged.collect():  # of bounded size, see MOST_BITS
@@ -91,8 +102,25 @@ def twice_filter(slots: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def matching(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Of ``texts`` (row, text) those whose row may be in ``wanted`` (row): a join with ``wanted`` then shuffles few others."""
+    bits = filter_bits(wanted.count())
+
+    def slots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return slot_batches((b.column(0).to_numpy().view(np.uint64) for b in batches), bits)
+
+    known = texts.sparkSession.sparkContext.broadcast(twice_filter(wanted.select("row").mapInArrow(slots, SLOT_SCHEMA), bits, second=False))  # at most 32 MB
+
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maybe = suspect(known.value, bits)
+        for batch in batches:
+            yield batch.filter(pa.array(maybe(batch.column(0).to_numpy().view(np.uint64))))
+
+    return texts.select("row", "text").mapInArrow(keep, "row long, text string")
+
+
 def suspect(filter_bytes: np.ndarray, bits: int) -> Callable[[np.ndarray], np.ndarray]:
-    """Which hashes may have been seen twice."""
+    """Which hashes may be in the filter."""
 
     def test(hashes: np.ndarray) -> np.ndarray:
         a, b = _places(hashes, bits)
