@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWERED, bytes_of, chunks, mixed, partitions_of, row_key, shingle_hashes, word_hashes
+from .common import LOWERED, bytes_of, chunks, mixed, partitions_of, row_key, shingle_hashes, signed, word_hashes
+from .sightings import SLOT_SCHEMA, filter_bits, slot_batches, suspect, twice_filter
 
 BITS = 128
 WORDS = 3
@@ -73,12 +74,9 @@ def in_order(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("int")
     def place(ids: pd.Series) -> pd.Series:
-        known = ids.notna().to_numpy()
-        out = np.full(len(ids), -1)
-        out[known] = np.searchsorted(edges, ids[known].to_numpy(np.int64), "right")
-        return pd.Series(out.astype(np.int32))
+        return pd.Series(np.searchsorted(edges, ids.to_numpy(np.int64), "right").astype(np.int32))
 
-    placed = rows.withColumn("bucket", place("doc_id"))
+    placed = rows.withColumn("bucket", place(F.coalesce("doc_id", F.lit(-(1 << 63)))))
     heads = placed.groupBy("bucket").agg(F.max(F.struct("doc_id", "row")).alias("h")).collect()  # one row for each bucket
     heads = sorted(heads, key=lambda r: -r["bucket"])
     following = [(r["bucket"], s["h"]["row"]) for r, s in zip(heads, [*heads[1:], *heads[:1]])]
@@ -135,12 +133,31 @@ def apart(a: str, b: str) -> F.Column:
     return sum((F.bit_count(word(a, k).bitwiseXOR(word(b, k))) for k in (0, 1)), F.lit(0))
 
 
-def _tables(prints: DataFrame, name: str, radius: int, blocks: int) -> DataFrame:
-    """Each fingerprint once for every table: (place, key, name)."""
+def table_keys(prints: pa.Array, radius: int, blocks: int) -> np.ndarray:
+    """The keys of fingerprints in all tables: a row for each fingerprint, a column for each choice of blocks."""
     size = BITS // 4 // blocks
-    cut = [F.substring(name, 1 + i * size, size) for i in range(blocks)]
-    keys = [F.struct(F.lit(k).alias("place"), F.concat(*(cut[i] for i in c)).alias("key")) for k, c in enumerate(combinations(range(blocks), blocks - radius))]
-    return prints.select(name, F.explode(F.array(*keys)).alias("t")).select(name, "t.place", "t.key")
+    cut = np.array([[int(p[i * size:(i + 1) * size], 16) % (1 << 64) for i in range(blocks)] for p in prints.to_pylist()], np.uint64).reshape(-1, blocks)
+    out = []
+    for place, chosen in enumerate(combinations(range(blocks), blocks - radius)):
+        key = np.full(len(cut), place, np.uint64)
+        for i in chosen:
+            key = mixed(key ^ mixed(cut[:, i] + np.uint64(i)))
+        out.append(key)
+    return np.stack(out, 1)
+
+
+def _tables(prints: DataFrame, name: str, radius: int, blocks: int, wanted: tuple | None = None) -> DataFrame:
+    """Each fingerprint once for every table: (name, place, key); with ``wanted``, a filter and its bits, only keys that it may hold."""
+    shipped = prints.sparkSession.sparkContext.broadcast(wanted)  # of bounded size, see sightings
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maybe = suspect(*shipped.value) if shipped.value else None
+        for batch in batches:
+            keys = table_keys(batch.column(0), radius, blocks)
+            row, place = np.nonzero(np.ones(keys.shape, bool) if maybe is None else maybe(keys.ravel()).reshape(keys.shape))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(place.astype(np.int32)), pa.array(signed(keys[row, place]))], names=[name, "place", "key"])
+
+    return prints.select(name).mapInArrow(run, f"{name} string, place int, key long")
 
 
 def within_radius(prints: DataFrame, queries: DataFrame, radius: int = 6, blocks: int = 8) -> DataFrame:
@@ -153,7 +170,15 @@ def within_radius(prints: DataFrame, queries: DataFrame, radius: int = 6, blocks
     # of all tables in which two fingerprints agree, the first counts the pair
     alike = [F.substring("fingerprint", 1 + i * size, size) == F.substring("other", 1 + i * size, size) for i in range(blocks)]
     first = F.coalesce(*(F.when(sum((x.cast("int") for x in (alike[i] for i in c)), F.lit(0)) == blocks - radius, F.lit(k)) for k, c in enumerate(combinations(range(blocks), blocks - radius))))
-    left, right = _tables(wanted, "fingerprint", radius, blocks), _tables(all_prints, "other", radius, blocks)
+    left = _tables(wanted, "fingerprint", radius, blocks)
+    # of all fingerprints' keys only those that a query may have are shuffled
+    bits = filter_bits(wanted.count() * len(list(combinations(range(blocks), blocks - radius))))
+
+    def slots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return slot_batches((b.column(0).to_numpy().view(np.uint64) for b in batches), bits)
+
+    asked = twice_filter(left.select("key").mapInArrow(slots, SLOT_SCHEMA), bits, second=False)
+    right = _tables(all_prints, "other", radius, blocks, (asked, bits))
     close = apart("fingerprint", "other") <= radius
     pairs = left.join(right, (left["place"] == right["place"]) & (left["key"] == right["key"]) & close & (first == left["place"])).select("fingerprint", "other")
     return pairs.join(all_prints, "other").groupBy("fingerprint").agg(F.sum("n").alias("n_near"))
