@@ -11,6 +11,8 @@ Every byte that is covered by a string of ``length`` bytes which also starts els
    ``length``; left-type suffixes are induced from them in ascending and the others in descending order. Induced suffixes wait,
    with their common-prefix values, in a priority queue by (first symbol, order of arrival), whose runs lie on disk beyond QUEUE_ROWS rows.
    Neighbours in the sorted order with a common prefix of ``length`` or more are the repeats.
+   Before sorting, a shard looks at the cores of its segments: strings that start within the same few bytes from the anchor share all
+   but these bytes, so where no other segment has the same core nothing repeats, and that part needn't be sorted.
 4. The spans found are joined to every copy of their segments, and the documents are cut.
 
 Defined cases: a null text is empty; a text shorter than ``length`` stays whole. Repeated rows are documents: each other's copies. Other columns pass.
@@ -29,8 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, mixed, partitions_of, row_key, signed, written
-from .sightings import SLOT_SCHEMA, filter_bits, slot_batches, suspect, twice_filter
+from .common import bytes_of, mixed, partitions_of, powers, row_key, signed, written
+from .sightings import SLOT_SCHEMA, filter_bits, matching, slot_batches, suspect, twice_filter
 
 QUEUE_ROWS = 1 << 20
 SHARD_BYTES = 4 << 20
@@ -117,17 +119,39 @@ class SuffixQueue:
         return (np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])) if out else (np.zeros(0, np.int64), np.zeros(0, np.int16))
 
 
-def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Length of the common prefix of the suffixes ``a`` and ``b``, pair by pair, up to ``most``."""
-    padded = np.concatenate([text, np.full(most + 4, -1, text.dtype)])
-    packed = np.lib.stride_tricks.sliding_window_view(padded, 4)
-    out, live = np.zeros(len(a), np.int64), np.arange(len(a))
-    while len(live):
-        same = packed[a[live] + out[live]] == packed[b[live] + out[live]]
-        run = np.where(same.all(1), 4, same.argmin(1))
-        out[live] += run
-        live = live[(run == 4) & (out[live] < most)]
-    return np.minimum(out, most)
+class Prefixes:
+    """Common prefixes of suffixes of a text that ends in a symbol of its own.
+
+    A few symbols are compared directly; longer ones by halving, with 64-bit hashes of the text's beginnings."""
+
+    def __init__(self, text: np.ndarray, most: int):
+        self.most, self.size = most, len(text)
+        wide = np.concatenate([text, np.full(16, 0, text.dtype)]).astype(np.uint64)
+        self.four = wide[:-3] | (wide[1:-2] << np.uint64(16)) | (wide[2:-1] << np.uint64(32)) | (wide[3:] << np.uint64(48))
+        self.power = powers(len(text) + 1)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(text.astype(np.uint64) + np.uint64(1)) * self.power[:-1], dtype=np.uint64)])
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Lengths for the pairs of suffixes ``a`` and ``b``, up to ``most``."""
+        out, live = np.zeros(len(a), np.int64), np.arange(len(a))
+        for _ in range(3):
+            apart = self.four[np.minimum(a[live] + out[live], self.size)] ^ self.four[np.minimum(b[live] + out[live], self.size)]
+            run = np.where(apart == 0, 4, 0)
+            for k in (1, 2, 3):
+                run[(apart != 0) & (apart & np.uint64((1 << (16 * k)) - 1) == 0)] = k
+            out[live] += run
+            live = live[run == 4]
+        a, b, done = a[live], b[live], out[live]
+        step = 1 << (self.most.bit_length() - 1)
+        while step and len(live):
+            length = done + step
+            fits = np.maximum(a, b) + length <= self.size
+            x, y = np.where(fits, a + length, a), np.where(fits, b + length, b)
+            same = (self.sums[x] - self.sums[a]) * self.power[b] == (self.sums[y] - self.sums[b]) * self.power[a]
+            done = np.where(fits & same, length, done)
+            step >>= 1
+        out[live] = done
+        return np.minimum(out, self.most)
 
 
 def local_minima_order(text: np.ndarray, small: np.ndarray, stars: np.ndarray, depth: int) -> np.ndarray:
@@ -158,7 +182,9 @@ def local_minima_order(text: np.ndarray, small: np.ndarray, stars: np.ndarray, d
     reach = 1
     while reach < depth:
         _, inverse, counts = np.unique(rank, return_inverse=True, return_counts=True)
-        tied = np.flatnonzero(counts[inverse] > 1)
+        # what the names so far reach far enough for needs no order
+        near = np.where(np.arange(n) + reach < n, stars[np.minimum(np.arange(n) + reach, n - 1)] - stars < depth, True)
+        tied = np.flatnonzero((counts[inverse] > 1) & near)
         if not len(tied):
             break
         behind = np.where(tied + reach < n, rank[np.minimum(tied + reach, n - 1)], -1)
@@ -184,7 +210,8 @@ def sorted_suffixes(text: np.ndarray, most: int, symbols: int = 258) -> Iterator
     small = np.append(np.append(step, 1)[following] > 0, True)  # S-type: smaller than the next suffix
     stars = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     order = local_minima_order(text, small, stars, most) if len(stars) else stars
-    star_common = np.append(0, common_prefix(text, order[:-1], order[1:], most)) if len(order) else np.zeros(0, np.int64)
+    prefixes = Prefixes(text, most)
+    star_common = np.append(0, prefixes.of(order[:-1], order[1:])) if len(order) else np.zeros(0, np.int64)
     star_symbol = text[order]
     starts, ends = np.searchsorted(star_symbol, np.arange(symbols)), np.searchsorted(star_symbol, np.arange(symbols), "right")
 
@@ -221,7 +248,7 @@ def sorted_suffixes(text: np.ndarray, most: int, symbols: int = 258) -> Iterator
         return (np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])) if got else (np.zeros(0, np.int64), np.zeros(0, np.int16))
 
     def between(a: np.ndarray, b: np.ndarray) -> int:
-        return int(common_prefix(text, a[-1:], b[:1], most)[0]) if len(a) and len(b) else 0
+        return int(prefixes.of(a[-1:], b[:1])[0]) if len(a) and len(b) else 0
 
     large_queue, carried, large = SuffixQueue(symbols), np.zeros(symbols, np.int64), []
     for c in range(symbols):
@@ -275,6 +302,33 @@ def repeated_starts(segments: list[bytes], owner: np.ndarray, place: np.ndarray,
     return out & fits
 
 
+BLOCKS = 8
+
+
+def promising(anchor: list[int], place: list[int], data: list[bytes], length: int) -> list[tuple[int, int, int]]:
+    """(segment, first start, end start) of the strings whose core another segment of the anchor has too."""
+    gram = gram_of(length)
+    width = -(-(length - gram + 1) // BLOCKS)
+    keys, owners, firsts, ends = [], [], [], []
+    for k, (a, p, d) in enumerate(zip(anchor, place, data)):
+        for j, low in enumerate(range(p - (length - gram), p + 1, width)):
+            high = min(low + width - 1, p)
+            begin, end = max(low, 0), min(high, len(d) - length) + 1
+            if begin < end:
+                keys.append(xxhash.xxh3_64_intdigest(d[high:low + length], j) ^ (a & 0xFFFFFFFFFFFFFFFF))
+                owners.append(k)
+                firsts.append(begin)
+                ends.append(end)
+    _, inverse, counts = np.unique(np.array(keys, np.uint64), return_inverse=True, return_counts=True)
+    out: list[tuple[int, int, int]] = []
+    for i in np.flatnonzero(counts[inverse] > 1).tolist():
+        if out and out[-1][0] == owners[i] and out[-1][2] == firsts[i]:
+            out[-1] = (owners[i], out[-1][1], ends[i])
+        else:
+            out.append((owners[i], firsts[i], ends[i]))
+    return out
+
+
 # --- the jobs
 
 def _segments_of(column: pa.Array, length: int, maybe) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -290,33 +344,38 @@ def _segments_of(column: pa.Array, length: int, maybe) -> Iterator[tuple[np.ndar
 
 
 def _shard(length: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, segment, copies, row, start, bytes) of one shard after another: the repeated spans of each segment."""
-    columns: list[list] = [[] for _ in range(6)]
+    """Rows (shard, anchor, segment, copies, row, start, anchor's place, bytes), shard by shard: the repeated spans of each segment."""
+    columns: list[list] = [[] for _ in range(7)]
     now = None
 
     def spans() -> pa.RecordBatch:
-        anchor, segment, copies, row, start, data = columns
-        marks = repeated_starts(data, np.array(row, np.int64), np.array(start, np.int64), np.array(copies) > 1, length)
-        change = np.zeros(len(marks) + length + 1, np.int64)
-        at = np.flatnonzero(marks)
-        np.add.at(change, at, 1)
-        np.add.at(change, at + length, -1)
-        covered = np.cumsum(change)[:len(marks)] > 0
-        sizes = np.array([len(d) + 1 for d in data], np.int64)
-        first = np.cumsum(sizes) - sizes
-        edges = np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8))
-        begins, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-        of = np.searchsorted(first, begins, "right") - 1
-        return pa.RecordBatch.from_arrays([
-            pa.array([anchor[k] for k in of], pa.int64()), pa.array([segment[k] for k in of], pa.int64()),
-            pa.array(begins - first[of], pa.int32()), pa.array(ends - first[of], pa.int32())], names=["anchor", "segment", "b", "e"])
+        anchor, segment, copies, row, start, place, data = columns
+        parts = promising(anchor, place, data, length)
+        own = [k for k, _, _ in parts]
+        pieces = [data[k][a:b + length - 1] for k, a, b in parts]
+        found = ([], [], [], [])
+        if pieces:
+            places = np.array([start[k] + a for k, a, _ in parts], np.int64)
+            marks = repeated_starts(pieces, np.array(row, np.int64)[own], places, np.array(copies)[own] > 1, length)
+            change = np.zeros(len(marks) + length + 1, np.int64)
+            at = np.flatnonzero(marks)
+            np.add.at(change, at, 1)
+            np.add.at(change, at + length, -1)
+            edges = np.diff(np.concatenate([[False], np.cumsum(change)[:len(marks)] > 0, [False]]).astype(np.int8))
+            begins, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+            sizes = np.array([len(p) + 1 for p in pieces], np.int64)
+            first = np.cumsum(sizes) - sizes
+            of = np.searchsorted(first, begins, "right") - 1
+            shift = np.array([a for _, a, _ in parts], np.int64)[of] - first[of]
+            found = ([anchor[own[k]] for k in of], [segment[own[k]] for k in of], begins + shift, ends + shift)
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(found, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["anchor", "segment", "b", "e"])
 
     for batch in batches:
         shards = batch.column(0).to_pylist()
-        for shard, values in zip(shards, zip(*(batch.column(k).to_pylist() for k in range(1, 7)))):
+        for shard, values in zip(shards, zip(*(batch.column(k).to_pylist() for k in range(1, 8)))):
             if shard != now and now is not None and columns[0]:
                 yield spans()
-                columns = [[] for _ in range(6)]
+                columns = [[] for _ in range(7)]
             now = shard
             for c, v in zip(columns, values):
                 c.append(v)
@@ -339,40 +398,41 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     def suspects(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maybe = suspect(seen.value, bits)
         for batch in batches:
-            rows, hashes, names, begins, ends = [], [], [], [], []
+            rows, hashes, names, places, begins, ends = [], [], [], [], [], []
             for row, (data, h, place, start, end) in zip(batch.column(0).to_pylist(), _segments_of(batch.column(1), length, maybe)):
                 view = memoryview(np.ascontiguousarray(data))
                 rows.append(np.full(len(h), row, np.int64))
                 hashes.append(h)
+                places.append(place)
                 begins.append(start)
                 ends.append(end)
                 names.append(np.array([xxhash.xxh3_64_intdigest(view[a:b], p) for a, b, p in zip(start.tolist(), end.tolist(), place.tolist())], np.uint64))
             if rows:
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.concatenate(rows)), pa.array(signed(np.concatenate(hashes))), pa.array(signed(np.concatenate(names))),
-                    pa.array(np.concatenate(begins).astype(np.int32)), pa.array(np.concatenate(ends).astype(np.int32))], names=["row", "anchor", "segment", "b", "e"])
+                    *(pa.array(np.concatenate(v).astype(np.int32)) for v in (places, begins, ends))], names=["row", "anchor", "segment", "place", "b", "e"])
 
-    found = written(marked.mapInArrow(suspects, "row long, anchor long, segment long, b int, e int"), "anchors")
-    segments = written(found.groupBy("anchor", "segment").agg(F.count("*").alias("copies"), F.min(F.struct("row", "b", "e")).alias("at")), "segments")
+    found = written(marked.mapInArrow(suspects, "row long, anchor long, segment long, place int, b int, e int"), "anchors")
+    segments = written(found.groupBy("anchor", "segment").agg(F.count("*").alias("copies"), F.min(F.struct("row", "b", "e", "place")).alias("at")), "segments")
     shared = segments.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
     several = segments.join(shared, "anchor")
     n = max(partitions_of(spark), int((several.agg(F.sum(F.expr("at.e - at.b"))).first()[0] or 0) // SHARD_BYTES))
-    needed = several.groupBy("at.row").agg(F.collect_list(F.struct("anchor", "segment", "copies", F.col("at.b").alias("b"), F.col("at.e").alias("e"))).alias("parts"))
+    needed = written(several.groupBy("at.row").agg(F.collect_list(F.struct("anchor", "segment", "copies", F.col("at.b").alias("b"), F.col("at.e").alias("e"), F.col("at.place").alias("place"))).alias("parts")), "parts")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "segment", "copies", "row", "b", "bytes"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        names = ["anchor", "segment", "copies", "row", "b", "place", "bytes"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 piece, out = batch.slice(k, 64), []
                 for row, data, parts in zip(piece.column(0).to_pylist(), texts(piece.column(1)), piece.column(2).to_pylist()):
-                    out += [(p["anchor"], p["segment"], p["copies"], row, p["b"], data[p["b"]:p["e"]].tobytes()) for p in parts]
+                    out += [(p["anchor"], p["segment"], p["copies"], row, p["b"], p["place"], data[p["b"]:p["e"]].tobytes()) for p in parts]
                 yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=names)
 
-    cuts = marked.join(needed, "row").select("row", "text", "parts").mapInArrow(cut, "anchor long, segment long, copies long, row long, b int, bytes binary")
+    cuts = matching(marked, needed.select("row")).join(needed, "row").select("row", "text", "parts").mapInArrow(cut, "anchor long, segment long, copies long, row long, b int, place int, bytes binary")
     # rows that repeat have the same segments
     dealt = cuts.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(n)).cast("int")).repartition(n, "shard").sortWithinPartitions("shard", "anchor", "segment")
-    dealt = dealt.select("shard", "anchor", "segment", "copies", "row", "b", "bytes")
+    dealt = dealt.select("shard", "anchor", "segment", "copies", "row", "b", "place", "bytes")
     partly = written(dealt.mapInArrow(partial(_shard, length), "anchor long, segment long, b int, e int"), "spans")
     wholly = segments.where("copies > 1").select("anchor", "segment", F.lit(0).alias("from"), F.expr("at.e - at.b").alias("to"))
     spans = partly.select("anchor", "segment", F.col("b").alias("from"), F.col("e").alias("to")).unionByName(wholly)
