@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
+from .common import written
+
 END = "\r\n"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -50,7 +52,9 @@ def with_digests(records: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     """``records`` (id, url, payload) with payload_bytes, payload_digest and first_id: the smallest id with the payload."""
     payload = F.coalesce(F.col("payload").cast("binary"), F.lit("").cast("binary"))
     marked = records.select("id", "url", payload.alias("payload")).withColumn("payload_digest", base32_sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    firsts = marked.where(F.col("payload_bytes") >= min_revisit_bytes).groupBy("payload_digest").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # a table of its own: where few payloads repeat it is small, Spark broadcasts it, and no payload is shuffled
+    repeated = marked.where(F.col("payload_bytes") >= min_revisit_bytes).groupBy("payload_digest").agg(F.min("id").alias("first_id"), F.count("*").alias("n"))
+    firsts = written(repeated.where("n > 1").drop("n"), "repeated-payloads")
     return marked.join(firsts, "payload_digest", "left")
 
 
