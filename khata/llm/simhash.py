@@ -4,9 +4,10 @@ Terms are three-word shingles, weighted by 1 + log2 of their frequency in the te
 them, also runs of GRAM bytes, with a weight that falls to 0 towards that length. Each term's 128-bit hash votes with its
 weight for or against every bit. Likeness of two fingerprints is the cosine that their Hamming distance stands for, 0 where that is negative.
 
-``within_radius`` finds all fingerprints within a Hamming radius: bits are cut into ``blocks``; fingerprints that differ in
-at most ``radius`` bits agree in ``blocks - radius`` blocks or more, so each choice of that many blocks is a table
-keyed by their bits. Equal fingerprints are one row with a count.
+``near_pairs`` finds all pairs of fingerprints within a Hamming radius: bits are cut into ``blocks``, and fingerprints that differ in
+at most ``radius`` bits have a block in which they differ in at most ``radius // blocks``. Each block is a table keyed by its bits; the
+few queries have a key for every flip of so many bits, all the others a single one. Equal fingerprints are one row with a count, from
+which ``within_radius`` has the number of rows.
 
 Defined cases: null and empty texts, or texts without words, have the fingerprint 0. Equal texts have equal fingerprints, equal
 rows equal results. Rows are in descending order of doc_id (nulls last, ties by a hash of the row); the row after the last is the first.
@@ -17,6 +18,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable, Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -25,11 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWERED, bytes_of, chunks, mixed, partitions_of, row_key, shingle_hashes, signed, word_hashes
-from .sightings import SLOT_SCHEMA, filter_bits, slot_batches, suspect, twice_filter
 
 BITS = 128
 WORDS = 3
 SHORT, GRAM = 512, 5
+PROBES = 4096
+"""Most keys of a query for one block."""
+MADE = 1 << 16
+"""Keys that are made together."""
 
 
 def votes(hashes: np.ndarray, text: np.ndarray) -> bytes:
@@ -123,62 +128,82 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def apart(a: str, b: str) -> F.Column:
-    """Hamming distance of two fingerprints in hexadecimal."""
-    half = BITS // 8
+def halves(prints: list[str]) -> np.ndarray:
+    """Fingerprints in hexadecimal as rows of two 64-bit numbers, the high one first."""
+    return np.frombuffer(bytes.fromhex("".join(prints)), ">u8").astype(np.uint64).reshape(-1, 2)
 
-    def word(c: str, k: int) -> F.Column:
-        return F.conv(F.substring(c, 1 + k * half, half), 16, -10).cast("long")
 
-    return sum((F.bit_count(word(a, k).bitwiseXOR(word(b, k))) for k in (0, 1)), F.lit(0))
+def block_of(high: np.ndarray | F.Column, low: np.ndarray | F.Column, i: int, size: int) -> tuple:
+    """The 64-bit number that holds block i of ``size`` bits, and how far it is to be shifted right."""
+    at = i * size
+    return (high if at < 64 else low), 64 - size - at % 64
 
 
-def table_keys(prints: pa.Array, radius: int, blocks: int) -> np.ndarray:
-    """The keys of fingerprints in all tables: a row for each fingerprint, a column for each choice of blocks."""
-    size = BITS // 4 // blocks
-    cut = np.array([[int(p[i * size:(i + 1) * size], 16) % (1 << 64) for i in range(blocks)] for p in prints.to_pylist()], np.uint64).reshape(-1, blocks)
-    out = []
-    for place, chosen in enumerate(combinations(range(blocks), blocks - radius)):
-        key = np.full(len(cut), place, np.uint64)
-        for i in chosen:
-            key = mixed(key ^ mixed(cut[:, i] + np.uint64(i)))
-        out.append(key)
-    return np.stack(out, 1)
+def flips(size: int, reach: int) -> np.ndarray:
+    """All patterns of at most ``reach`` of ``size`` bits."""
+    return np.array([sum(1 << b for b in chosen) for n in range(reach + 1) for chosen in combinations(range(size), n)], np.uint64)
+
+
+def table_keys(prints: np.ndarray, blocks: int, reach: int = 0) -> np.ndarray:
+    """A row for each of the fingerprints, with a key for each block (its place and bits) and for each flip of up to ``reach`` of its bits."""
+    size = BITS // blocks
+    flipped, out = flips(size, reach), []
+    for i in range(blocks):
+        number, shift = block_of(prints[:, 0], prints[:, 1], i, size)
+        bits = (number >> np.uint64(shift)) & np.uint64((1 << size) - 1)
+        out.append((bits[:, None] ^ flipped) | np.uint64(i << size))
+    return np.concatenate(out, 1)
 
 
-def _tables(prints: DataFrame, name: str, radius: int, blocks: int, wanted: tuple | None = None) -> DataFrame:
-    """Each fingerprint once for every table: (name, place, key); with ``wanted``, a filter and its bits, only keys that it may hold."""
-    shipped = prints.sparkSession.sparkContext.broadcast(wanted)  # of bounded size, see sightings
+def _tables(prints: DataFrame, side: str, blocks: int, reach: int) -> DataFrame:
+    """Fingerprints and their n as (key, high, low, n), a row for each key; names end in ``side``."""
+
+    some = max(1, MADE // (blocks * len(flips(BITS // blocks, reach))))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maybe = suspect(*shipped.value) if shipped.value else None
         for batch in batches:
-            keys = table_keys(batch.column(0), radius, blocks)
-            row, place = np.nonzero(np.ones(keys.shape, bool) if maybe is None else maybe(keys.ravel()).reshape(keys.shape))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(place.astype(np.int32)), pa.array(signed(keys[row, place]))], names=[name, "place", "key"])
-
-    return prints.select(name).mapInArrow(run, f"{name} string, place int, key long")
+            for at in range(0, batch.num_rows, some):
+                part = batch.slice(at, some)
+                cut = halves(part.column(0).to_pylist())
+                keys = table_keys(cut, blocks, reach)
+                row = np.repeat(np.arange(len(keys)), keys.shape[1])
+                columns = [signed(keys.ravel()), signed(cut[row, 0]), signed(cut[row, 1]), part.column(1).to_numpy()[row]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+
+    names = [f"{c}{side}" for c in ("key", "high", "low", "n")]
+    return prints.select("fingerprint", "n").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def near_pairs(prints: DataFrame, queries: DataFrame, radius: int, blocks: int = 8) -> DataFrame:
+    """(fingerprint, other, distance, n): every distinct fingerprint of ``queries`` with every one of ``prints`` within ``radius``
+    bits, itself included, once; n is the number of rows of ``prints`` that have ``other``."""
+    if not 0 <= radius <= BITS or blocks < 2 or BITS % blocks or 64 % (size := BITS // blocks):
+        raise ValueError(f"radius must be 0 to {BITS}, and blocks a power of two from 2 to {BITS}")
+    reach = radius // blocks
+    if sum(comb(size, k) for k in range(reach + 1)) > PROBES:
+        raise ValueError(f"a query would have over {PROBES} keys for a block; take other blocks")
+    given = F.col("fingerprint").isNotNull()
+    # queries become many more rows than their size lets Spark expect: they are dealt out first (by another
+    # hash, or Spark would leave that out), and never broadcast
+    asked = queries.where(given).groupBy("fingerprint").agg(F.count("*").alias("n")).repartition(partitions_of(queries.sparkSession), F.xxhash64("fingerprint"))
+    left = _tables(asked, "_q", blocks, reach).hint("merge")
+    right = _tables(prints.where(given).groupBy("fingerprint").agg(F.count("*").alias("n")), "", blocks, 0)
+    high, low = F.col("high_q").bitwiseXOR(F.col("high")), F.col("low_q").bitwiseXOR(F.col("low"))
+    distance = F.bit_count(high) + F.bit_count(low)
+    # of all blocks in which two fingerprints are close enough, the first yields the pair
+    first = F.lit(None).cast("long")
+    for i in reversed(range(blocks)):
+        number, shift = block_of(high, low, i, size)
+        apart = F.bit_count(F.shiftrightunsigned(number, shift).bitwiseAND(F.lit((1 << size) - 1)))
+        first = F.when(apart <= reach, F.lit(i).cast("long")).otherwise(first)
+    met = left.join(right, (F.col("key_q") == F.col("key")) & (distance <= radius) & (F.shiftrightunsigned("key", size) == first))
+
+    def shown(side: str) -> F.Column:
+        return F.lower(F.concat(*(F.lpad(F.hex(f"{c}{side}"), 16, "0") for c in ("high", "low"))))
+
+    return met.select(shown("_q").alias("fingerprint"), shown("").alias("other"), distance.alias("distance"), "n")
 
 
 def within_radius(prints: DataFrame, queries: DataFrame, radius: int = 6, blocks: int = 8) -> DataFrame:
     """(fingerprint, n_near): for each distinct fingerprint of ``queries`` the rows of ``prints`` within ``radius`` bits, itself included."""
-    if not 0 <= radius < blocks or BITS // 4 % blocks:
-        raise ValueError("radius must be under blocks, and blocks divide 32")
-    all_prints = prints.where(F.col("fingerprint").isNotNull()).groupBy(F.col("fingerprint").alias("other")).agg(F.count("*").alias("n"))
-    wanted = queries.where(F.col("fingerprint").isNotNull()).select("fingerprint").distinct()
-    size = BITS // 4 // blocks
-    # of all tables in which two fingerprints agree, the first counts the pair
-    alike = [F.substring("fingerprint", 1 + i * size, size) == F.substring("other", 1 + i * size, size) for i in range(blocks)]
-    first = F.coalesce(*(F.when(sum((x.cast("int") for x in (alike[i] for i in c)), F.lit(0)) == blocks - radius, F.lit(k)) for k, c in enumerate(combinations(range(blocks), blocks - radius))))
-    left = _tables(wanted, "fingerprint", radius, blocks)
-    # of all fingerprints' keys only those that a query may have are shuffled
-    bits = filter_bits(wanted.count() * len(list(combinations(range(blocks), blocks - radius))))
-
-    def slots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return slot_batches((b.column(0).to_numpy().view(np.uint64) for b in batches), bits)
-
-    asked = twice_filter(left.select("key").mapInArrow(slots, SLOT_SCHEMA), bits, second=False)
-    right = _tables(all_prints, "other", radius, blocks, (asked, bits))
-    close = apart("fingerprint", "other") <= radius
-    pairs = left.join(right, (left["place"] == right["place"]) & (left["key"] == right["key"]) & close & (first == left["place"])).select("fingerprint", "other")
-    return pairs.join(all_prints, "other").groupBy("fingerprint").agg(F.sum("n").alias("n_near"))
+    return near_pairs(prints, queries, radius, blocks).groupBy("fingerprint").agg(F.sum("n").alias("n_near"))

@@ -247,3 +247,39 @@ def test_radius_search_finds_all(spark):
     values = [int(p, 16) for _, p in prints if p]
     want = {p: sum((int(p, 16) ^ v).bit_count() <= 6 for v in values) for k, p in prints if k % 50 == 0}
     assert got == want
+
+
+def test_wide_radius_yields_every_pair(spark):
+    rng = random.Random(10)
+    base = [rng.getrandbits(128) for _ in range(12)] + [0, (1 << 128) - 1]
+    values = [rng.choice(base) for _ in range(300)]
+    for k, v in enumerate(values):
+        for bit in rng.sample(range(128), rng.randint(0, 18)):
+            v ^= 1 << bit
+        values[k] = v
+    values += [base[0] ^ sum(1 << (16 * i + b) for i in range(8) for b in range(n)) for n in (2, 3)] + [base[0]] * 3  # 16 and 24 bits, spread evenly
+    data = spark.createDataFrame([(k, f"{v:032x}") for k, v in enumerate(values)] + [(999, None)], "doc_id long, fingerprint string")
+    asked = data.where("doc_id % 3 = 0")
+    for radius, blocks in ((23, 8), (24, 8), (23, 16), (0, 8)):
+        got = [(r["fingerprint"], r["other"], r["distance"], r["n"]) for r in simhash.near_pairs(data, asked, radius, blocks).collect()]
+        times = collections.Counter(values)
+        want = {(f"{a:032x}", f"{b:032x}", (a ^ b).bit_count(), times[b]) for a in set(values[::3]) for b in times if (a ^ b).bit_count() <= radius}
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_edited_copies_are_near(spark):
+    """Copies of which five-word Jaccard is at least 0.8 are within NEAR_BITS."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(20):
+        text = H.words(rng, 200)
+        copy = list(text)
+        for at in (20, 80, 140, 190):
+            copy[at] = "changed"
+        shingles = [{tuple(t[i:i + 5]) for i in range(len(t) - 4)} for t in (text, copy)]
+        assert len(shingles[0] & shingles[1]) >= 0.8 * len(shingles[0] | shingles[1])
+        texts += [" ".join(text), " ".join(copy)]
+    data = spark.createDataFrame([(i, f"{int.from_bytes(p, 'little'):032x}") for i, p in enumerate(simhash.fingerprints(pa.array(texts)))], "doc_id long, fingerprint string")
+    prints = [r["fingerprint"] for r in data.orderBy("doc_id").collect()]
+    pairs = {(r["fingerprint"], r["other"]) for r in simhash.near_pairs(data, data.where("doc_id % 2 = 0"), queries.NEAR_BITS).collect()}
+    assert set(zip(prints[::2], prints[1::2])) <= pairs
