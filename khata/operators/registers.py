@@ -12,6 +12,8 @@ KEYS = ["invoice_no", "voucher_date", "party_gstin", "party_ledger_name", "place
 SUMS = ["taxable_value", "discount", "advances", "sgst_amount", "cgst_amount", "igst_amount",
         "total_invoice_value"]
 PLACEHOLDER = "Unallocated / Missing Lines"
+BETWEEN = " | "
+PART_CHARS = 1 << 20
 # Words that make a service professional for TDS purposes.
 PROFESSIONAL_WORDS = ("professional", "technical", "consulting", "audit", "legal", "management")
 
@@ -22,29 +24,67 @@ def distinct_lines(lines: DataFrame) -> DataFrame:
     return lines.groupBy(*columns).agg(F.min("seq").alias("seq"))
 
 
-def sales_register(lines: DataFrame, round_off: Column | None = None) -> DataFrame:
+def _part() -> Column:
+    part = F.trim("particulars")
+    return F.when((part != "") & (part != PLACEHOLDER), part)
+
+
+def _names(distinct: DataFrame, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Names of invoices as rows (KEYS, part, seq), of those with up to ``size`` characters and of the others; keys of the latter."""
+    names = distinct.groupBy(*KEYS, _part().alias("part")).agg(F.min("seq").alias("seq")).where(F.col("part").isNotNull())
+    chars = names.groupBy(*KEYS).agg(F.sum(F.length("part") + len(BETWEEN)).alias("chars"))
+    large = chars.where(F.col("chars") > size).select(*[F.col(k).alias(f"_{k}") for k in KEYS])
+    same = F.lit(True)
+    for k in KEYS:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return names.join(large, same, "left_anti"), names.join(large, same, "left_semi"), large
+
+
+def _joined() -> Column:
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "part")))
+    return F.array_join(F.transform(ordered, lambda x: x["part"]), BETWEEN)
+
+
+def register_names(lines: DataFrame, size: int = PART_CHARS) -> DataFrame:
+    """(KEYS, part_no, particulars): all names of every invoice in parts of about ``size`` characters, more only for a longer name.
+
+    Read by ascending ``part_no``, which has gaps, the parts hold the names in the order of their first lines. Invoices
+    with more names than one part holds are dealt out by ranges of ``seq``, so that no task has all of one invoice.
+    """
+    few, many, _ = _names(distinct_lines(lines), size)
+    whole = few.groupBy(*KEYS).agg(_joined().alias("particulars")).select(*KEYS, F.lit(0).cast("long").alias("part_no"), "particulars")
+    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = many.repartitionByRange(n, *KEYS, "seq", "part").withColumn("chunk", F.spark_partition_id())
+    so_far = Window.partitionBy("chunk", *KEYS).orderBy("seq", "part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    chars = F.length("part") + len(BETWEEN)
+    placed = dealt.withColumn("sub", F.floor((F.sum(chars).over(so_far) - chars) / size).cast("long"))
+    cut = placed.groupBy("chunk", *KEYS, "sub").agg(_joined().alias("particulars"))
+    number = F.shiftleft(F.col("chunk").cast("long"), 32) + F.col("sub")
+    return whole.unionByName(cut.select(*KEYS, number.alias("part_no"), "particulars"))
+
+
+def sales_register(lines: DataFrame, round_off: Column | None = None, size: int = PART_CHARS) -> DataFrame:
     """One row per invoice and category; missing keys form groups of their own.
 
-    ``particulars`` holds all names of the invoice, so its length follows theirs.
+    ``particulars`` holds all names of the invoice. Where they have more than ``size`` characters it is NULL,
+    ``names_apart`` is true, and all of them are rows of ``register_names``.
     """
-    part = F.trim("particulars")
-    named = F.when((part != "") & (part != PLACEHOLDER), part)
     first = F.when(F.col("narration").isNotNull(), F.struct("seq", "narration"))
-    # the lines are read once; what all categories of an invoice share is looked up over its few rows
-    names = distinct_lines(lines).groupBy(*KEYS, "gstr1_category", named.alias("part")).agg(
-        *[F.sum(c).alias(c) for c in SUMS], F.min("hsn").alias("low"), F.max("hsn").alias("high"),
-        F.min(first).alias("first"), F.min("seq").alias("seq"))
-    sums = names.groupBy(*KEYS, "gstr1_category").agg(
-        *[money(F.sum(c)).alias(c) for c in SUMS], F.min("low").alias("low"), F.max("high").alias("high"),
-        F.min("first").alias("first"), F.collect_list(F.when(F.col("part").isNotNull(), F.struct("seq", "part"))).alias("parts"))
+    distinct = distinct_lines(lines)
+    sums = distinct.groupBy(*KEYS, "gstr1_category").agg(
+        *[money(F.sum(c)).alias(c) for c in SUMS], F.min("hsn").alias("low"), F.max("hsn").alias("high"), F.min(first).alias("first"))
+    few, _, large = _names(distinct, size)
+    # what all categories of an invoice share is looked up over its few rows, among which are one with the names or one that says they are apart
+    texts = few.groupBy(*KEYS).agg(_joined().alias("names")).withColumn("apart", F.lit(False))
+    apart = large.select(*[F.col(f"_{k}").alias(k) for k in KEYS], F.lit(None).cast("string").alias("names"), F.lit(True).alias("apart"))
+    both = sums.withColumn("own", F.lit(True)).unionByName(texts.unionByName(apart), allowMissingColumns=True)
     invoice = Window.partitionBy(*KEYS)
     low, high = F.min("low").over(invoice), F.max("high").over(invoice)
-    parts = F.array_distinct(F.transform(F.array_sort(F.flatten(F.collect_list("parts").over(invoice))), lambda x: x["part"]))
-    out = sums.select(
+    out = both.select(
         *KEYS, "gstr1_category", *SUMS, F.when(low == high, low).alias("hsn"),
-        F.min("first").over(invoice)["narration"].alias("nature"),
-        F.when(F.size(parts) > 0, F.array_join(parts, " | ")).alias("particulars"))
-    return out.withColumn("round_off", money(round_off if round_off is not None else F.lit(0)))
+        F.min("first").over(invoice)["narration"].alias("nature"), F.max("names").over(invoice).alias("particulars"),
+        F.coalesce(F.max("apart").over(invoice), F.lit(False)).alias("names_apart"), "own")
+    return out.where("own").drop("own").withColumn("round_off", money(round_off if round_off is not None else F.lit(0)))
 
 
 def _tax() -> Column:

@@ -33,4 +33,4 @@ def audit(lines: DataFrame, summary: DataFrame, invoices: DataFrame, as_of: Colu
 def workbook(lines: DataFrame) -> dict[str, DataFrame]:
     register = registers.sales_register(lines)
     return {"Sales Register": register, "Tax & TDS Workings": registers.tds_workings(register),
-            "Matching Sheet": registers.matching_sheet(register)}
+            "Matching Sheet": registers.matching_sheet(register), "Particulars": registers.register_names(lines)}

@@ -107,6 +107,21 @@ def test_register_keeps_null_groups_and_joins_names(spark):
     assert rows(registers.tds_workings(reg), "tds_applicable", "gst_type") == [("No", "Export LUT")]
 
 
+def test_register_keeps_many_names_in_parts(spark):
+    names = [f"name {i % 500:03d} of many" for i in range(1000)]
+    many = [line(i, "A" if i % 2 else None, None, "Sales", "B2CS" if i % 3 else "EXP", 10, text=x) for i, x in enumerate(names)]
+    few = [line(2000 + i, "B", None, "Sales", "B2CS", 10, text=x) for i, x in enumerate(["two", "one", "two"])]
+    df = spark.createDataFrame(many + few, LINE).withColumns({c: F.lit(0).cast("decimal(18,2)") for c in ("discount", "advances")}).withColumn("narration", F.lit(None).cast("string"))
+    reg = registers.sales_register(df, size=300)
+    assert rows(reg, "invoice_no", "gstr1_category", "particulars", "names_apart") == rows(spark.createDataFrame(
+        [(n, c, None, True) for n in ("A", None) for c in ("B2CS", "EXP")] + [("B", "B2CS", "two | one", False)], "n string, c string, p string, a boolean"))
+    parts = registers.register_names(df, 300).orderBy("part_no").collect()
+    assert max(len(r["particulars"]) for r in parts) <= 300 + len(names[0])
+    for key, want in (("A", names[1:500:2]), (None, names[0:500:2]), ("B", ["two", "one"])):
+        assert [x for r in parts if r["invoice_no"] == key for x in r["particulars"].split(" | ")] == want
+    assert rows(registers.sales_register(df).where("invoice_no = 'A'"), "particulars") == [(" | ".join(names[1:500:2]),)] * 2
+
+
 def test_itc_summary_always_has_six_rows(spark):
     df = spark.createDataFrame([("ITC_ELIGIBLE", D("10")), ("ITC_BLOCKED", D("5"))], "itc_status string, taxable_value decimal(18,2)")
     got = rows(registers.itc_summary(df), "category", F.col("taxable_amount").cast("double"), "line_items", F.col("itc_at_risk").cast("double"))
