@@ -318,11 +318,11 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component stays, with all its columns: that with the smallest ``doc_id`` (nulls last).
 
-    Documents without words stay, as they link with nothing."""
-    found = near_groups(docs, words, percent)
-    group = F.when(F.col("n_shingles") > 0, F.col("component_id"))
-    grouped = found.withColumn("g", group)
+    Documents without words link with nothing: all of their rows stay, equal ones too."""
+    worded = F.coalesce(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))  # as word_hashes splits them
+    given = docs.where(worded)
     # a component whose ids are all null has a null id; its sets are told apart by the set
-    key = F.struct(F.col("g").isNull().alias("none"), F.coalesce("g", F.when(F.col("n_shingles") > 0, F.col("set_id")).otherwise(F.col("row"))).alias("k"))
-    first = grouped.groupBy(key.alias("k")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("m")).select(F.col("m.row").alias("_row"))
-    return docs.withColumn("_row", row_key()).join(first, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    key = F.struct(F.col("component_id").isNull().alias("none"), F.coalesce("component_id", "set_id").alias("k"))
+    first = near_groups(given, words, percent).groupBy(key.alias("k")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("m")).select(F.col("m.row").alias("_row"))
+    kept = given.withColumn("_row", row_key()).join(first, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    return kept.unionByName(docs.where(~worded))

@@ -130,6 +130,15 @@ def test_filters_pass_all_that_is_seen_twice(spark):
     assert maybe(twice).all() and maybe(once).mean() < 0.2
 
 
+def test_one_of_each_keeps_all_rows_without_words(spark):
+    empty = [(None, None, "a"), (None, "", "b"), (None, None, "c"), (1, "", "a"), (1, None, "b"), (2, " \t\n\x0b\f\r ", "a"), (2, " \t\n\x0b\f\r ", "a")]
+    worded = [(3, "one two three four five six", "a"), (3, "one two three four five six", "b"), (4, "\u00a0", "a")]
+    data = spark.createDataFrame(empty + worded, "doc_id long, text string, source string")
+    kept = [tuple(r) for r in jaccard.one_of_each(data).collect()]
+    assert sorted(map(repr, kept[:])) == sorted(map(repr, [*empty, *(r for r in kept if r[0] in (3, 4))]))
+    assert sorted(r[:2] for r in kept if r[0] in (3, 4)) == [worded[0][:2], worded[2][:2]]
+
+
 @pytest.mark.parametrize("operator", [line_dedup.drop_lines, suffix_dedup.remove_repeats, jaccard.near_groups, jaccard.one_of_each])
 def test_empty_table(spark, operator):
     assert operator(spark.createDataFrame([], H.SCHEMA)).collect() == []
