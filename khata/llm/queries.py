@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, line_dedup, mixing, simhash, suffix_dedup, toxicity, url_templates, warc
+from . import align, chat, decontaminate, jaccard, line_dedup, mixing, pieces, prefix_trie, simhash, suffix_dedup, toxicity, url_templates, warc
 from .common import scratch_path, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -167,3 +167,75 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = F.col("doc_id") % 50 == 0
     near = simhash.within_radius(prints, prints.where(asked), NEAR_BITS).withColumn("asked", F.lit(True))
     return prints.withColumn("asked", F.coalesce(asked, F.lit(False))).join(near, ["fingerprint", "asked"], "left").drop("asked")
+
+
+def tokenizer_file(name: str) -> bytes:
+    """A vocabulary file, read by the driver and sent with the tasks."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as file:
+        return file.read()
+
+
+@query
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    aligned = align.Alignment(docs, tokenizer_file("byte_bpe_50k.json").decode(), tokenizer_file("piece_bpe_32k.model"), digest=True)
+    return aligned.rows.select("doc_id", *align.FIELDS, "groups_sha256")
+
+
+@query
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = pieces.encode(docs, tokenizer_file("piece_bpe_32k.model"), decoded=True)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(*prefix_trie.branched(table(spark, sf_dir, "conversations")))
+
+
+ORACLES["op13_prefix_trie"] = """
+WITH turns AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n
+    FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+    SELECT conv_id, max(n) AS own, conv_id - conv_id % 5 AS base,
+        xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(conv_id::VARCHAR) + 1),
+            lambda i: [ascii(substr(conv_id::VARCHAR, i::INT, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+            lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) ELSE xor(crc >> 1, (crc & 1) * 3988292384) END), 4294967295::BIGINT) % 9 AS h
+    FROM turns GROUP BY conv_id
+), convs AS (
+    SELECT own.*, least(own.h, coalesce(b.own, 0)) AS taken FROM own LEFT JOIN own b ON b.conv_id = own.base
+), steps AS (
+    SELECT c.conv_id, t.n AS depth, role, text FROM convs c JOIN turns t ON t.conv_id = c.base WHERE t.n <= c.taken
+    UNION ALL
+    SELECT c.conv_id, c.taken + t.n - c.h, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id WHERE t.n > c.h
+), keyed AS (
+    SELECT conv_id, depth, octet_length(encode(text)) AS bytes,
+        md5(string_agg(to_json({'r': role, 't': text})::VARCHAR, chr(10)) OVER (PARTITION BY conv_id ORDER BY depth)) AS k
+    FROM steps
+    UNION ALL SELECT conv_id, 0, 0, '' FROM convs
+), nodes AS (
+    SELECT depth, k, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(bytes) AS saved FROM keyed GROUP BY depth, k
+), named AS (
+    SELECT keyed.conv_id AS member, depth, nodes.conv_id AS name FROM keyed JOIN nodes USING (depth, k)
+), tree AS (
+    SELECT nodes.*, named.name AS parent_conv_id FROM nodes LEFT JOIN named ON named.member = nodes.conv_id AND named.depth = nodes.depth - 1
+), children AS (
+    SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM tree WHERE depth > 0 GROUP BY ALL
+), counted AS (
+    SELECT tree.*, coalesce(n_children, 0) AS n_children FROM tree LEFT JOIN children USING (conv_id, depth)
+), sums AS (
+    SELECT a.name AS conv_id, a.depth, count(*) FILTER (u.n_children = 0) AS n_leaves, sum(u.saved) AS saved_tokens
+    FROM counted u JOIN named a ON a.member = u.conv_id AND a.depth <= u.depth GROUP BY a.name, a.depth
+), ends AS (
+    SELECT name AS conv_id, named.depth, string_agg(member::VARCHAR, ',' ORDER BY member) AS ids
+    FROM named JOIN (SELECT conv_id, max(depth) AS length FROM keyed GROUP BY conv_id) l ON l.conv_id = member AND length = named.depth
+    GROUP BY name, named.depth
+)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM counted JOIN sums USING (conv_id, depth) LEFT JOIN ends USING (conv_id, depth)
+"""
