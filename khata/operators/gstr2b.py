@@ -14,7 +14,7 @@ from ..functions.ids import (
     FUZZY_MIN_OVERLAP, LONGEST_PIECE, fuzzy_same_number, match_key, normalize_id, substrings,
 )
 from ..functions.tax import RULE_36_4_FACTOR, TOL_2B_MATCH, dec
-from .assign import assign_in_order
+from .assign import assign_in_parts
 
 BOOK_STATUSES = ("matched", "mismatch", "missing_in_2b")
 STATUSES = (*BOOK_STATUSES, "not_in_books")
@@ -184,8 +184,8 @@ def fuzzy_pairs(invoices: DataFrame, statement: DataFrame) -> DataFrame:
 
 def fuzzy_matches(invoices: DataFrame, statement: DataFrame) -> DataFrame:
     """One-to-one fuzzy matches, books in arrival order, each statement record used once."""
-    pairs = fuzzy_pairs(invoices, statement)
-    chosen = assign_in_order(pairs, "book_seq", "rec_seq", within=("g",))
+    pairs = cut_lineage(fuzzy_pairs(invoices, statement))
+    chosen = assign_in_parts(pairs, "book_seq", "rec_seq", within=("g",))
     records = statement.select(F.col("seq").alias("rec_seq"), F.struct(*RECORD).alias("rec"))
     return (
         invoices.join(chosen, F.col("first_seq") == F.col("book_seq")).drop("book_seq")

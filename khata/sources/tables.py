@@ -86,6 +86,7 @@ VOUCHER_SCHEMA = """
     `ALLINVENTORYENTRIES.LIST` array<struct<STOCKITEMNAME: string, BILLEDQTY: string, RATE: string,
         AMOUNT: string, `ACCOUNTINGALLOCATIONS.LIST`: array<struct<LEDGERNAME: string, AMOUNT: string>>>>
 """
+LEDGER_SCHEMA = "_NAME string, NAME string, PARENT string, LEDGERGSTREGISTRATIONNUMBER string, PARTYGSTIN string, ADDRESS string, LEDGERSTATENAME string, OPENINGBALANCE string"
 UNREGISTERED_PREFIX = "URP"
 
 
@@ -94,10 +95,15 @@ def read_vouchers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ledgers(spark: SparkSession, path: str) -> DataFrame:
-    """The chart of accounts: name, parent group and GSTIN of every ledger."""
-    schema = "_NAME string, PARENT string, PARTYGSTIN string"
-    raw = spark.read.format("xml").option("rowTag", "LEDGER").schema(schema).load(path)
-    return raw.select(F.col("_NAME").alias("name"), F.col("PARENT").alias("parent"), F.col("PARTYGSTIN").alias("gstin"))
+    """The chart of accounts: name, parent group, GSTIN, address, state and opening balance of every ledger.
+
+    The name is an element or an attribute; a balance that is no number counts 0.
+    """
+    raw = spark.read.format("xml").option("rowTag", "LEDGER").schema(LEDGER_SCHEMA).load(path)
+    return raw.select(
+        F.coalesce(first_filled(F.col("NAME"), F.col("_NAME")), F.lit("")).alias("name"), F.coalesce("PARENT", F.lit("")).alias("parent"),
+        first_filled(F.col("LEDGERGSTREGISTRATIONNUMBER"), F.col("PARTYGSTIN")).alias("gstin"), F.col("ADDRESS").alias("address"),
+        F.col("LEDGERSTATENAME").alias("state"), money(_number(F.col("OPENINGBALANCE"))).alias("opening_balance"))
 
 
 def _number(c: Column) -> Column:

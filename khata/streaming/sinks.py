@@ -1,8 +1,7 @@
-"""foreachBatch sinks that keep state as versioned Parquet.
+"""foreachBatch sinks that keep state in a keyed store.
 
-A batch reads the newest committed version and writes the next one; a small commit table behind it names
-the query and epoch that wrote it. A batch that is run again after a failure finds its own commit, reads the version
-before, and writes the same version once more. A query that starts anew, from epoch 0, goes on from the stored state.
+A batch reads what it touches of the newest committed version and writes its changes as the next one. A batch that is run again after
+a failure writes the same version once more. A query that starts anew, from epoch 0, goes on from the stored state.
 """
 
 from __future__ import annotations
@@ -14,71 +13,35 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .. import schemas
 from ..operators import ledger, state
 from ..sources import inventory
+from .keyed_store import KeyedStore, names_in, newest_version, query_id
 
 TRACKER_SCHEMA = "file_id string, md5 string, status string"
 PUSH_LOG_SCHEMA = "item_type string, item_id string, company string, status string, batch_no long"
 
-Sink = Callable[[DataFrame, int], None]
-
-
-def _path(spark: SparkSession, path: str):
-    """The Hadoop file system of a path, and the path as it names it."""
-    name = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return name.getFileSystem(spark._jsc.hadoopConfiguration()), name
+REGISTRATION = ["tenant_id", "registration_gstin"]
 
+__all__ = ["file_sink", "newest_version", "push_log", "push_sink", "query_id", "read_version", "trigger_sink"]
 
-def _numbers(spark: SparkSession, path: str, prefix: str) -> list[int]:
-    """Numbers of the folders ``prefix``N that a finished write left under a path."""
-    store, name = _path(spark, path)
-    found = store.listStatus(name) if store.exists(name) else []
-    return sorted(int(f.getPath().getName()[len(prefix):]) for f in found if f.getPath().getName().startswith(prefix)
-                  and store.exists(_path(spark, f"{f.getPath()}/_SUCCESS")[1]))
-
-
-def query_id(spark: SparkSession) -> str:
-    """The running streaming query, or '' in a call of one's own."""
-    return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
+Sink = Callable[[DataFrame, int], None]
 
 
 def read_version(spark: SparkSession, path: str, version: int, schema: str) -> DataFrame:
-    if version < 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/version={version}")
-
-
-def newest_version(spark: SparkSession, path: str) -> int:
-    """The last committed version, -1 without one."""
-    return max(_numbers(spark, path, "commit="), default=-1)
-
-
-def _base_version(spark: SparkSession, path: str, epoch: int) -> int:
-    """The version that a batch starts from: the newest one, or the one before it if this batch wrote the newest."""
-    newest = newest_version(spark, path)
-    if newest >= 0:
-        wrote = spark.read.parquet(f"{path}/commit={newest}").first()
-        if (wrote["query_id"], wrote["epoch"]) == (query_id(spark), epoch):
-            return newest - 1
-    return newest
-
-
-def _write(rows: DataFrame, path: str, version: int, epoch: int) -> None:
-    spark = rows.sparkSession
-    rows.write.mode("overwrite").parquet(f"{path}/version={version}")
-    spark.createDataFrame([(query_id(spark), epoch)], "query_id string, epoch long").coalesce(1).write.mode("overwrite").parquet(f"{path}/commit={version}")
+    """State as a committed version has it; nothing for version -1."""
+    return KeyedStore(spark, path, schema).read(version)
 
 
 def trigger_sink(path: str, scope: DataFrame, now: Column) -> Sink:
     """Merge the gaps of each reconciliation run into the trigger state.
 
-    Only registrations that the run covers are touched.
+    Only the buckets of registrations that the run covers are read, and only triggers that change are written.
     """
     def merge(gaps: DataFrame, epoch: int) -> None:
-        spark = gaps.sparkSession
-        base = _base_version(spark, path, epoch)
-        old = read_version(spark, path, base, schemas.GAP_TRIGGERS)
-        seen = gaps.select("tenant_id", "registration_gstin").distinct()
-        covered = scope.join(seen, ["tenant_id", "registration_gstin"], "left_semi")
-        _write(state.merge_triggers(old, gaps, covered, now).select(*old.columns), path, base + 1, epoch)
+        store = KeyedStore(gaps.sparkSession, path, schemas.GAP_TRIGGERS, state.TRIGGER_KEY, REGISTRATION)
+        base = store.base_version(epoch)
+        covered = scope.join(gaps.select(*REGISTRATION).distinct(), REGISTRATION, "left_semi")
+        old = store.read(base, store.buckets_of(covered))
+        merged = state.merge_triggers(old, gaps, covered, now).select(*old.columns)
+        store.write(merged.subtract(old), base, epoch)
 
     return merge
 
@@ -90,10 +53,10 @@ def file_sink(path: str, handle: Callable[[DataFrame], DataFrame | None]) -> Sin
     again. Where it returns nothing, all are completed.
     """
     def take(files: DataFrame, epoch: int) -> None:
-        spark = files.sparkSession
-        base = _base_version(spark, path, epoch)
-        tracker = read_version(spark, path, base, TRACKER_SCHEMA)
+        store = KeyedStore(files.sparkSession, path, TRACKER_SCHEMA, ["file_id"])
+        base = store.base_version(epoch)
         latest = files.groupBy("file_id").agg(F.max_by("md5", "seq").alias("md5"))
+        tracker = store.read(base, store.buckets_of(latest))
         todo = inventory.needs_processing(latest, tracker)
         outcome = handle(todo)
         done = todo.select("file_id", "md5")
@@ -101,15 +64,14 @@ def file_sink(path: str, handle: Callable[[DataFrame], DataFrame | None]) -> Sin
             done = done.withColumn("status", F.lit("completed"))
         else:
             done = done.join(outcome.select("file_id", "status"), "file_id", "left").withColumn("status", F.coalesce("status", F.lit("failed")))
-        _write(tracker.join(done.select("file_id"), "file_id", "left_anti").unionByName(done), path, base + 1, epoch)
+        store.write(done, base, epoch)
 
     return take
 
 
 def push_log(spark: SparkSession, path: str, without: str = "") -> DataFrame:
     """All logged attempts, but for those of one batch."""
-    store, name = _path(spark, path)
-    batches = [str(f.getPath()) for f in store.listStatus(name) if f.getPath().getName() != without] if store.exists(name) else []
+    batches = [f"{path}/{n}" for n in names_in(spark, path) if n != without]
     return spark.read.schema(PUSH_LOG_SCHEMA).parquet(*batches) if batches else spark.createDataFrame([], PUSH_LOG_SCHEMA)
 
 

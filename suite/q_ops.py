@@ -21,7 +21,10 @@ _KIND = {"view": "extraction_quality_score", "purchase": "file_metrics", "error"
 
 def obs_events(spark, sf):
     """The event table as a pipeline log."""
-    ev = read(spark, sf, "events")
+    return as_log(read(spark, sf, "events"))
+
+
+def as_log(ev):
     kind = F.when(F.lit(False), F.lit(""))
     for name, label in _KIND.items():
         kind = kind.when(F.col("event_type") == name, label)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from khata.operators import metrics
+from khata.operators import canonical, metrics
 from khata.plans import invoice_audit, period_close, purchase_recon
 from khata.streaming import events as ev
 
@@ -105,3 +105,40 @@ def cleaned_lines(spark, sf):
     return out.groupBy("okey").agg(
         F.count(F.lit(1)).alias("n_lines"), F.sum("taxable_value").cast("double").alias("taxable"),
         F.sum(F.col("cgst_amount") + F.col("sgst_amount") + F.col("igst_amount")).cast("double").alias("tax"))
+
+
+_DOC_KEY = ("task_id", "invoice_no")
+_HEADS = "voucher_date party_ledger_name party_gstin place_of_supply"
+
+
+@query("""SELECT task_id, invoice_no, okey, line, first_value(voucher_date) OVER w AS voucher_date, first_value(party_ledger_name) OVER w AS party_ledger_name,
+  first_value(party_gstin) OVER w AS party_gstin, first_value(place_of_supply) OVER w AS place_of_supply, particulars, hsn, qty, rate, discount::DOUBLE AS discount,
+  taxable_value::DOUBLE AS taxable_value, cgst_amount::DOUBLE AS cgst_amount, sgst_amount::DOUBLE AS sgst_amount, igst_amount::DOUBLE AS igst_amount,
+  total_invoice_value::DOUBLE AS total_invoice_value, first_value(gstr1_category) OVER w AS gstr1_category
+ FROM sales WINDOW w AS (PARTITION BY task_id, invoice_no ORDER BY seq)""", "sales")
+def canonical_round_trip(spark, sf):
+    """Sales lines nested by document, in parts of three lines, and flattened again."""
+    nested = canonical.to_canonical(sales_lines(spark, sf), canonical.SALES, _DOC_KEY, part_lines=3)
+    back = canonical.to_lines(nested, canonical.SALES, _DOC_KEY)
+    return back.select("task_id", "invoice_no", F.col("seq.l_orderkey").alias("okey"), F.col("seq.l_linenumber").cast("long").alias("line"), *_HEADS.split(), "particulars",
+                       "hsn", "qty", "rate", *d("discount taxable_value cgst_amount sgst_amount igst_amount total_invoice_value"), "gstr1_category")
+
+
+@query("""SELECT task_id, invoice_no, n_lines, n_lines AS n_items, party_name AS supplier, 'Client Company' AS buyer, coalesce(gstin,'') AS gstin,
+   taxable::DOUBLE AS taxable_value, (cgst+sgst+igst)::DOUBLE AS tax, total::DOUBLE AS grand_total, 'SQL Load' AS method
+  FROM (SELECT okey::VARCHAR AS task_id, invoice_no, count(*) AS n_lines, min(party_ledger_name) AS party_name, min(party_gstin) AS gstin,
+   sum(taxable_value) AS taxable, sum(cgst_amount) AS cgst, sum(sgst_amount) AS sgst, sum(igst_amount) AS igst, sum(total_invoice_value) AS total
+   FROM books GROUP BY 1,2)""", "books")
+def canonical_invoices(spark, sf):
+    """Purchase documents as canonical invoices: head and totals of every document, its items counted over all parts."""
+    lines = purchase_lines(spark, sf).withColumn("itc_eligibility", F.col("itc_category"))
+    nested = canonical.to_canonical(lines, canonical.PURCHASE, _DOC_KEY, part_lines=3)
+    flat = nested.groupBy(*_DOC_KEY).agg(
+        F.sum(F.size("line_items")).alias("n_lines"), F.sum(F.size(F.array_distinct("line_items.seq"))).alias("n_items"),
+        *[F.first(c).alias(c) for c in ("supplier", "buyer", "tax_summary")])
+    s = "tax_summary."
+    return flat.select(
+        *_DOC_KEY, "n_lines", "n_items", F.col("supplier.legal_name.value").alias("supplier"), F.col("buyer.name.value").alias("buyer"),
+        F.coalesce("supplier.gstin.value", F.lit("")).alias("gstin"), F.col(f"{s}taxable_value.value").cast("double").alias("taxable_value"),
+        (F.col(f"{s}cgst_amount.value") + F.col(f"{s}sgst_amount.value") + F.col(f"{s}igst_amount.value")).cast("double").alias("tax"),
+        F.col(f"{s}grand_total.value").cast("double").alias("grand_total"), F.col(f"{s}grand_total.confidence.method").alias("method"))

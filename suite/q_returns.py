@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from khata.functions.dates import gst_date
 from khata.functions.ids import resolve_pos
 from khata.functions.tax import SLAB_RATES, active_tax, is_export, rate_of
-from khata.operators import gstr1
+from khata.operators import gstr1, return_document
 
 from .registry import query
 from .tables import FIRM_GSTIN, FIRM_STATE, sales_lines
@@ -200,3 +200,26 @@ def dates_states_tax_types(spark, sf):
         is_export(F.col("place_of_supply"), F.lit(None).cast("string")).alias("exported"),
         resolve_pos(F.col("place_of_supply"), F.col("party_gstin"), FIRM_STATE).alias("pos"),
     ).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT section, grp, number, doc_date, val, txval, pos, kind FROM (
+  SELECT lower(category) AS section, CASE WHEN category IN ('B2B','CDNR') THEN gstin WHEN category='B2CL' THEN pos WHEN category='EXP' THEN CASE WHEN igst=0 THEN 'WOPAY' ELSE 'WPAY' END
+    ELSE '' END AS grp, invoice_no AS number, doc_date, total::DOUBLE AS val, taxable::DOUBLE AS txval, CASE WHEN category NOT IN ('B2CL','EXP') THEN pos END AS pos,
+   CASE WHEN category IN ('CDNR','CDNUR') THEN CASE WHEN lower(voucher_type) LIKE '%debit%' THEN 'D' ELSE 'C' END END AS kind
+  FROM groups WHERE category IN ('B2B','B2CL','EXP','CDNR','CDNUR'))""", "groups")
+def return_documents(spark, sf):
+    """Every document of the return's text, read back from its row."""
+    lines = sales_lines(spark, sf, part=False).withColumn("registration", F.lit(FIRM_GSTIN))
+    rows = return_document.return_rows(lines, FIRM_STATE)
+    names = {return_document.CDNUR: "cdnur", **{k: v[0] for k, v in return_document.GROUPED.items()}}
+    section = F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.col("section"))
+    text = F.regexp_replace("value", "^,", "")
+
+    def field(*paths):
+        return F.coalesce(*[F.get_json_object(text, p) for p in paths])
+
+    docs = rows.filter((F.col("step") == return_document.ENTRY) & F.col("section").isin(*names))
+    return docs.select(
+        section.alias("section"), "grp", field("$.inum", "$.nt_num").alias("number"), field("$.idt", "$.nt_dt").alias("doc_date"),
+        field("$.val").cast("double").alias("val"), field("$.itms[0].itm_det.txval", "$.itms[0].txval").cast("double").alias("txval"),
+        field("$.pos").alias("pos"), field("$.ntty").alias("kind"))
