@@ -37,6 +37,8 @@ PIECE_TOKENS = 1 << 21
 COUNTER_BITS, COUNTER_PART = 22, 14
 HEAVY = 64
 """A token is heavy if its counter, of 2 ** COUNTER_BITS, is HEAVY above four times the mean."""
+HASHED_BYTES = 1 << 19
+"""Text that is hashed at a time, or one text if that is longer; some forty bytes are held for each."""
 LEAF = 16
 SIGNATURE_BITS = 2048
 
@@ -92,7 +94,7 @@ def part_keys(tokens: np.ndarray, classes: SizeClasses, heavy: np.ndarray | None
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
-    for _, _, data, offsets in chunks(*bytes_of(column)):
+    for _, _, data, offsets in chunks(*bytes_of(column), HASHED_BYTES):
         hashes, ends = shingle_hashes(*word_hashes(data, offsets), words)
         for a, b in zip(ends[:-1], ends[1:]):
             yield np.unique(hashes[a:b])
