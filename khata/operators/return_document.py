@@ -15,7 +15,7 @@ from . import gstr1
 HEAD, B2B, B2CL, B2CS, EXP, CDNR, CDNUR, NIL, HSN, DOC, SUMMARY = range(11)
 OPEN, WITHIN, CLOSE = range(3)
 GROUP_OPEN, ENTRY, GROUP_CLOSE = range(3)
-PLACE = ["section", "part", "grp", "step", "seq", "value"]
+PLACE = ["section", "part", "grp", "step", "seq", "later", "value"]
 # Label of a section, and of the key and the list of its groups where it has any.
 GROUPED = {B2B: ("b2b", "ctin", "inv"), B2CL: ("b2cl", "pos", "inv"), EXP: ("exp", "exp_typ", "inv"), CDNR: ("cdnr", "ctin", "nt")}
 BRACKETS = {
@@ -98,7 +98,7 @@ def _frame(lines: DataFrame, groups: DataFrame, registration: str) -> DataFrame:
 
 
 def return_rows(lines: DataFrame, firm_state: str, registration: str = "registration") -> DataFrame:
-    """(registration, section, part, grp, step, seq, value): the rows of each registration's return, in any order.
+    """(registration, section, part, grp, step, seq, later, value): the rows of each registration's return, in any order.
 
     Sorted by all columns they are its JSON text. Groups of a section are in order of their key, documents in that of arrival.
     """
@@ -110,8 +110,9 @@ def return_rows(lines: DataFrame, firm_state: str, registration: str = "registra
     key = [*by, "section", "grp"]
     firsts = entries.groupBy(*key).agg(F.min(F.struct("seq", "value")).alias("first"))
     first_group = firsts.groupBy(*by, "section").agg(F.min("grp").alias("first_grp"))
-    comma = F.when(F.struct("seq", "value") == F.col("first"), "").otherwise(",")
-    placed = entries.join(firsts, key).select(*key, F.lit(ENTRY).alias("step"), "seq", F.concat(comma, "value").alias("value"))
+    later = F.struct("seq", "value") != F.col("first")
+    placed = entries.join(firsts, key).select(
+        *key, F.lit(ENTRY).alias("step"), "seq", later.alias("later"), F.concat(F.when(later, ",").otherwise(""), "value").alias("value"))
     named = firsts.filter(F.col("section").isin(*GROUPED)).join(first_group, [*by, "section"])
     label = F.lit("")
     for section, (_, name, items) in GROUPED.items():
