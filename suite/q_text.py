@@ -100,16 +100,75 @@ def template_lines(spark, sf):
     return out.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "hsn", *d("taxable igst"))
 
 
-@query(f"""WITH {_TX} SELECT field, keyword, count(*) AS n FROM (
-  SELECT 'gstin' AS field, 'supplier' AS keyword FROM oy
-  UNION ALL SELECT 'gstin', NULL FROM oy WHERE gst<>'NA'
-  UNION ALL SELECT 'pan', NULL FROM oy UNION ALL SELECT 'bank_account', 'account' FROM oy UNION ALL SELECT 'ifsc', NULL FROM oy
-  UNION ALL SELECT 'invoice_date', 'date' FROM oy UNION ALL SELECT 'due_date', 'due date' FROM oy
-  UNION ALL SELECT 'invoice_number', 'invoice number' FROM oy) GROUP BY 1,2""", "sales")
+def _any(column: str, words) -> str:
+    return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
+
+
+def _matches(pattern: str) -> str:
+    """All whole matches of a pattern in a line, which its \\b keep apart from ASCII letters."""
+    return f"regexp_extract_all(line, '{pattern}')"
+
+
+def _detected(lines: str) -> str:
+    """All detectors over ``lines`` (doc_id, i, line), as CTEs that end in ``found``: seq is (detector, i, word, n)."""
+    def per_word(name: str, words: dict[str, str]) -> str:
+        values = ", ".join(f"({k}, '{w}', '{f}')" for k, (w, f) in enumerate(words.items()))
+        return f"{name}(word_no, word, field) AS (VALUES {values})"
+
+    def numbers(detector: int, table: str, pattern: str, drop: str, confidence: float) -> str:
+        return f"""SELECT doc_id, i, field, replace(x.v, '{drop}', '') AS value, word AS keyword, {confidence}::DOUBLE AS confidence, {detector} AS detector, word_no, x.n
+   FROM (SELECT *, unnest(list_transform({_matches(pattern)}, lambda v, n: {{'v': v, 'n': n}})) AS x FROM low JOIN {table} ON contains(low, word))"""
+
+    def all_of(detector: int, order: int, pattern: str, field: str, keyword: str, confidence: str) -> str:
+        return f"""SELECT doc_id, i, {field} AS field, x.v AS value, {keyword} AS keyword, {confidence}::DOUBLE AS confidence, {detector} AS detector, {order} AS word_no, x.n AS n
+   FROM (SELECT *, unnest(list_transform({_matches(pattern)}, lambda v, n: {{'v': v, 'n': n}})) AS x FROM low)"""
+
+    seller, buyer = _any("low", tx.SELLER_WORDS), _any("low", tx.BUYER_WORDS)
+    due = "contains(low, 'due')"
+    return f"""low AS (SELECT doc_id, i, line, lower(line) AS low FROM {lines}),
+ {per_word("tax_words", tx.TAX_FIELDS)}, {per_word("total_words", tx.TOTAL_FIELDS)}, {per_word("invoice_words", dict.fromkeys(tx.INVOICE_WORDS, "invoice_number"))},
+ owned AS (SELECT doc_id, substr(unnest({_matches(tx.GSTIN_IN_LINE)}), 3, 10) AS pan, i FROM low),
+ first_owned AS (SELECT doc_id, pan, min(i) AS since FROM owned GROUP BY 1, 2),
+ found AS (
+  {all_of(0, 0, tx.GSTIN_IN_LINE, "'gstin'", f"CASE WHEN {seller} THEN 'supplier' WHEN {buyer} THEN 'buyer' END", f"(CASE WHEN {seller} THEN 0.95 WHEN {buyer} THEN 0.9 ELSE 0.8 END)")}
+  UNION ALL SELECT p.* FROM ({all_of(0, 1, tx.PAN_IN_LINE, "'pan'", "NULL", "0.7")}) p
+   LEFT JOIN first_owned o ON o.doc_id=p.doc_id AND o.pan=p.value AND o.since<=p.i WHERE o.pan IS NULL
+  UNION ALL SELECT doc_id, i, field, v, word, 0.85, 1, word_no, 1 FROM (SELECT *,
+    regexp_extract(substr(line, instr(low, word) + length(word)), '^[:\\-\\s#]*([a-zA-Z0-9/\\-_]+)', 1) AS v FROM low JOIN invoice_words ON contains(low, word)) WHERE length(v) >= 3
+  UNION ALL {numbers(2, "tax_words", tx.TAX_NUMBER, "%", 0.75)}
+  UNION ALL {numbers(3, "total_words", tx.TOTAL_NUMBER, ",", 0.8)}
+  UNION ALL {all_of(4, 0, tx.IFSC_IN_LINE, "'ifsc'", "NULL", "0.9")}
+  UNION ALL {all_of(4, 1, tx.DATE_IN_LINE, f"CASE WHEN {due} THEN 'due_date' ELSE 'invoice_date' END", f"CASE WHEN {due} THEN 'due date' ELSE 'date' END", "0.8")}
+  UNION ALL SELECT doc_id, i, 'bank_account', v, 'account', 0.7, 4, 2, 1 FROM (SELECT *, regexp_extract(line, '\\b\\d{{9,18}}\\b') AS v FROM low
+    WHERE {_any("low", ("a/c", "account", "bank"))}) WHERE v<>'')"""
+
+
+_MONEY = "format('{{:,.2f}}', ({0})::DOUBLE)"
+_PRINTED = f"""oz AS (SELECT *, ps='07' AS home, CASE WHEN ps='07' THEN {_MONEY.format("round(net*0.09,2)")} ELSE '0.00' END AS half_text,
+   CASE WHEN ps='07' THEN '0.00' ELSE {_MONEY.format("round(net*0.18,2)")} END AS full_text FROM oy),
+ printed AS (SELECT okey AS doc_id, unnest(t) AS line, unnest(range(len(t))) AS i FROM (SELECT okey, list_filter([
+   'TAX INVOICE', 'Supplier {FIRM_GSTIN} PAN AABCF0001A', 'Customer Name: '||nm||' Billing Month: '||strftime(od,'%b %Y'),
+   'GSTIN: '||gst||' Invoice Number: '||no||' PAN: ZZZZZ9999Z Date of Invoice: '||strftime(od,'%d-%m-%Y'), 'Due date 31-12-2002', 'Particulars HSN Qty Amount',
+   CASE WHEN a>0 THEN 'A SAAS / Mobile Application 9971 Sub Total '||{_MONEY.format("a")} END, CASE WHEN b>0 THEN 'B Soundbox Charges 997319' END,
+   CASE WHEN b>0 THEN 'Sub Total '||{_MONEY.format("b")} END, CASE WHEN c>0 THEN 'D Transactional Messages 998599 Sub Total 10 5 0 '||{_MONEY.format("c")} END,
+   'Grand Total '||{_MONEY.format("net")}, 'Taxable Value Rate Central Tax Rate State Tax Rate Integrated Tax',
+   {_MONEY.format("net")}||CASE WHEN home THEN ' 9% ' ELSE ' % ' END||half_text||CASE WHEN home THEN ' 9% ' ELSE ' % ' END||half_text||CASE WHEN home THEN ' % ' ELSE ' 18% ' END||full_text,
+   'Final Total (A+B+D) '||{_MONEY.format("net")}, 'Net Cost '||{_MONEY.format("whole")},
+   'Total Cost incl Taxes '||{_MONEY.format("net+2*cg+ig")}, 'Rounding off 0.00', 'Bank Name: State Bank A/C 123456789012 IFSC SBIN0123456'], lambda x: x IS NOT NULL) AS t FROM oz))"""
+_FOUND = f"""WITH {_TX}, {_PRINTED}, {_detected("printed")}"""
+
+
+@query(f"{_FOUND} SELECT doc_id, i::BIGINT AS line_no, field, value, keyword, confidence FROM found", "sales")
+def candidates_all(spark, sf):
+    """Every candidate of every field on printed invoices, row by row."""
+    found = tx.candidates(invoice_texts(spark, sf))
+    return found.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "field", "value", "keyword", "confidence")
+
+
+@query(f"{_FOUND} SELECT field, keyword, count(*) AS n, count(DISTINCT value) AS n_values FROM found GROUP BY 1, 2", "sales")
 def candidate_counts(spark, sf):
     found = tx.candidates(invoice_texts(spark, sf))
-    fields = ("gstin", "pan", "bank_account", "ifsc", "invoice_date", "due_date", "invoice_number")
-    return found.filter(F.col("field").isin(*fields)).groupBy("field", "keyword").agg(F.count(F.lit(1)).alias("n"))
+    return found.groupBy("field", "keyword").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("value").alias("n_values"))
 
 
 @query(f"""WITH {_TX} SELECT okey AS doc_id, '07AABCF0001A1Z5' AS supplier_gstin, nullif(gst,'NA') AS buyer_gstin FROM oy""", "sales")
@@ -122,17 +181,18 @@ def date_resolution(spark, sf):
     return tx.resolve_dates(tx.candidates(invoice_texts(spark, sf)))
 
 
-@query(f"""WITH {_TX} SELECT okey AS doc_id, 'invoice_number' AS field, no AS value, 0.85::DOUBLE AS confidence FROM oy
-  UNION ALL SELECT okey, 'ifsc', 'SBIN0123456', 0.9 FROM oy UNION ALL SELECT okey, 'pan', 'ZZZZZ9999Z', 0.7 FROM oy""", "sales")
+@query(f"""{_FOUND} SELECT doc_id, field, value, keyword, confidence FROM found
+ QUALIFY row_number() OVER (PARTITION BY doc_id, field ORDER BY confidence DESC, detector, i, word_no, n)=1""", "sales")
 def candidates_best(spark, sf):
     best = tx.best_per_field(tx.candidates(invoice_texts(spark, sf)))
-    return best.filter(F.col("field").isin("invoice_number", "ifsc", "pan")).select("doc_id", "field", "value", "confidence")
+    return best.select("doc_id", "field", "value", "keyword", "confidence")
 
 
-@query(f"""WITH {_TX} SELECT okey AS doc_id, 3::BIGINT AS n, 2.7::DOUBLE AS sure FROM oy""", "sales")
+@query(f"""{_FOUND} SELECT doc_id, rank::BIGINT AS rank, field, value, confidence FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, detector, i, word_no, n) AS rank FROM found) WHERE rank<=3""", "sales")
 def candidates_top3(spark, sf):
     top = tx.top_candidates(tx.candidates(invoice_texts(spark, sf)), 3)
-    return top.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("confidence"), 4).alias("sure"))
+    return top.select("doc_id", F.col("rank").cast("long").alias("rank"), "field", "value", "confidence")
 
 
 @query(f"""WITH {_TX} SELECT okey AS doc_id, net::DOUBLE AS value, round(0.4*CASE WHEN true THEN 1.0 END+0.2*0.8+0.15*0.8+0.15*0.95+0.1*0.5,6) AS score
@@ -146,6 +206,15 @@ def amount_choice(spark, sf):
     return out.select("doc_id", "value", F.round("score", 6).alias("score"))
 
 
+@query(f"""{_FOUND} SELECT doc_id, field, coalesce(try_cast(value AS DOUBLE), 0) AS value, round(score, 6) AS score FROM (
+  SELECT *, 0.5*0.4+confidence*0.2+0.8*0.15+CASE WHEN trim(coalesce(keyword,''))<>'' THEN 0.95 ELSE 0.5 END*0.15+0.5*0.1 AS score FROM found WHERE detector IN (2, 3))
+ QUALIFY row_number() OVER (PARTITION BY doc_id, field ORDER BY round(score, 10) DESC, detector, i, word_no, n)=1""", "sales")
+def amounts_by_evidence(spark, sf):
+    """The chosen amount of every tax and total field, without calculated values to compare with."""
+    found = tx.candidates(invoice_texts(spark, sf)).filter(F.col("seq.detector").isin(2, 3))
+    return tx.choose_amounts(found).select("doc_id", "field", "value", F.round("score", 6).alias("score"))
+
+
 @query(f"""WITH {_TX} SELECT region, sum(n)::BIGINT AS n FROM (
   SELECT 'metadata' AS region, 5 AS n FROM oy UNION ALL
   SELECT 'items_table', 1 + (a>0)::INT + CASE WHEN b>0 THEN 2 ELSE 0 END + (c>0)::INT FROM oy UNION ALL
@@ -161,10 +230,6 @@ def document_lines(spark, sf):
     return lines.select("doc_id", "n_lines", (F.col("chars") + F.col("n_lines") - 1).alias("n_chars"))
 
 
-def _any(column: str, words) -> str:
-    return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
-
-
 @query(f"""WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents),
  l AS (SELECT doc_id, lower(unnest(p)) AS low, unnest(range(len(p))) AS i FROM parts),
  m AS (SELECT *, {_any("low", tx.TABLE_WORDS)} AS tab, {_any("low", tx.TOTALS_WORDS)} AS tot, {_any("low", tx.PAYMENT_WORDS)} AS pay FROM l),
@@ -178,7 +243,9 @@ def document_regions(spark, sf):
     return tx.line_regions(docs).groupBy("region").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"""WITH t AS (SELECT doc_id, text FROM documents UNION ALL SELECT conv_id*1000+turn+1000000000, text FROM conversations),
+ p AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM t), l AS (SELECT doc_id, unnest(p) AS line, unnest(range(len(p))) AS i FROM p), {_detected("l")}
+ SELECT field, keyword, count(*) AS n, count(DISTINCT value) AS n_values FROM found GROUP BY 1, 2""")
 def document_candidates(spark, sf):
     docs = read(spark, sf, "documents").select("doc_id", "text").unionByName(
         read(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn") + 10**9).alias("doc_id"), "text"))
