@@ -136,7 +136,7 @@ def batch_alerts(spark, sf):
 
 
 @query(f"""WITH {_FILES}, a AS (SELECT batch_id, avg(cost::DOUBLE) AS av FROM fl GROUP BY 1)
- SELECT flag_id, count(*) AS n FROM (SELECT unnest([
+ SELECT file_id, batch_id, flag_id FROM (SELECT okey::VARCHAR AS file_id, batch_id, unnest([
   CASE WHEN okey%101/100.0<0.6 THEN 'NUMBER_HALLUCINATION_SUSPECTED' END, CASE WHEN okey%7=0 THEN 'MATH_IMBALANCE_AFTER_CORRECTION' END,
   CASE WHEN okey%5=0 THEN 'GSTIN_INVALID_FORMAT' END, CASE WHEN okey%11=0 THEN 'IGST_CGST_CONFLICT' END,
   CASE WHEN zero::DOUBLE/raw>0.3 THEN 'HIGH_CORRECTION_RATE' END, CASE WHEN okey%17=0 THEN 'UNALLOCATED_ROW_INJECTED' END,
@@ -144,9 +144,9 @@ def batch_alerts(spark, sf):
   CASE WHEN zero>0 THEN 'SUBTOTAL_DOUBLE_COUNT_RISK' END, CASE WHEN okey%23=0 THEN 'JSON_PARSE_FAILURE' END,
   CASE WHEN okey%29=0 THEN 'PARTIAL_TRACE' END, CASE WHEN okey%3=0 THEN 'RECONCILIATION_BLOCKED' END,
   CASE WHEN okey%2=0 AND okey%100/100.0<0.6 THEN 'RECONCILIATION_LOW_CONFIDENCE' END]) AS flag_id
- FROM fl JOIN a USING (batch_id)) WHERE flag_id IS NOT NULL GROUP BY 1""", "sales")
+ FROM fl JOIN a USING (batch_id)) WHERE flag_id IS NOT NULL""", "sales")
 def quality_flags(spark, sf):
-    return metrics.file_flags(_files(spark, sf)).groupBy("flag_id").agg(F.count(F.lit(1)).alias("n"))
+    return metrics.file_flags(_files(spark, sf)).select("file_id", "batch_id", "flag_id")
 
 
 @query(f"""WITH {_FILES} SELECT okey, round((okey%9000+okey%700)::DOUBLE/greatest(okey%4,1),1) AS tokens_per_page,
@@ -597,15 +597,27 @@ def erp_columns(spark, sf):
     return views.rename_for_erp(rows, "sap")
 
 
-@query("""SELECT sheet, count(*) AS n FROM (SELECT 'b2b' AS sheet FROM groups WHERE category='B2B' UNION ALL
-  SELECT 'cdnr' FROM groups WHERE category='CDNR' UNION ALL (SELECT 'docs' FROM sales GROUP BY voucher_type)) GROUP BY 1""", "groups sales")
+@query("""SELECT lower(category) AS sheet, invoice_no AS number, NULL::VARCHAR AS until, gstin, party_name AS party, doc_date, total::DOUBLE AS value, taxable::DOUBLE AS taxable, pos,
+   CASE WHEN category='CDNR' THEN CASE WHEN lower(voucher_type) LIKE '%debit%' THEN 'D' ELSE 'C' END END AS kind FROM groups WHERE category IN ('B2B','CDNR')
+ UNION ALL SELECT 'docs', min(trim(invoice_no)), max(trim(invoice_no)), NULL, NULL, NULL, count(DISTINCT trim(invoice_no))::DOUBLE, NULL, NULL,
+   CASE WHEN voucher_type='Sales' THEN 'Invoices for outward supply' ELSE voucher_type END FROM sales GROUP BY voucher_type""", "groups sales")
 def flat_sheets(spark, sf):
+    """Rows of the sheets that list documents; b2cs and hsn sheets have queries of their own."""
     sheets = gstr1.flat_sheets(sales_lines(spark, sf), FIRM_STATE)
-    out = None
-    for name in ("b2b", "cdnr", "docs"):
-        part = sheets[name].select(F.lit(name).alias("sheet"))
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("sheet").agg(F.count(F.lit(1)).alias("n"))
+
+    def no(name):
+        return F.lit(None).cast("string").alias(name)
+
+    b2b = sheets["b2b"].select(
+        F.lit("b2b").alias("sheet"), F.col("invoice_number").alias("number"), no("until"), "gstin", F.col("receiver_name").alias("party"), F.col("invoice_date").alias("doc_date"),
+        F.col("invoice_value").cast("double").alias("value"), F.col("taxable_value").cast("double").alias("taxable"), F.col("place_of_supply").alias("pos"), no("kind"))
+    cdnr = sheets["cdnr"].select(
+        F.lit("cdnr").alias("sheet"), F.col("note_number").alias("number"), no("until"), "gstin", F.col("receiver_name").alias("party"), F.col("note_date").alias("doc_date"),
+        F.col("note_value").cast("double").alias("value"), F.col("taxable_value").cast("double").alias("taxable"), F.col("place_of_supply").alias("pos"), F.col("ntty").alias("kind"))
+    docs = sheets["docs"].select(
+        F.lit("docs").alias("sheet"), F.col("sr_no_from").alias("number"), F.col("sr_no_to").alias("until"), F.col("total_number").cast("double").alias("value"),
+        F.col("nature_of_document").alias("kind"))
+    return b2b.unionByName(cdnr).unionByName(docs, allowMissingColumns=True)
 
 
 def _vouchers(spark, sf):

@@ -54,11 +54,11 @@ def event_trace(spark, sf):
     return out.select("event_id", "event_type", F.date_format("timestamp_utc", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
-@query("""SELECT count(*) AS n FROM (SELECT DISTINCT invoice_no, coalesce(party_gstin,''), voucher_date FROM sales)""", "sales")
+@query("""SELECT DISTINCT upper(invoice_no) AS invoice_no, upper(coalesce(party_gstin,'')) AS party_gstin, upper(voucher_date) AS voucher_date FROM sales""", "sales")
 def first_sightings(spark, sf):
     lines = sales_lines(spark, sf, part=False).withColumn("timestamp_utc", F.col("o_orderdate"))
     unique = ev.first_sightings(lines.select("invoice_no", "party_gstin", "voucher_date", "timestamp_utc"))
-    return unique.agg(F.count(F.lit(1)).alias("n"))
+    return unique.select("invoice_no", "party_gstin", "voucher_date")
 
 
 @query("""SELECT count(*) FILTER (status='PASS') AS n_pass, count(*) FILTER (status='CLIENT_MISSING') AS n_client_missing,

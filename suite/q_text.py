@@ -215,12 +215,18 @@ def amounts_by_evidence(spark, sf):
     return tx.choose_amounts(found).select("doc_id", "field", "value", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {_TX} SELECT region, sum(n)::BIGINT AS n FROM (
-  SELECT 'metadata' AS region, 5 AS n FROM oy UNION ALL
-  SELECT 'items_table', 1 + (a>0)::INT + CASE WHEN b>0 THEN 2 ELSE 0 END + (c>0)::INT FROM oy UNION ALL
-  SELECT 'totals', 7 FROM oy UNION ALL SELECT 'payment', 1 FROM oy) GROUP BY 1""", "sales")
+def _regions(lines: str) -> str:
+    """Regions of ``lines`` (doc_id, i, line), as CTEs that end in ``regions``."""
+    return f"""m AS (SELECT doc_id, i, {_any("lower(line)", tx.TABLE_WORDS)} AS tab, {_any("lower(line)", tx.TOTALS_WORDS)} AS tot, {_any("lower(line)", tx.PAYMENT_WORDS)} AS pay FROM {lines}),
+ ta AS (SELECT *, coalesce(min(i) FILTER (tab) OVER (PARTITION BY doc_id), 2147483647) AS table_at FROM m),
+ ea AS (SELECT *, coalesce(min(i) FILTER (i >= table_at AND NOT pay) OVER (PARTITION BY doc_id), 2147483647) AS item_at FROM ta),
+ ra AS (SELECT *, coalesce(min(i) FILTER (i > item_at AND tot) OVER (PARTITION BY doc_id), 2147483647) AS totals_at FROM ea),
+ regions AS (SELECT doc_id, i::BIGINT AS line_no, CASE WHEN pay THEN 'payment' WHEN i >= totals_at THEN 'totals' WHEN i >= table_at THEN 'items_table' ELSE 'metadata' END AS region FROM ra)"""
+
+
+@query(f"WITH {_TX}, {_PRINTED}, {_regions('printed')} SELECT * FROM regions", "sales")
 def line_regions(spark, sf):
-    return tx.line_regions(invoice_texts(spark, sf)).groupBy("region").agg(F.count(F.lit(1)).alias("n"))
+    return tx.line_regions(invoice_texts(spark, sf)).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "region")
 
 
 @query("""SELECT doc_id, len(string_split(text, chr(10)))::BIGINT AS n_lines, length(text)::BIGINT AS n_chars FROM documents""")
@@ -231,16 +237,10 @@ def document_lines(spark, sf):
 
 
 @query(f"""WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents),
- l AS (SELECT doc_id, lower(unnest(p)) AS low, unnest(range(len(p))) AS i FROM parts),
- m AS (SELECT *, {_any("low", tx.TABLE_WORDS)} AS tab, {_any("low", tx.TOTALS_WORDS)} AS tot, {_any("low", tx.PAYMENT_WORDS)} AS pay FROM l),
- t AS (SELECT *, coalesce(min(i) FILTER (tab) OVER (PARTITION BY doc_id), 2147483647) AS table_at FROM m),
- e AS (SELECT *, coalesce(min(i) FILTER (i >= table_at AND NOT pay) OVER (PARTITION BY doc_id), 2147483647) AS item_at FROM t),
- r AS (SELECT *, coalesce(min(i) FILTER (i > item_at AND tot) OVER (PARTITION BY doc_id), 2147483647) AS totals_at FROM e)
- SELECT CASE WHEN pay THEN 'payment' WHEN i >= totals_at THEN 'totals' WHEN i >= table_at THEN 'items_table' ELSE 'metadata' END AS region,
-  count(*) AS n FROM r GROUP BY 1""")
+ l AS (SELECT doc_id, unnest(p) AS line, unnest(range(len(p))) AS i FROM parts), {_regions("l")} SELECT * FROM regions""")
 def document_regions(spark, sf):
     docs = read(spark, sf, "documents").select("doc_id", "text")
-    return tx.line_regions(docs).groupBy("region").agg(F.count(F.lit(1)).alias("n"))
+    return tx.line_regions(docs).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "region")
 
 
 @query(f"""WITH t AS (SELECT doc_id, text FROM documents UNION ALL SELECT conv_id*1000+turn+1000000000, text FROM conversations),
@@ -483,8 +483,8 @@ def dates_in_text(spark, sf):
         F.lit("paid on "), F.date_format("ts", "dd-MMM-yyyy"), F.lit(" then 2024-01-02"))).alias("found"))
 
 
-@query("""SELECT in_drive, count(*) AS n FROM (SELECT CASE WHEN gstin='' THEN 'No' WHEN okey%3=0 THEN 'Yes' WHEN okey%3=1 AND skey%2=0 THEN 'Yes' ELSE 'No' END AS in_drive
-  FROM extra2b) GROUP BY 1""", "extra2b")
+@query("""SELECT gstin AS gst_no, inv_no AS supplier_inv, inv_date AS invoice_date,
+  CASE WHEN gstin='' THEN 'No' WHEN okey%3=0 THEN 'Yes' WHEN okey%3=1 AND skey%2=0 THEN 'Yes' ELSE 'No' END AS in_drive FROM extra2b""", "extra2b")
 def gap_verification(spark, sf):
     """Statement-only records looked up in document texts: same month, next month, too late, absent."""
     from .q_gstr2b import reconciliation
@@ -500,4 +500,4 @@ def gap_verification(spark, sf):
         F.concat("inv_no", F.lit("-"), "gstin").alias("doc_id"), shown.alias("month"), F.concat(
             F.lit("Invoice of "), F.regexp_replace("gstin", "^(..)", "$1 "), F.lit(" no. "), F.lower("inv_no"), F.lit(" thanks")).alias("text")
     ).filter("month IS NOT NULL")
-    return state.verify_gaps(extra, docs).groupBy("in_drive").agg(F.count(F.lit(1)).alias("n"))
+    return state.verify_gaps(extra, docs).select("gst_no", "supplier_inv", "invoice_date", "in_drive")
