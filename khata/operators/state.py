@@ -175,14 +175,20 @@ def anchor(number: Column) -> Column:
     return F.substring(number, n - size + 1, size)
 
 
-def verify_gaps(gaps: DataFrame, documents: DataFrame) -> DataFrame:
+FEW = 64
+"""Numbers wanted of a GSTIN in a month, up to which a document that names it is simply looked through for each."""
+
+
+def verify_gaps(gaps: DataFrame, documents: DataFrame, few: int = FEW) -> DataFrame:
     """Gaps with ``in_drive``: Yes when a document of the month or the next holds GSTIN and number.
 
     ``gaps`` has gst_no, supplier_inv and invoice_date (DD-MM-YYYY); ``documents`` has doc_id, month
     (first day, DATE) and text. A number may sit anywhere in the whole text; to find it without
-    comparing every gap with every document, both sides meet on (GSTIN, month, last characters of
-    the number). A GSTIN of an unusual shape meets on the month and the last characters of both. Only
-    keys of documents are joined; each text is fetched once, to look for its candidates.
+    comparing every gap with every document, both sides meet on the GSTINs that the text names. Of a GSTIN
+    with up to ``few`` wanted numbers in a month all are candidates; of one with more, both sides meet on the last characters of
+    the number too, so only texts that name such a GSTIN are cut into pieces. A GSTIN of an unusual shape meets on
+    the month and the last characters of both. Only keys of documents are joined; each text is fetched once, to
+    look for its candidates.
     """
     def clean(c: Column) -> Column:
         return F.regexp_replace(F.upper(F.coalesce(c, F.lit(""))), "[^A-Z0-9]", "")
@@ -201,15 +207,20 @@ def verify_gaps(gaps: DataFrame, documents: DataFrame) -> DataFrame:
     # keys of documents only: the text stays behind until the candidates are known
     holders = docs.select(*doc, F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit(GSTIN_ANYWHERE), F.lit(1)))).alias("_g"))
     holders = holders.join(usual.select("_g", "_doc_m"), ["_g", "_doc_m"], "left_semi").distinct()
-    near = docs.join(holders, doc, "left_semi").select(*doc, F.explode(grams(F.col("_text"), ANCHORS)).alias("_a"))
-    found_a = near.join(holders, doc).join(usual, ["_g", "_doc_m", "_a"]).select(*doc, "_g", "_n", "_m")
+    many = usual.groupBy("_g", "_doc_m").agg(F.count(F.lit(1)).alias("_wanted")).where(F.col("_wanted") > few).select("_g", "_doc_m")
+    named = usual.join(many, ["_g", "_doc_m"], "left_anti")
+    found_few = holders.join(named, ["_g", "_doc_m"]).select(*doc, "_g", "_n", "_m")
+    crowded = holders.join(many, ["_g", "_doc_m"], "left_semi")
+    near = docs.join(crowded, doc, "left_semi").select(*doc, F.explode(grams(F.col("_text"), ANCHORS)).alias("_a"))
+    found_many = near.join(crowded, doc).join(usual, ["_g", "_doc_m", "_a"]).select(*doc, "_g", "_n", "_m")
+    found_a = found_few.unionByName(found_many)
     month_docs = docs.join(odd.select("_doc_m"), "_doc_m", "left_semi").select(*doc, F.explode(grams(F.col("_text"), ANCHORS)).alias("_a"))
     # the longer one of the two ends is looked for first, the other one among what that leaves
     lead = F.length("_ga") > F.length("_a")
     asked = odd.select("_g", "_n", "_m", "_doc_m", F.when(lead, F.col("_ga")).otherwise(F.col("_a")).alias("_a"), F.when(lead, F.col("_a")).otherwise(F.col("_ga")).alias("_other"))
     found_b = month_docs.join(asked, ["_doc_m", "_a"]).drop("_a").withColumnRenamed("_other", "_a").join(
         month_docs, [*doc, "_a"], "left_semi").select(*doc, "_g", "_n", "_m")
-    # a document's candidates are no more than its text has ends for
+    # a document's candidates are no more than its text has ends for, or few for each GSTIN it names
     candidates = found_a.unionByName(found_b).groupBy(*doc).agg(F.collect_set(F.struct("_g", "_n", "_m")).alias("_c"))
     kept = F.filter("_c", lambda c: F.col("_text").contains(c["_n"]) & F.col("_text").contains(c["_g"]))
     hits = docs.join(candidates, doc).select(F.explode(kept).alias("h")).select("h.*").distinct().withColumn("in_drive", F.lit("Yes"))

@@ -142,3 +142,21 @@ def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (5, 5), *((i, i + 1) for i in range(100, 180)), *((200, i) for i in range(201, 230))]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a int, b int")).collect()))
     assert got[3] == 1 and got[9] == 8 and got[5] == 5 and got[180] == 100 and got[229] == 200 and len(got) == 3 + 2 + 1 + 81 + 30
+
+
+# --- gaps in texts
+
+@pytest.mark.parametrize("few", [0, 3, 64])
+def test_gaps_are_found_however_many_a_gstin_has(spark, few):
+    from khata.operators import state
+
+    crowded, quiet = "27AAAAA0000A1Z5", "06BBBBB0000B1Z5"
+    gaps = spark.createDataFrame(
+        [(crowded, f"INV/{i:05}", "05-01-2024") for i in range(40)] + [(quiet, "Q-1", "05-01-2024"), (quiet, "Q-2", "05-03-2024"), ("", "X", "05-01-2024")],
+        "gst_no string, supplier_inv string, invoice_date string")
+    docs = spark.createDataFrame(
+        [(1, "2024-01-01", f"to {crowded} inv 00003 INV/00007"), (2, "2024-02-01", f"{crowded.lower()} inv-00011 {quiet} q 1"), (3, "2024-03-01", f"{crowded} INV/00020"),
+         (4, "2024-01-01", "INV/00030 of nobody"), (5, "2024-03-01", f"{quiet} Q2"), (6, "2024-01-01", None)], "doc_id int, month string, text string")
+    got = state.verify_gaps(gaps, docs.withColumn("month", F.col("month").cast("date")), few=few)
+    assert got.count() == 43
+    assert rows(got.where("in_drive = 'Yes'"), "supplier_inv") == [("INV/00003",), ("INV/00007",), ("INV/00011",), ("Q-1",), ("Q-2",)]
