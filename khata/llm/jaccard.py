@@ -19,6 +19,7 @@ rows are documents that link with each other. Null ids order last among a compon
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import partial
@@ -193,8 +194,17 @@ def forest(a: Tree, b: Tree, percent: int) -> list[tuple[int, int]]:
 
 # --- the join
 
+def hand_back() -> None:
+    """Give the system what earlier tasks of this worker have freed; the C library keeps it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def _slots(words: int, percent: int, bits: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The filter bits of all sets' keys, and behind them, with negative part numbers, the task's token counters."""
+    hand_back()
     classes, counts = SizeClasses(percent), np.zeros(1 << COUNTER_BITS, np.uint32)
 
     def keys() -> Iterator[np.ndarray]:
@@ -243,6 +253,7 @@ def _filters(slots: DataFrame, bits: int, limit: float) -> tuple[np.ndarray, np.
 
 def _grouped(words: int, percent: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (block, left, right, piece, sid, text), sorted by the first three; traverses one pair of pieces at a time."""
+    hand_back()
     now, sides = None, {}
 
     def links() -> list[tuple[int, int]]:
@@ -278,8 +289,9 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     seen = spark.sparkContext.broadcast(_filters(docs.select("text").mapInArrow(partial(_slots, words, percent, bits), SLOT_SCHEMA), bits, limit))
 
     def marked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each document (row, doc_id, n, sid), and in rows of their own (key, sid) of the keys that may be shared."""
-        classes, maybe = SizeClasses(percent), suspect(seen.value[0], bits)
+        """For each document (row, doc_id, n, sid), and in rows of their own (key, sid) of the keys that may be shared, once for each set of a task."""
+        hand_back()
+        classes, maybe, sent = SizeClasses(percent), suspect(seen.value[0], bits), set()
         heavy = np.unpackbits(seen.value[1], bitorder="little").astype(bool)
         names = ["row", "doc_id", "n", "key", "sid"]
         for batch in batches:
@@ -287,7 +299,8 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
             for tokens in shingle_sets(batch.column(2), words):
                 n.append(len(tokens))
                 ids.append(set_id(tokens))
-                found = part_keys(tokens, classes, heavy) if len(tokens) else np.zeros(0, np.uint64)
+                found = part_keys(tokens, classes, heavy) if len(tokens) and ids[-1] not in sent else np.zeros(0, np.uint64)
+                sent.add(ids[-1])
                 keys.append(found[maybe(found)])
             none = pa.nulls(len(n), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), none, pa.array(ids, pa.int64())], names=names)
@@ -301,6 +314,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     # a table of its own, so that the join's sides are plain exchanges, of which Spark can split a hot key
     shared = written(keyed.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("key", "lo"), "shared-parts")
     blocks = components(keyed.join(shared, "key").where("sid <> lo").select(F.col("sid").alias("a"), F.col("lo").alias("b")).distinct())
+    discard(shared)
 
     one = sets.where("n > 0").groupBy("sid").agg(F.min("row").alias("row"), F.first("n").alias("n"))
     members = one.join(blocks.withColumnRenamed("node", "sid"), "sid")
