@@ -14,7 +14,8 @@ SF = "/root/testdata/sf0.001"
 CROSS_SECTION = [
     "hsn_summary", "b2cs_buckets", "return_envelope", "recon2b_summary", "fuzzy_pairs", "sales_three_way", "filings_by_registration",
     "sales_register", "itc_summary", "subtotal_removal", "tax_apportion", "recon_engine_status", "validation_scores",
-    "gap_trigger_merge", "priority_queue", "candidates_best", "event_windows",
+    "gap_trigger_merge", "priority_queue", "candidates_best", "event_windows", "candidates_all", "canonical_round_trip", "trigger_timers",
+    "event_windows_stream", "return_documents",
 ]
 NAMES = sorted(queries()) if os.environ.get("CHECK_ALL") else CROSS_SECTION
 
