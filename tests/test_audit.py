@@ -159,6 +159,16 @@ def test_rules(spark):
     assert s.failed_rules == []
 
 
+def test_registry_with_a_gstin_twice(spark):
+    g = "27AABCM0001A1Z5"
+    inv = spark.createDataFrame([(1, 10, g), (2, 20, g), (3, 30, g), (4, 10, None)], "id int, party int, buyer_gstin string")
+    reg = spark.createDataFrame([(10, g, "Active", None, "27"), (20, g, "Cancelled", "1997-06-30", "06")], "party int, gstin string, status string, d string, state_code string")
+    reg = reg.select("*", F.col("d").cast("date").alias("status_change_date"))
+    assert rows(validation.with_registry(inv, reg, "party"), "id", "reg_status", "reg_state") == [
+        (1, "Active", "27"), (2, "Cancelled", "06"), (3, None, None), (4, None, None)]
+    assert rows(validation.with_registry(inv, reg), "id", "reg_status") == [(1, "Active"), (2, "Active"), (3, "Active"), (4, None)]
+
+
 def test_slab_rule(spark):
     df = spark.createDataFrame([("a", D("100"), D("18.54")), ("b", D("100"), D("18.56")), ("c", D("0"), D("5"))], f"t string, taxable_value {MONEY}, igst_amount {MONEY}")
     lines = df.withColumns({c: F.lit(0).cast(MONEY) for c in ("cgst_amount", "sgst_amount")})
