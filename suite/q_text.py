@@ -401,7 +401,9 @@ def certificates(spark, sf):
 @query("""SELECT CASE WHEN original_no LIKE 'OX%' THEN 'ox' WHEN original_no LIKE 'MH%' THEN 'firm' END AS profile,
   count(DISTINCT okey) AS n FROM sales GROUP BY 1""", "sales")
 def vendor_profiles(spark, sf):
-    profiles = [{"name": "ox", "invoice_number_prefix": "OX0"}, {"name": "firm", "gstin": "", "invoice_number_prefix": ["MH0", "MHX"]}]
+    # a number fills its seven digits from order 1,000,000 on, so any digit may follow the letters; OX alone is in SOUNDBOX
+    profiles = [{"name": "ox", "invoice_number_prefix": [f"OX{i}" for i in range(10)]},
+                {"name": "firm", "gstin": "", "invoice_number_prefix": [*[f"MH{i}" for i in range(10)], "MHX"]}]
     found = tx.vendor_profile(F.col("text"), profiles)
     return invoice_texts(spark, sf).groupBy(found.alias("profile")).agg(F.count(F.lit(1)).alias("n"))
 

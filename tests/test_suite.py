@@ -32,3 +32,14 @@ def test_query(spark, name):
     sql = oracle_sql().get(name)
     if sql:
         assert compare(got, connect(SF).execute(sql).df()) == ""
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables absent")
+def test_vendor_profiles_of_full_width_numbers(spark, tmp_path):
+    con = connect(SF)
+    for name, key in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")):
+        con.execute(f"COPY (SELECT * REPLACE ({key}+3400000 AS {key}) FROM {name}) TO '{tmp_path}/{name}.parquet'")
+    for name in ("customer", "part"):
+        con.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet'")
+    got = queries()["vendor_profiles"](spark, str(tmp_path)).toPandas()
+    assert compare(got, connect(str(tmp_path)).execute(oracle_sql()["vendor_profiles"]).df()) == ""
