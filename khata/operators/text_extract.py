@@ -549,9 +549,11 @@ def bank_transactions(documents: DataFrame, confidence: str | None = None) -> Da
     def from_end(i: int) -> Column:
         return F.coalesce(F.try_element_at(F.col("tokens"), F.lit(-i)), F.lit(""))
 
+    def bare(token: Column) -> Column:
+        return F.btrim(token, F.lit("crCRdrDR₹|"))
+
     def is_amount(token: Column) -> Column:
-        bare = F.btrim(token, F.lit("crCRdrDR₹|"))
-        return bare.rlike(r"^[\-\+]?[\d,\.]+$") & bare.rlike(r"\d")
+        return bare(token).rlike(r"^[\-\+]?[\d,\.]+$") & bare(token).rlike(r"\d")
 
     n = F.when(~is_amount(from_end(1)), 0).when(~is_amount(from_end(2)), 1).when(~is_amount(from_end(3)), 2).otherwise(3)
     counted = split.withColumn("n", n)
@@ -562,9 +564,11 @@ def bank_transactions(documents: DataFrame, confidence: str | None = None) -> Da
         sanitize_text(F.coalesce(blank_to_null(words), F.lit("BANK TRANSACTION"))).alias("narration"),
         F.when(count == 2, sanitize_amount(from_end(2))).when(count == 3, sanitize_amount(from_end(3))).otherwise("").alias("debit"),
         F.when(count == 3, sanitize_amount(from_end(2))).otherwise("").alias("credit"),
-        F.when(count > 0, sanitize_amount(from_end(1))).otherwise("").alias("balance"), "bank")
+        F.when(count > 0, sanitize_amount(from_end(1))).otherwise("").alias("balance"), "bank",
+        *[F.when(count >= i, bare(from_end(i))).alias(f"_{i}") for i in (1, 2, 3)])
+    # amounts count as printed: one marked Cr or Dr has no place in a column, but the line has an amount
     scored = out.withColumn("confidence", transaction_confidence(
-        F.col("date"), F.col("narration"), F.col("debit"), F.col("credit"), F.col("balance")))
+        F.col("date"), F.col("narration"), F.col("_1"), F.col("_2"), F.col("_3"))).drop("_1", "_2", "_3")
     return scored if confidence is None else scored.filter(F.col("confidence") == confidence)
 
 

@@ -183,6 +183,13 @@ def test_bank_lines(spark):
         (1, "UPI 9 pay", "1200.00", "", "", "SURE", "HDFC"), (2, "100 x", "", "", "50.00", "SURE", "HDFC"), (3, "nothing", "", "", "", "UNCERTAIN", "HDFC"), (5, "BANK TRANSACTION", "", "", "9.00", "SURE", "HDFC")]
 
 
+def test_bank_line_with_a_marked_amount_has_an_amount(spark):
+    d = spark.createDataFrame([(1, "01/02/2024 a 0.00 1,000.00Cr\n02/02/2024 b 0.00\n03/02/2024 c 0.00 0.00Dr\n04/02/2024 d 7.00Dr")], "doc_id int, text string")
+    assert rows(tx.bank_transactions(d), "narration", "debit", "balance", "confidence") == [
+        ("a", "0.00", "", "SURE"), ("b", "", "0.00", "UNCERTAIN"), ("c", "0.00", "", "UNCERTAIN"), ("d", "", "", "SURE")]
+    assert rows(tx.bank_transactions(d, "SURE"), "narration") == [("a",), ("d",)]
+
+
 def test_golden_cases_from_files(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"case_id":"p1","document_type":"purchase_invoice","source":"synthetic","fields":{"taxable_value":{"extracted":1000.0,"expected":1000.005,"confidence":0.9},"hsn":{"extracted":"8471","expected":"8517"},"note":{"extracted":null,"expected":null}}}')
     (tmp_path / "b.json").write_text('{"case_id":"p2","fields":{}}')
