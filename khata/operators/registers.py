@@ -70,21 +70,27 @@ def sales_register(lines: DataFrame, round_off: Column | None = None, size: int
     ``names_apart`` is true, and all of them are rows of ``register_names``.
     """
     first = F.when(F.col("narration").isNotNull(), F.struct("seq", "narration"))
-    distinct = distinct_lines(lines)
-    sums = distinct.groupBy(*KEYS, "gstr1_category").agg(
-        *[money(F.sum(c)).alias(c) for c in SUMS], F.min("hsn").alias("low"), F.max("hsn").alias("high"), F.min(first).alias("first"))
-    few, _, large = _names(distinct, size)
-    # what all categories of an invoice share is looked up over its few rows, among which are one with the names or one that says they are apart
-    texts = few.groupBy(*KEYS).agg(_joined().alias("names")).withColumn("apart", F.lit(False))
-    apart = large.select(*[F.col(f"_{k}").alias(k) for k in KEYS], F.lit(None).cast("string").alias("names"), F.lit(True).alias("apart"))
-    both = sums.withColumn("own", F.lit(True)).unionByName(texts.unionByName(apart), allowMissingColumns=True)
+    # one shuffle, by invoice: copies, names, sums and what all categories of an invoice share are then found where its lines are,
+    # sorted and spilled if there are many, and no more names are gathered than one cell may hold
+    used = lines.select(*KEYS, "gstr1_category", *SUMS, "particulars", "narration", "hsn", "seq").repartition(*KEYS)
+    distinct = distinct_lines(used).withColumn("part", _part())
+    named = distinct.withColumn("new", F.col("part").isNotNull() & (
+        F.row_number().over(Window.partitionBy(*KEYS, "part").orderBy("seq")) == 1))
+    so_far = Window.partitionBy(*KEYS).orderBy("seq", "part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    named = named.withColumn("chars", F.sum(F.when(F.col("new"), F.length("part") + len(BETWEEN)).otherwise(0)).over(so_far))
+    sums = named.groupBy(*KEYS, "gstr1_category").agg(
+        *[money(F.sum(c)).alias(c) for c in SUMS], F.min("hsn").alias("low"), F.max("hsn").alias("high"), F.min(first).alias("first"),
+        F.max("chars").alias("chars"), F.collect_list(F.when(F.col("new") & (F.col("chars") <= size), F.struct("seq", "part"))).alias("names"))
     invoice = Window.partitionBy(*KEYS)
-    low, high = F.min("low").over(invoice), F.max("high").over(invoice)
-    out = both.select(
-        *KEYS, "gstr1_category", *SUMS, F.when(low == high, low).alias("hsn"),
-        F.min("first").over(invoice)["narration"].alias("nature"), F.max("names").over(invoice).alias("particulars"),
-        F.coalesce(F.max("apart").over(invoice), F.lit(False)).alias("names_apart"), "own")
-    return out.where("own").drop("own").withColumn("round_off", money(round_off if round_off is not None else F.lit(0)))
+    shared = sums.select(
+        *KEYS, "gstr1_category", *SUMS, F.min("low").over(invoice).alias("low"), F.max("high").over(invoice).alias("high"),
+        F.min("first").over(invoice)["narration"].alias("nature"), (F.max("chars").over(invoice) > size).alias("names_apart"),
+        F.flatten(F.collect_list("names").over(invoice)).alias("names"))
+    texts = F.array_join(F.transform(F.array_sort("names"), lambda x: x["part"]), BETWEEN)
+    return shared.select(
+        *KEYS, "gstr1_category", *SUMS, F.when(F.col("low") == F.col("high"), F.col("low")).alias("hsn"), "nature",
+        F.when(~F.col("names_apart") & (F.size("names") > 0), texts).alias("particulars"), "names_apart",
+        money(round_off if round_off is not None else F.lit(0)).alias("round_off"))
 
 
 def _tax() -> Column:

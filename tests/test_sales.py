@@ -122,6 +122,13 @@ def test_register_keeps_many_names_in_parts(spark):
     assert rows(registers.sales_register(df).where("invoice_no = 'A'"), "particulars") == [(" | ".join(names[1:500:2]),)] * 2
 
 
+def test_register_reads_and_shuffles_its_lines_once(spark):
+    zero = {c: F.lit(0).cast("decimal(18,2)") for c in ("discount", "advances")}
+    df = spark.createDataFrame([line(1, "A", None, "Sales", "B2CS", 10, text="one")], LINE).withColumns(zero).withColumn("narration", F.lit("x"))
+    plan = registers.sales_register(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Scan ExistingRDD") == 1, plan
+
+
 def test_itc_summary_always_has_six_rows(spark):
     df = spark.createDataFrame([("ITC_ELIGIBLE", D("10")), ("ITC_BLOCKED", D("5"))], "itc_status string, taxable_value decimal(18,2)")
     got = rows(registers.itc_summary(df), "category", F.col("taxable_amount").cast("double"), "line_items", F.col("itc_at_risk").cast("double"))
