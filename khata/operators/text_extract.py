@@ -98,42 +98,57 @@ def _metadata(low: Column) -> list[Column]:
     ]
 
 
-def candidates(documents: DataFrame) -> DataFrame:
+def _once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """With columns that are worked out once a row: behind a generator they can't be put in place, inside a loop over lines for one."""
+    return rows.select(*rows.columns, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def candidates(documents: DataFrame, fields: tuple[str, ...] | None = None) -> DataFrame:
     """All detectors over all lines: (doc_id, field, value, keyword, confidence, context, seq).
 
-    Each pattern runs once per line; the keyword rules then only reshape what it found.
+    Each pattern runs once per line; the keyword rules then only reshape what it found. With ``fields`` only
+    the candidates of these fields are looked for, in the same order.
     """
-    known = F.flatten(F.transform("lines", lambda line, i: F.transform(
-        _all(line, GSTIN_IN_LINE), lambda g: F.named_struct(
-            F.lit("line_no"), i, F.lit("pan"), F.substring(g, 3, 10)))))
-    whole = documents.select("doc_id", F.split("text", "\n").alias("lines")).select("doc_id", "lines", known.alias("pans"))
-    # a PAN counts unless a GSTIN up to its line holds it; settled here, so that no line carries the document's GSTINs
-    fresh = F.transform("lines", lambda line, i: F.struct(line.alias("line"), F.filter(
-        _all(line, PAN_IN_LINE), lambda p: ~F.exists("pans", lambda k: (k["pan"] == p) & (k["line_no"] <= i))).alias("pan")))
-    rows = whole.select("doc_id", F.posexplode(fresh).alias("line_no", "l")).select("doc_id", "line_no", "l.line", "l.pan")
-    line, low = F.col("line"), F.col("low")
-    digit = line.rlike(r"\d")
+    def wanted(*names: str) -> bool:
+        return fields is None or any(n in fields for n in names)
+
     empty = F.array().cast("array<string>")
+    whole = documents.select("doc_id", F.split("text", "\n").alias("lines"))
+    if wanted("pan"):
+        gstins = F.transform("lines", lambda line: F.when(line.rlike(r"\dZ|[A-Z]Z"), _all(line, GSTIN_IN_LINE)).otherwise(empty))
+        known = F.flatten(F.transform("gstins", lambda found, i: F.transform(
+            found, lambda g: F.named_struct(F.lit("line_no"), i, F.lit("pan"), F.substring(g, 3, 10)))))
+        whole = _once(_once(whole, gstins=gstins), pans=known)
+        # a PAN counts unless a GSTIN up to its line holds it; settled here, so that no line carries the document's GSTINs
+        fresh = F.transform("lines", lambda line, i: F.struct(
+            line.alias("line"), F.get("gstins", i).alias("gstin"), F.when(line.rlike(r"\d{4}[A-Z]"), F.filter(
+                _all(line, PAN_IN_LINE), lambda p: ~F.exists("pans", lambda k: (k["pan"] == p) & (k["line_no"] <= i)))).otherwise(empty).alias("pan")))
+        rows = whole.select("doc_id", F.posexplode(fresh).alias("line_no", "l")).select("doc_id", "line_no", "l.line", "l.gstin", "l.pan")
+    else:
+        rows = whole.select("doc_id", F.posexplode("lines").alias("line_no", "line")).withColumns({
+            "gstin": _all(F.col("line"), GSTIN_IN_LINE) if wanted("gstin") else empty, "pan": empty})
+    line, low = F.col("line"), F.col("low")
     account = F.regexp_extract(line, r"\b\d{9,18}\b", 0)
     near_bank = any_contains(low, ("a/c", "account", "bank"))
-    # a line without a digit can hold only an invoice number made of letters
-    staged = rows.withColumn("low", F.lower("line")).select(
+    # a line without a digit can hold only an invoice number made of letters; other lines without candidates give no rows below.
+    # No pattern is in a filter, where it would run once more.
+    kept = rows.filter(line.rlike(r"\d") | any_contains(F.lower(line), INVOICE_WORDS))
+    none = F.lit(None).cast("array<string>")
+    staged = kept.withColumn("low", F.lower("line")).select(
         "*",
-        F.when(digit, _all(line, GSTIN_IN_LINE)).otherwise(empty).alias("gstin"),
-        F.when(digit, _when_near(low, TAX_FIELDS, _all(line, TAX_NUMBER))).otherwise(empty).alias("tax_numbers"),
-        F.when(digit, _when_near(low, TOTAL_FIELDS, _all(line, TOTAL_NUMBER))).otherwise(empty).alias("total_numbers"),
-        F.when(digit, _all(line, IFSC_IN_LINE)).otherwise(empty).alias("ifsc"),
-        F.when(digit, _all(line, DATE_IN_LINE)).otherwise(empty).alias("dates"),
-        F.when(digit & near_bank & (account != ""), F.array(account)).otherwise(empty).alias("accounts"))
-    some = any_contains(low, INVOICE_WORDS)
-    for name in ("gstin", "pan", "tax_numbers", "total_numbers", "ifsc", "dates", "accounts"):
-        some = some | (F.size(name) > 0)
-    found = F.concat(
-        *_gst_and_pan(low), *_invoice_numbers(line),
-        *_numbers("tax_numbers", low, 2, TAX_FIELDS, "%", 0.75),
-        *_numbers("total_numbers", low, 3, TOTAL_FIELDS, ",", 0.8), *_metadata(low))
-    out = staged.filter(some).select("doc_id", "line_no", F.trim("line").alias("context"),
-                                     F.posexplode(found).alias("pos", "c"))
+        _when_near(low, TAX_FIELDS, _all(line, TAX_NUMBER)).alias("tax_numbers") if wanted(*TAX_FIELDS.values()) else none.alias("tax_numbers"),
+        _when_near(low, TOTAL_FIELDS, _all(line, TOTAL_NUMBER)).alias("total_numbers") if wanted(*TOTAL_FIELDS.values()) else none.alias("total_numbers"),
+        _all(line, IFSC_IN_LINE).alias("ifsc") if wanted("ifsc") else none.alias("ifsc"),
+        _all(line, DATE_IN_LINE).alias("dates") if wanted("invoice_date", "due_date") else none.alias("dates"),
+        F.when(near_bank & (account != ""), F.array(account)).otherwise(empty).alias("accounts") if wanted("bank_account") else none.alias("accounts"))
+    (gst, pan), (ifsc, dates, accounts) = _gst_and_pan(low), _metadata(low)
+    tax = _numbers("tax_numbers", low, 2, TAX_FIELDS, "%", 0.75)
+    total = _numbers("total_numbers", low, 3, TOTAL_FIELDS, ",", 0.8)
+    found = F.concat(_none(), *[c for names, columns in (
+        (("gstin",), [gst]), (("pan",), [pan]), (("invoice_number",), _invoice_numbers(line)), *zip([(f,) for f in TAX_FIELDS.values()], [[c] for c in tax]),
+        *zip([(f,) for f in TOTAL_FIELDS.values()], [[c] for c in total]), (("ifsc",), [ifsc]), (("invoice_date", "due_date"), [dates]),
+        (("bank_account",), [accounts])) if wanted(*names) for c in columns])
+    out = staged.select("doc_id", "line_no", F.trim("line").alias("context"), F.posexplode(found).alias("pos", "c"))
     return out.select(
         "doc_id", "line_no", "c.field", "c.value", "c.keyword", "c.confidence", "context",
         F.struct("c.detector", "line_no", "pos").alias("seq"))
@@ -158,16 +173,16 @@ def top_candidates(found: DataFrame, k: int) -> DataFrame:
 
 def resolve_gstins(found: DataFrame) -> DataFrame:
     """Supplier and buyer GSTIN per document: by keyword, then leftovers in order."""
-    rows = found.filter("field = 'gstin'").withColumn("r", F.struct("value", "line_no", "keyword"))
-    named = rows.groupBy("doc_id").agg(*[
-        F.min_by("r", F.when(F.col("keyword") == k, _rank())).alias(k) for k in ("supplier", "buyer")])
-    left = rows.join(named, "doc_id").filter(
-        ~F.col("r").eqNullSafe(F.col("supplier")) & ~F.col("r").eqNullSafe(F.col("buyer")))
-    order = Window.partitionBy("doc_id").orderBy(_rank())
-    spare = left.withColumn("n", F.row_number().over(order)).filter("n <= 2").groupBy("doc_id").agg(
-        F.max(F.when(F.col("n") == 1, F.col("value"))).alias("spare1"),
-        F.max(F.when(F.col("n") == 2, F.col("value"))).alias("spare2"))
-    out = named.join(spare, "doc_id", "left")
+    rows = found.filter("field = 'gstin'").select("doc_id", F.struct("value", "line_no", "keyword").alias("r"), _rank().alias("rank"))
+    doc = Window.partitionBy("doc_id")
+    # all of it is windows over one shuffle: the texts are read once
+    named = rows.select("*", *[
+        F.min_by("r", F.when(F.col("r.keyword") == k, F.col("rank"))).over(doc).alias(k) for k in ("supplier", "buyer")])
+    left = ~F.col("r").eqNullSafe(F.col("supplier")) & ~F.col("r").eqNullSafe(F.col("buyer"))
+    placed = named.withColumn("n", F.when(left, F.sum(left.cast("int")).over(
+        doc.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow))))
+    out = placed.groupBy("doc_id").agg(
+        *[F.max(k).alias(k) for k in ("supplier", "buyer")], *[F.max(F.when(F.col("n") == i, F.col("r.value"))).alias(f"spare{i}") for i in (1, 2)])
     return out.select(
         "doc_id", F.coalesce("supplier.value", "spare1").alias("supplier_gstin"),
         F.coalesce("buyer.value", F.when(F.col("supplier").isNull(), F.col("spare2")).otherwise(F.col("spare1")))
@@ -176,13 +191,12 @@ def resolve_gstins(found: DataFrame) -> DataFrame:
 
 def resolve_dates(found: DataFrame) -> DataFrame:
     """Invoice and due date; without a due date the second-ranked date stands in."""
-    rows = found.filter("field IN ('invoice_date', 'due_date')")
-    order = Window.partitionBy("doc_id").orderBy(_rank())
-    second = rows.withColumn("n", F.row_number().over(order)).filter("n <= 2").groupBy("doc_id").agg(
-        F.max(F.when(F.col("n") == 2, F.col("value"))).alias("second"))
-    named = rows.groupBy("doc_id").agg(*[
-        F.min_by("value", F.when(F.col("field") == f, _rank())).alias(f) for f in ("invoice_date", "due_date")])
-    return named.join(second, "doc_id").select("doc_id", "invoice_date", F.coalesce("due_date", "second").alias("due_date"))
+    rows = found.filter("field IN ('invoice_date', 'due_date')").select("doc_id", "field", "value", _rank().alias("rank"))
+    numbered = rows.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("rank")))
+    named = numbered.groupBy("doc_id").agg(
+        F.max(F.when(F.col("n") == 2, F.col("value"))).alias("second"),
+        *[F.min_by("value", F.when(F.col("field") == f, F.col("n"))).alias(f) for f in ("invoice_date", "due_date")])
+    return named.select("doc_id", "invoice_date", F.coalesce("due_date", "second").alias("due_date"))
 
 
 # Evidence weights, and the scores that have no measurement behind them.
@@ -218,21 +232,21 @@ PAYMENT_WORDS = ("bank name", "account no", "a/c", "ifsc", "rtgs", "neft")
 def line_regions(documents: DataFrame) -> DataFrame:
     """Each line with its region: metadata, items_table, totals or payment.
 
-    The two turning points of a document are found inside its own row: the first table header, and
-    the first totals line after an item line has been seen.
+    The turning points of a document are found inside its own row, going over its lines once: the first table header,
+    and the first totals line after an item line has been seen.
     """
-    def first(cond) -> Column:
-        return F.array_min(F.transform("low", lambda x, i: F.when(cond(x, i), i)))
-
-    never = F.lit(2**31 - 1)
-    docs = documents.select("doc_id", F.split("text", "\n").alias("lines")).withColumn(
-        "low", F.transform("lines", F.lower))
-    docs = docs.withColumn("table_at", F.coalesce(first(lambda x, i: any_contains(x, TABLE_WORDS)), never))
-    docs = docs.withColumn("item_at", F.coalesce(
-        first(lambda x, i: (i >= F.col("table_at")) & ~any_contains(x, PAYMENT_WORDS)), never))
-    docs = docs.withColumn("totals_at", F.coalesce(
-        first(lambda x, i: (i > F.col("item_at")) & any_contains(x, TOTALS_WORDS)), never))
-    rows = docs.select("doc_id", "table_at", "totals_at", F.posexplode("lines").alias("line_no", "line"))
+    def step(at: Column, x: Column) -> Column:
+        i = at["i"]
+        table = F.coalesce(at["table_at"], F.when(any_contains(x, TABLE_WORDS), i))
+        item = F.coalesce(at["item_at"], F.when(table.isNotNull() & ~any_contains(x, PAYMENT_WORDS), i))
+        totals = F.coalesce(at["totals_at"], F.when(at["item_at"].isNotNull() & any_contains(x, TOTALS_WORDS), i))
+        return F.struct((i + 1).alias("i"), table.alias("table_at"), item.alias("item_at"), totals.alias("totals_at"))
+
+    unset = F.lit(None).cast("int")
+    start = F.struct(F.lit(0).alias("i"), *[unset.alias(n) for n in ("table_at", "item_at", "totals_at")])
+    docs = documents.select("doc_id", F.split("text", "\n").alias("lines"))
+    at = F.aggregate(F.transform("lines", F.lower), start, step)
+    rows = _once(docs, at=at).select("doc_id", "at.table_at", "at.totals_at", F.posexplode("lines").alias("line_no", "line"))
     n = F.col("line_no")
     region = (
         F.when(any_contains(F.lower("line"), PAYMENT_WORDS), "payment").when(n >= F.col("totals_at"), "totals")

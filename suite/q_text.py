@@ -173,12 +173,12 @@ def candidate_counts(spark, sf):
 
 @query(f"""WITH {_TX} SELECT okey AS doc_id, '07AABCF0001A1Z5' AS supplier_gstin, nullif(gst,'NA') AS buyer_gstin FROM oy""", "sales")
 def gstin_resolution(spark, sf):
-    return tx.resolve_gstins(tx.candidates(invoice_texts(spark, sf)))
+    return tx.resolve_gstins(tx.candidates(invoice_texts(spark, sf), ("gstin",)))
 
 
 @query(f"""WITH {_TX} SELECT okey AS doc_id, strftime(od,'%d-%m-%Y') AS invoice_date, '31-12-2002' AS due_date FROM oy""", "sales")
 def date_resolution(spark, sf):
-    return tx.resolve_dates(tx.candidates(invoice_texts(spark, sf)))
+    return tx.resolve_dates(tx.candidates(invoice_texts(spark, sf), ("invoice_date", "due_date")))
 
 
 @query(f"""{_FOUND} SELECT doc_id, field, value, keyword, confidence FROM found
@@ -198,8 +198,7 @@ def candidates_top3(spark, sf):
 @query(f"""WITH {_TX} SELECT okey AS doc_id, net::DOUBLE AS value, round(0.4*CASE WHEN true THEN 1.0 END+0.2*0.8+0.15*0.8+0.15*0.95+0.1*0.5,6) AS score
  FROM oy""", "sales")
 def amount_choice(spark, sf):
-    texts = invoice_texts(spark, sf)
-    found = tx.candidates(texts)
+    found = tx.candidates(invoice_texts(spark, sf), ("grand_total",))
     expected = _orders(spark, sf).select(F.col("okey").alias("doc_id"), F.lit("grand_total").alias("field"),
                                          _net().cast("double").alias("math_value"))
     out = tx.choose_amounts(found.filter("field = 'grand_total'"), expected)
@@ -211,7 +210,7 @@ def amount_choice(spark, sf):
  QUALIFY row_number() OVER (PARTITION BY doc_id, field ORDER BY round(score, 10) DESC, detector, i, word_no, n)=1""", "sales")
 def amounts_by_evidence(spark, sf):
     """The chosen amount of every tax and total field, without calculated values to compare with."""
-    found = tx.candidates(invoice_texts(spark, sf)).filter(F.col("seq.detector").isin(2, 3))
+    found = tx.candidates(invoice_texts(spark, sf), (*tx.TAX_FIELDS.values(), *tx.TOTAL_FIELDS.values()))
     return tx.choose_amounts(found).select("doc_id", "field", "value", F.round("score", 6).alias("score"))
 
 

@@ -190,6 +190,19 @@ def test_bank_line_with_a_marked_amount_has_an_amount(spark):
     assert rows(tx.bank_transactions(d, "SURE"), "narration") == [("a",), ("d",)]
 
 
+def test_candidates_of_some_fields_and_one_reading(spark):
+    text = "Supplier 27AABCM0001A1Z5 PAN AABCM0001A\nInvoice No: A-12 date 01-02-2024 due 03-04-2024\nDue 05-06-2024\nto 07AABCF0001A1Z5\nTotal 1,180.00 CGST 90.00"
+    d = spark.createDataFrame([(1, text), (2, "from nobody"), (3, "x 29AABCM0001A1Z5\ndate 09-02-2024")], "doc_id int, text string")
+    found = tx.candidates(d)
+    columns = ("doc_id", "line_no", "field", "value", "keyword", "confidence", "context")
+    for fields in (("gstin",), ("pan",), ("invoice_date", "due_date"), ("grand_total", "cgst"), ("invoice_number",)):
+        assert rows(tx.candidates(d, fields).filter(F.col("field").isin(*fields)), *columns) == rows(found.filter(F.col("field").isin(*fields)), *columns)
+    assert rows(tx.resolve_gstins(found)) == [(1, "27AABCM0001A1Z5", "07AABCF0001A1Z5"), (3, "29AABCM0001A1Z5", None)]
+    for out in (tx.resolve_gstins(found), tx.resolve_dates(found)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and plan.count("Scan ExistingRDD") == 1, plan
+
+
 def test_golden_cases_from_files(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"case_id":"p1","document_type":"purchase_invoice","source":"synthetic","fields":{"taxable_value":{"extracted":1000.0,"expected":1000.005,"confidence":0.9},"hsn":{"extracted":"8471","expected":"8517"},"note":{"extracted":null,"expected":null}}}')
     (tmp_path / "b.json").write_text('{"case_id":"p2","fields":{}}')
