@@ -160,3 +160,27 @@ def test_gaps_are_found_however_many_a_gstin_has(spark, few):
     got = state.verify_gaps(gaps, docs.withColumn("month", F.col("month").cast("date")), few=few)
     assert got.count() == 43
     assert rows(got.where("in_drive = 'Yes'"), "supplier_inv") == [("INV/00003",), ("INV/00007",), ("INV/00011",), ("Q-1",), ("Q-2",)]
+
+
+def test_triggers_take_rows_not_frames(spark, tmp_path):
+    from pyspark.sql import Row
+
+    class Kept:
+        value = None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    class Handle:
+        registerTimer = deleteTimer = staticmethod(lambda at_ms: None)
+
+    follow = triggers.FollowUp(timedelta(days=30), processing=False)
+    follow.handle, follow.state = Handle(), Kept()
+    given = [Row(event=e, at_us=at, seq=i, require_review=True, auto_followup=True) for i, (e, at) in enumerate([("gone", 9_000), ("open", 2_000)])]
+    key = ("T", "R", "G", "1", "missing_in_2b")
+    got = [(r.at_ms, r.action, r.status, r.trigger_count) for r in follow.handleInputRows(key, iter(given), None)]
+    assert got == [(2, "created", "queued", 0), (2, "sent", "sent", 1), (9, "resolved", "resolved", 1)]
+    assert follow.state.get()[0] == "resolved"
