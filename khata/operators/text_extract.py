@@ -274,18 +274,15 @@ def gst_summary(documents: DataFrame) -> DataFrame:
 
 
 def _behind(c: Column, *labels: str) -> Column:
-    """What follows the labels, each looked for behind the one before; '' where one is missing. Reads the text once."""
+    """What follows the labels, each looked for behind the one before; '' where one is missing. The text stands in it once."""
     for label in labels:
-        at = F.instr(c, label)
-        c = F.when(at > 0, F.substr(c, at + len(label))).otherwise("")
-    return c
+        c = F.get(F.split(c, rf"\Q{label}\E", 2), F.lit(1))
+    return F.coalesce(c, F.lit(""))
 
 
 def _summarised(documents: DataFrame) -> DataFrame:
-    t = F.regexp_replace("text", r"[ \t]+", " ")
-    after = _behind(t, "Taxable Value", "Central Tax")
-    rows = documents.select("*", t.alias("t"), after.alias("after"))
-    hits = F.regexp_extract_all("after", F.lit(SUMMARY_ROW), F.lit(0))
+    rows = documents.withColumn("t", F.regexp_replace("text", r"[ \t]+", " "))
+    hits = F.regexp_extract_all(_behind(F.col("t"), "Taxable Value", "Central Tax"), F.lit(SUMMARY_ROW), F.lit(0))
     start = F.lit(0).cast("decimal(18,2)")
 
     def total(group: int) -> Column:
@@ -355,10 +352,20 @@ SINGLE_LINE_ITEM = r"(?s)^(.+?)\n?(\d{4,8})\b"
 DEFAULT_SECTION = ("SaaS/UPI Platform Charges", "9971")
 
 
+# Words that every match of a section's pattern holds, in the order of the sections.
+SECTION_WORDS = (
+    "Mobile Application", "Soundbox Charges", "(Core Banking Solution)", "Transactional Messages", "Promotional Messages", "KYC Charges",
+    "Late Fees Charges", "Ad Hoc Charges", "Transactional Charges", "UPI 2.0 Transactional Messages",
+)
+
+
 def _section_amounts(body: Column) -> list[Column]:
-    """Amounts of the template's sections; a pattern is tried only where the word that ends it is in the text."""
-    return [zero_if_null(_amount(F.when(body.contains(end), F.regexp_extract(body, "(?s)" + p, 1)).otherwise("")))
-            for p, _, _ in SECTIONS for end in ["Sub Total" if "Sub Total" in p else "Total" if r"\bTotal" in p or "?Total" in p else ""]]
+    """Amounts of the template's sections; a pattern is tried only where the words it begins with and the one that ends it are in the text."""
+    out = []
+    for (p, _, _), words in zip(SECTIONS, SECTION_WORDS, strict=True):
+        end = "Sub Total" if "Sub Total" in p else "Total" if "?Total" in p else ""
+        out.append(zero_if_null(_amount(F.when(body.contains(words) & body.contains(end), F.regexp_extract(body, "(?s)" + p, 1)))))
+    return out
 
 
 def sections_of(documents: DataFrame) -> DataFrame:
@@ -368,12 +375,14 @@ def sections_of(documents: DataFrame) -> DataFrame:
     """
     body = F.col("text")
     carried = [c for c in documents.columns if c != "text"]
-    rows = documents.withColumn("amounts", F.array(*_section_amounts(body)))
-    # the one line runs from the first A to the amount before "B Final Total"; each step reads the text once
-    parts = F.split(body, SINGLE_LINE_END, 2)
-    head = F.when(body.contains("Final Total") & (F.size(parts) > 1), parts[0])
-    amount = F.regexp_extract(head, SINGLE_LINE_AMOUNT, 1)
-    item = F.get(F.split(F.substr(head, F.lit(1), F.length(head) - F.length(amount)), r"\bA\b\s*", 2), F.lit(1))
+    rows = _once(documents, amounts=F.array(*_section_amounts(body)))
+    # the one line runs from the first A to the amount before "B Final Total"; it is looked for only where no section has an amount
+    rows = _once(rows, parts=F.when((F.array_max("amounts") <= 0) & body.contains("Final Total"), F.split(body, SINGLE_LINE_END, 2)))
+    rows = _once(rows, head=F.when(F.size("parts") > 1, F.get("parts", F.lit(0))))
+    rows = _once(rows, amount=F.regexp_extract("head", SINGLE_LINE_AMOUNT, 1))
+    before = F.substr("head", F.lit(1), F.length("head") - F.length("amount"))
+    rows = _once(rows, item=F.get(F.split(before, r"\bA\b\s*", 2), F.lit(1)))
+    amount, item = F.col("amount"), F.col("item")
     hsn = F.regexp_extract(item, SINGLE_LINE_ITEM, 2)
     whole = (amount != "") & (hsn != "")
     rows = rows.withColumn("line", F.struct(
@@ -385,7 +394,7 @@ def sections_of(documents: DataFrame) -> DataFrame:
 
     named = [section(i, F.lit(label), F.lit(hsn or NOT_SPECIFIED_HSN), F.col("amounts")[i])
              for i, (_, label, hsn) in enumerate(SECTIONS)]
-    words = blank_to_null(F.trim(F.regexp_replace("line.words", r"\s+", " ")))
+    words = blank_to_null(F.trim(F.regexp_replace(F.col("line.words"), r"\s+", " ")))
     only = section(len(SECTIONS), F.coalesce(words, F.lit("Ad Hoc Charges")), F.col("line.hsn"), zero_if_null(_amount(F.col("line.amount"))))
     bare = F.when(F.array_max("amounts") <= 0, only)
     return rows.select(*carried, F.inline(F.array(*named, bare))).filter(F.col("taxable") > 0)
