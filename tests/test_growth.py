@@ -17,3 +17,8 @@ def test_template_lines_read_a_text_once_for_each_step(spark):
     plan = optimized(tx.template_lines(texts(spark)))
     assert plan.count("regexp_replace(text") == 1
     assert plan.count("split(text") == 1
+
+
+def test_audit_fields_blank_out_a_text_once(spark):
+    plan = optimized(tx.audit_fields(texts(spark)).select("doc_id", "narration"))
+    assert plan.count("regexp_replace(text") == 1
