@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.common import any_contains, blank_to_null, first_filled, money, text, zero_if_null
 from ..functions.ids import is_note, state_of_gstin
 from ..functions.tax import SLAB_RATES, dec, rate_of
-from .joins import join_null_safe
 from .running import chunk_of, running_before
 
 # Words that mark a subtotal row, and HSN codes by description in search order.
@@ -48,21 +47,20 @@ def mark_subtotals(lines: DataFrame, doc: Sequence[str], position: str, tie: Seq
                    chunk_rows: int | None = None) -> DataFrame:
     """Add ``grp`` (open groups closed by subtotal rows) and ``drop_row``.
 
-    A subtotal row is dropped when the rows since the previous one add up to it.
+    A subtotal row is dropped when the rows since the previous one add up to it. A document's lines are shuffled once and sorted in
+    one task, which spills; with ``chunk_rows`` its groups are counted in chunks of so many positions, each in a task of its own.
     """
-    chunk = chunk_of(F.col(position), chunk_rows) if chunk_rows else chunk_of(F.col(position))
     flagged = lines.withColumn("is_sub", is_subtotal(F.col("particulars")))
-    grouped = running_before(
-        flagged, doc, [F.col(position), *map(F.col, tie)], chunk,
-        {"grp": F.col("is_sub").cast("long")},
-    )
-    sums = grouped.filter(~F.col("is_sub")).groupBy(*doc, "grp").agg(
-        F.sum(zero_if_null(F.col("taxable_value"))).alias("grp_sum"))
-    closed = join_null_safe(grouped.filter("is_sub"), sums, [*doc, "grp"], "left")
+    order, opened = [F.col(position), *map(F.col, tie)], F.col("is_sub").cast("long")
+    if chunk_rows:
+        grouped = running_before(flagged, doc, order, chunk_of(F.col(position), chunk_rows), {"grp": opened})
+    else:
+        earlier = Window.partitionBy(*doc).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        grouped = flagged.withColumn("grp", zero_if_null(F.sum(opened).over(earlier)))
+    grp_sum = F.sum(F.when(~F.col("is_sub"), zero_if_null(F.col("taxable_value")))).over(Window.partitionBy(*doc, "grp"))
     gap = F.abs(F.col("grp_sum") - zero_if_null(F.col("taxable_value")))
-    subs = closed.withColumn("drop_row", F.coalesce(gap <= SUBTOTAL_TOLERANCE, F.lit(False)))
-    rest = grouped.filter(~F.col("is_sub")).withColumn("drop_row", F.lit(False))
-    return rest.unionByName(subs.drop("grp_sum"))
+    return grouped.withColumn("grp_sum", grp_sum).withColumn(
+        "drop_row", F.col("is_sub") & F.coalesce(gap <= SUBTOTAL_TOLERANCE, F.lit(False))).drop("grp_sum")
 
 
 def remove_subtotals(lines: DataFrame, doc: Sequence[str], position: str, tie: Sequence[str] = ()) -> DataFrame:
@@ -155,15 +153,12 @@ def cascade_advance(sections: DataFrame, doc: Sequence[str], position: str) -> D
     Needs ``taxable`` per section and ``net_taxable`` per document. Emptied sections go; a document
     emptied altogether keeps one nil line.
     """
-    size = sections.groupBy(*doc).agg(
-        F.sum("taxable").alias("_sum"), F.min("net_taxable").alias("_net"),
-        F.min(position).alias("_first"), F.max("taxable").alias("_largest"))
-    with_gap = join_null_safe(sections, size, doc).withColumn(
-        "_gap", F.round(F.col("_sum") - F.col("_net"), 2))
-    ranked = running_before(
-        with_gap, doc, [F.col("taxable").desc(), F.col(position)],
-        -F.floor(F.col("taxable") / 100), {"_before": F.col("taxable")},
-    )
+    whole = Window.partitionBy(*doc)
+    earlier = whole.orderBy(F.col("taxable").desc(), F.col(position)).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = sections.select(
+        "*", F.sum("taxable").over(whole).alias("_sum"), F.min("net_taxable").over(whole).alias("_net"),
+        F.min(position).over(whole).alias("_first"), zero_if_null(F.sum("taxable").over(earlier)).alias("_before"),
+    ).withColumn("_gap", F.round(F.col("_sum") - F.col("_net"), 2))
     open_gap = F.greatest(F.lit(0), F.col("_gap") - F.col("_before"))
     take = F.when(
         (F.abs("_gap") > dec("0.01")) & (open_gap > dec("0.005")), F.least(F.col("taxable"), open_gap)
@@ -188,10 +183,9 @@ def apportion_taxes(sections: DataFrame, doc: Sequence[str], position: str) -> D
         return F.round(F.col(base) * F.col(f"{side}_rate").cast("decimal(6,2)") * dec("0.01"), 2)
 
     rounded = sections.select("*", *[money(tax("taxable", s)).alias(f"_{s}") for s in sides])
-    whole = rounded.groupBy(*doc).agg(
-        F.max(position).alias("_last"),
-        *[F.sum(f"_{s}").alias(f"_sum_{s}") for s in sides])
-    joined = join_null_safe(rounded, whole, doc)
+    whole = Window.partitionBy(*doc)
+    joined = rounded.select(
+        "*", F.max(position).over(whole).alias("_last"), *[F.sum(f"_{s}").over(whole).alias(f"_sum_{s}") for s in sides])
     last = F.col(position) == F.col("_last")
     out = joined.select(*sections.columns, *[
         money(F.when(last, tax("net_taxable", s) - (F.col(f"_sum_{s}") - F.col(f"_{s}")))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from khata.operators import text_extract as tx
+from pyspark.sql import functions as F
+
+from khata.operators import cleaning, text_extract as tx
+from khata.plans import invoice_audit
 
 
 def optimized(df) -> str:
@@ -22,3 +25,16 @@ def test_template_lines_read_a_text_once_for_each_step(spark):
 def test_audit_fields_blank_out_a_text_once(spark):
     plan = optimized(tx.audit_fields(texts(spark)).select("doc_id", "narration"))
     assert plan.count("regexp_replace(text") == 1
+
+
+def test_cleaning_shuffles_a_documents_lines_once(spark):
+    lines = spark.createDataFrame(
+        [("d", 1, "item", 10.0, "27AABCF0001A1Z5"), ("d", 2, "sub total", 10.0, None), ("e", 1, "grand total", 5.0, None)],
+        "doc string, pos long, particulars string, taxable double, party_gstin string").repartition(1)
+    zero, none = F.lit(0).cast("decimal(18,2)"), F.lit(None).cast("string")
+    lines = lines.select("*", F.col("taxable").cast("decimal(18,2)").alias("taxable_value"), zero.alias("discount"), zero.alias("total_invoice_value"),
+                         *[zero.alias(f"{s}_amount") for s in ("cgst", "sgst", "igst")], F.lit(1.0).alias("qty"), F.lit(0.0).alias("rate"),
+                         none.alias("hsn"), none.alias("narration"), none.alias("gstr1_category"))
+    out = invoice_audit.clean_lines(lines, "doc", "pos")
+    assert sorted((r.doc, r.particulars) for r in out.collect()) == [("d", "item"), ("e", "grand total")]
+    assert optimized(out).count("Join") == 0
