@@ -38,3 +38,12 @@ def test_cleaning_shuffles_a_documents_lines_once(spark):
     out = invoice_audit.clean_lines(lines, "doc", "pos")
     assert sorted((r.doc, r.particulars) for r in out.collect()) == [("d", "item"), ("e", "grand total")]
     assert optimized(out).count("Join") == 0
+
+
+def test_apportioning_shuffles_a_documents_sections_once(spark):
+    rows = spark.createDataFrame([("d", 1, 10, 15), ("d", 2, 20, 15)], "doc string, pos int, taxable int, net_taxable int").repartition(1)
+    sections = rows.select("doc", "pos", *[F.col(c).cast("decimal(18,2)").alias(c) for c in ("taxable", "net_taxable")],
+                           *[F.lit(r).alias(f"{s}_rate") for s, r in (("cgst", 9.0), ("sgst", 9.0), ("igst", 0.0))])
+    out = cleaning.apportion_taxes(cleaning.cascade_advance(sections, ["doc"], "pos"), ["doc"], "pos")
+    assert sorted((r.pos, float(r.taxable), float(r.cgst)) for r in out.collect()) == [(1, 10.0, 0.9), (2, 5.0, 0.45)]
+    assert optimized(out).count("Join") == 0
