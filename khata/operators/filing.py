@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.common import money, text, zero_if_null
 from ..functions.dates import in_period
-from ..functions.ids import routing_prefix
-from ..session import cut_lineage
+from ..functions.ids import document_sign, routing_prefix
+from ..functions.tax import filing_category
 from . import gstr1
 
 EXCLUDED = ("MISSING_SOURCE_PDF", "UNVERIFIABLE_NO_GSTIN")
@@ -66,24 +66,30 @@ def with_registration(lines: DataFrame, registrations: dict[str, str]) -> DataFr
 def filings_summary(lines: DataFrame, entries: DataFrame, registrations: dict[str, str]) -> DataFrame:
     """One row per registration: totals, invoices, sections and flagged documents.
 
-    The joined lines feed several aggregations, so they are written once.
+    Lines are added up to invoices, in one shuffle, before these meet their documents' outcomes; nothing is written in between.
     """
-    marked = with_registration(with_recon_status(lines, entries), registrations)
-    filed = cut_lineage(marked.filter("filing_outcome <> 'skipped'"))
-    firm_state = F.substring("registration", 1, 2)
-    known = filed.filter(F.col("registration") != UNKNOWN_REGISTRATION)
-    groups = gstr1.invoice_groups(known, firm_state, ["registration"])
-    envelope = gstr1.return_envelope(known, groups)
-    documents = filed.groupBy("registration").agg(
-        F.countDistinct(F.when(F.col("filing_outcome") == "flagged", text(F.col("invoice_no"))))
-        .alias("flagged_documents"),
-        F.count(F.lit(1)).alias("n_lines"),
-    )
-    return documents.join(envelope, "registration", "left").select(
-        "registration", F.col("gt").isNotNull().alias("has_data"), "n_lines",
-        money(zero_if_null(F.col("total_taxable"))).alias("total_taxable"),
-        money(zero_if_null(F.col("total_tax"))).alias("total_tax"),
-        zero_if_null(F.col("total_invoices")).alias("total_invoices"),
-        F.coalesce("sections_with_data", F.array().cast("array<string>")).alias("sections_with_data"),
-        "flagged_documents",
-    )
+    sign = document_sign(F.col("voucher_type"))
+    amounts = {n: sign * zero_if_null(F.col(c)) for c, n in (
+        ("taxable_value", "taxable"), ("igst_amount", "igst"), ("cgst_amount", "cgst"), ("sgst_amount", "sgst"))}
+    category = filing_category(F.col("voucher_type"), F.col("party_gstin"), F.col("gstr1_category"))
+    invoices = with_registration(lines, registrations).select(
+        "registration", text(F.col("invoice_no")).alias("invoice_no"), text(F.col("party_gstin")).alias("party_gstin"),
+        category.alias("category"), *[v.alias(n) for n, v in amounts.items()],
+    ).groupBy("registration", "invoice_no", "party_gstin", "category").agg(
+        F.count(F.lit(1)).alias("n_lines"), *[F.sum(n).alias(n) for n in amounts])
+    filed = with_recon_status(invoices, entries).filter("filing_outcome <> 'skipped'")
+    known = F.col("registration") != UNKNOWN_REGISTRATION
+    sums = filed.groupBy("registration").agg(
+        F.sum("n_lines").alias("n_lines"), F.count(F.lit(1)).alias("invoices"), *[money(F.sum(n)).alias(n) for n in amounts],
+        *[F.count(F.when(F.col("category") == s, 1)).alias(f"n_{s}") for s in gstr1.SECTIONS],
+        F.countDistinct(F.when(F.col("filing_outcome") == "flagged", F.col("invoice_no"))).alias("flagged_documents"))
+
+    def of_known(value: Column) -> Column:
+        return F.when(known, value).otherwise(F.lit(0))
+
+    listed = F.array_compact(F.array(*[F.when(F.col(f"n_{s}") > 0, F.lit(s.lower())) for s in gstr1.SECTIONS]))
+    return sums.select(
+        "registration", known.alias("has_data"), "n_lines", money(of_known(F.col("taxable"))).alias("total_taxable"),
+        money(of_known(F.col("igst") + F.col("cgst") + F.col("sgst"))).alias("total_tax"),
+        of_known(F.col("invoices")).alias("total_invoices"),
+        F.when(known, listed).otherwise(F.array().cast("array<string>")).alias("sections_with_data"), "flagged_documents")

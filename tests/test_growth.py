@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from khata.operators import cleaning, text_extract as tx
-from khata.plans import invoice_audit
+from khata.operators import canonical, cleaning, filing, text_extract as tx
+from khata.plans import invoice_audit, period_close
+from suite import tables
 
 
 def optimized(df) -> str:
@@ -47,3 +48,11 @@ def test_apportioning_shuffles_a_documents_sections_once(spark):
     out = cleaning.apportion_taxes(cleaning.cascade_advance(sections, ["doc"], "pos"), ["doc"], "pos")
     assert sorted((r.pos, float(r.taxable), float(r.cgst)) for r in out.collect()) == [(1, 10.0, 0.9), (2, 5.0, 0.45)]
     assert optimized(out).count("Join") == 0
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_closing_a_period_writes_nothing_by_itself(spark):
+    out = period_close.close_period(tables.sales_lines(spark, SMALL), tables.client_rows(tables.sales_documents(spark, SMALL)), tables.REGISTRATIONS)
+    assert "LogicalRDD" not in optimized(out["filings"])
