@@ -56,3 +56,10 @@ SMALL = "/root/testdata/sf0.001"
 def test_closing_a_period_writes_nothing_by_itself(spark):
     out = period_close.close_period(tables.sales_lines(spark, SMALL), tables.client_rows(tables.sales_documents(spark, SMALL)), tables.REGISTRATIONS)
     assert "LogicalRDD" not in optimized(out["filings"])
+
+
+def test_filings_shuffle_only_the_columns_they_sum(spark):
+    lines = tables.sales_lines(spark, SMALL)
+    entries = lines.select(F.col("invoice_no").alias("doc_no"), F.lit("PASS").alias("status")).distinct()
+    plan = optimized(filing.filings_summary(lines, entries, tables.REGISTRATIONS))
+    assert "LogicalRDD" not in plan and "party_ledger_name" not in plan
