@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.common import money, zero_if_null
-from .joins import join_null_safe
 
 PART_LINES = 1000
 """Lines that one nested row holds about; longer documents have several rows, each with the whole head and totals."""
@@ -44,19 +43,22 @@ def to_canonical(lines: DataFrame, kind: str, key: Sequence[str] = ("task_id",),
 
     category = CLASS_OF[kind]
     head = F.struct(*HEAD, F.col(category).alias("category"))
-    heads = lines.groupBy(*key).agg(
+    # the key as a struct is never null itself: its parts meet where they are null too, and what is joined by it stays dealt by it
+    whole_key = F.struct(*key).alias("_key")
+    heads = lines.groupBy(whole_key).agg(
         F.min_by(head, "seq").alias("head"), F.count(F.lit(1)).alias("n_lines"),
         *[money(F.sum(zero_if_null(F.col(c)))).alias(f"sum_{n}") for n, c in TOTALS.items()])
     heads = heads.withColumn("n_parts", F.ceil(F.col("n_lines") / part_lines).cast("int"))
-    item = F.struct(
-        "seq", sourced(F.col("particulars")).alias("description"), sourced(F.col("hsn")).alias("hsn_sac"),
-        *[sourced(column(c)).alias(n) for n, c in AMOUNTS.items()])
-    keyed = lines.select(*key, F.xxhash64("seq").alias("_h"), item.alias("item"))
-    dealt = join_null_safe(keyed, heads, list(key)).withColumn("part", F.pmod("_h", "n_parts").cast("int"))
+    raw = {"description": F.col("particulars"), "hsn_sac": F.col("hsn"), **{n: column(c) for n, c in AMOUNTS.items()}}
+    keyed = lines.select(whole_key, F.xxhash64("seq").alias("_h"), F.struct("seq", *[v.alias(n) for n, v in raw.items()]).alias("item"))
+    dealt = keyed.join(heads, "_key").withColumn("part", F.pmod("_h", "n_parts").cast("int"))
     # one head and one set of sums for all rows of a document, so taking any of them is enough
-    nested = dealt.groupBy(*key, "part").agg(
+    grouped = dealt.groupBy("_key", "part").agg(
         F.first("n_parts").alias("n_parts"), F.first("head").alias("head"), *[F.first(f"sum_{n}").alias(f"sum_{n}") for n in TOTALS],
-        F.array_sort(F.collect_list("item")).alias("line_items"))
+        F.array_sort(F.collect_list("item")).alias("items"))
+    # where values come from is said last, so that it isn't shuffled with every line
+    items = F.transform("items", lambda x: F.struct(x["seq"].alias("seq"), *[sourced(x[n]).alias(n) for n in raw]))
+    nested = grouped.select("_key.*", "part", "n_parts", "head", *[f"sum_{n}" for n in TOTALS], items.alias("line_items"))
     name, gstin = F.col("head.party_ledger_name"), F.col("head.party_gstin")
     nobody, own = F.lit(None).cast("string"), F.lit(OWN_NAME)
     sold = kind == SALES

@@ -63,3 +63,8 @@ def test_filings_shuffle_only_the_columns_they_sum(spark):
     entries = lines.select(F.col("invoice_no").alias("doc_no"), F.lit("PASS").alias("status")).distinct()
     plan = optimized(filing.filings_summary(lines, entries, tables.REGISTRATIONS))
     assert "LogicalRDD" not in plan and "party_ledger_name" not in plan
+
+
+def test_canonical_lines_are_shuffled_without_their_confidence(spark):
+    plan = optimized(canonical.to_canonical(tables.sales_lines(spark, SMALL), canonical.SALES, ("task_id", "invoice_no")))
+    assert "SQL Load" not in plan[plan.index("Aggregate"):] and "<=>" not in plan
