@@ -31,11 +31,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, mixed, partitions_of, powers, row_key, signed, written
+from .common import BYTE_VALUE, bytes_of, discard, mixed, partitions_of, powers, row_key, signed, written
 from .sightings import SLOT_SCHEMA, filter_bits, matching, slot_batches, suspect, twice_filter
 
 QUEUE_ROWS = 1 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
+TASK_SHARDS = 16
 ROW = "_row"
 
 
@@ -89,7 +90,7 @@ class SuffixQueue:
         self.size, self.file = 0, None
 
     def push(self, symbol: int, suffixes: np.ndarray, common: np.ndarray) -> None:
-        self.held[symbol].append((suffixes.astype(np.int64), common.astype(np.int16)))
+        self.held[symbol].append((suffixes, common))
         self.arrived[symbol] += len(suffixes)
         self.size += len(suffixes)
         if self.size > QUEUE_ROWS:
@@ -136,67 +137,90 @@ class Prefixes:
         out, live = np.zeros(len(a), np.int64), np.arange(len(a))
         for _ in range(3):
             apart = self.four[np.minimum(a[live] + out[live], self.size)] ^ self.four[np.minimum(b[live] + out[live], self.size)]
-            run = np.where(apart == 0, 4, 0)
+            run = (apart == 0).astype(np.int8)
             for k in (1, 2, 3):
-                run[(apart != 0) & (apart & np.uint64((1 << (16 * k)) - 1) == 0)] = k
+                run += apart & np.uint64((1 << (16 * k)) - 1) == 0
             out[live] += run
             live = live[run == 4]
         a, b, done = a[live], b[live], out[live]
+        room = self.size - np.maximum(a, b)
+        before_a, before_b, power_a, power_b = self.sums[a], self.sums[b], self.power[a], self.power[b]
         step = 1 << (self.most.bit_length() - 1)
         while step and len(live):
             length = done + step
-            fits = np.maximum(a, b) + length <= self.size
+            fits = length <= room
             x, y = np.where(fits, a + length, a), np.where(fits, b + length, b)
-            same = (self.sums[x] - self.sums[a]) * self.power[b] == (self.sums[y] - self.sums[b]) * self.power[a]
+            same = (self.sums[x] - before_a) * power_b == (self.sums[y] - before_b) * power_a
             done = np.where(fits & same, length, done)
             step >>= 1
         out[live] = done
         return np.minimum(out, self.most)
 
 
-def local_minima_order(text: np.ndarray, small: np.ndarray, stars: np.ndarray, depth: int) -> np.ndarray:
-    """The S* suffixes in order, as far as ``depth`` symbols tell them apart.
+def in_order(*keys: np.ndarray) -> np.ndarray:
+    """The order of rows by these keys, none of them negative; as one number with the row behind it wherever that fits into 63 bits."""
+    n, packed, used = len(keys[0]), np.zeros(len(keys[0]), np.int64), 0
+    row = max(n - 1, 1).bit_length()
+    for key in keys:
+        bits = int(key.max()).bit_length() if n else 0
+        used += bits
+        if used + row > 63:
+            return np.lexsort(keys[::-1])
+        packed = (packed << bits) | key
+    packed = (packed << row) | np.arange(n)
+    packed.sort()
+    return packed & ((1 << row) - 1)
+
+
+def local_minima_order(text: np.ndarray, small: np.ndarray, stars: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The S* suffixes in order, as far as ``depth`` symbols tell them apart, and which of them share these with the one before.
 
     Names of the substrings between them are their ranks, found a few symbols at a time; ranks of ever longer runs of
     names follow by doubling."""
     n = len(stars)
-    ends = np.append(stars[1:], len(text) - 1)
-    length = ends - stars + 1
-    coded = (text.astype(np.uint64) + np.uint64(1)) * np.uint64(2) + small.astype(np.uint64)
-    coded = np.concatenate([coded, np.zeros(8, np.uint64)])
-    rank, offset, live = np.zeros(n, np.int64), 0, np.arange(n)
-    while len(live):
-        key = np.zeros(len(live), np.uint64)
-        for k in range(5):
-            inside = offset + k < length[live]
-            key = key * np.uint64(1024) + np.where(inside, coded[np.minimum(stars[live] + offset + k, len(coded) - 1)], np.uint64(0))
-        order = np.lexsort((key, rank[live]))
-        r, k = rank[live][order], key[order]
-        fresh = np.append(True, (r[1:] != r[:-1]) | (k[1:] != k[:-1]))
-        group_start = np.maximum.accumulate(np.where(np.append(True, r[1:] != r[:-1]), np.arange(len(r)), 0))
-        name_start = np.maximum.accumulate(np.where(fresh, np.arange(len(r)), 0))
-        rank[live[order]] = r + (name_start - group_start)
-        _, inverse, counts = np.unique(rank[live], return_inverse=True, return_counts=True)
-        offset += 5
-        live = live[(counts[inverse] > 1) & (length[live] > offset)]
-    reach = 1
-    while reach < depth:
-        _, inverse, counts = np.unique(rank, return_inverse=True, return_counts=True)
+    length = np.append(stars[1:], len(text) - 1) - stars + 1
+    coded = (text.astype(np.int64) << 1) + small
+    dense = np.cumsum(np.bincount(coded) > 0)
+    bits, coded = int(dense[-1]).bit_length(), np.append(dense[coded], np.zeros(8, np.int64))
+    rank, offset, tied = np.zeros(n, np.int64), 0, np.arange(n)
+
+    def refine(key: np.ndarray) -> np.ndarray:
+        """Rank the tied by ``key`` within their ranks; marks of those that are still tied."""
+        own = rank[tied]
+        order = in_order(own, key)
+        r, k = own[order], key[order]
+        first = np.append(True, r[1:] != r[:-1])
+        fresh = np.append(True, k[1:] != k[:-1]) | first
+        place = np.arange(len(r))
+        starts = np.flatnonzero(fresh)
+        sizes = np.diff(np.append(starts, len(r)))
+        group_start = np.maximum.accumulate(np.where(first, place, 0))
+        rank[tied[order]] = r + (np.repeat(starts, sizes) - group_start)
+        left = np.zeros(len(r), bool)
+        left[order] = np.repeat(sizes > 1, sizes)
+        return left
+
+    while len(tied):
+        key = np.zeros(len(tied), np.int64)
+        for k in range(4):
+            inside = offset + k < length[tied]
+            key = (key << bits) | np.where(inside, coded[np.minimum(stars[tied] + offset + k, len(coded) - 1)], 0)
+        left = refine(key)
+        offset += 4
+        tied = tied[left & (length[tied] > offset)]
+    counts = np.bincount(rank, minlength=n)
+    tied, reach = np.flatnonzero(counts[rank] > 1), 1
+    while reach < depth and len(tied):
         # what the names so far reach far enough for needs no order
-        near = np.where(np.arange(n) + reach < n, stars[np.minimum(np.arange(n) + reach, n - 1)] - stars < depth, True)
-        tied = np.flatnonzero((counts[inverse] > 1) & near)
+        after = np.minimum(tied + reach, n - 1)
+        tied = tied[(tied + reach >= n) | (stars[after] - stars[tied] < depth)]
         if not len(tied):
             break
-        behind = np.where(tied + reach < n, rank[np.minimum(tied + reach, n - 1)], -1)
-        order = np.lexsort((behind, rank[tied]))
-        r, b = rank[tied][order], behind[order]
-        first = np.append(True, r[1:] != r[:-1])
-        group_start = np.maximum.accumulate(np.where(first, np.arange(len(r)), 0))
-        name_start = np.maximum.accumulate(np.where(first | np.append(True, b[1:] != b[:-1]), np.arange(len(r)), 0))
-        rank = rank.copy()
-        rank[tied[order]] = r + (name_start - group_start)
+        # all are ranked by what was behind them before any is ranked anew
+        tied = tied[refine(np.where(tied + reach < n, rank[np.minimum(tied + reach, n - 1)] + 1, 0))]
         reach *= 2
-    return stars[np.argsort(rank, kind="stable")]
+    order = in_order(rank)
+    return stars[order], np.append(False, np.diff(rank[order]) == 0)
 
 
 def sorted_suffixes(text: np.ndarray, most: int, symbols: int = 258) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -209,9 +233,12 @@ def sorted_suffixes(text: np.ndarray, most: int, symbols: int = 258) -> Iterator
     following = np.minimum.accumulate(known[::-1])[::-1]
     small = np.append(np.append(step, 1)[following] > 0, True)  # S-type: smaller than the next suffix
     stars = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    order = local_minima_order(text, small, stars, most) if len(stars) else stars
+    order, same = local_minima_order(text, small, stars, most) if len(stars) else (stars, np.zeros(0, bool))
     prefixes = Prefixes(text, most)
-    star_common = np.append(0, prefixes.of(order[:-1], order[1:])) if len(order) else np.zeros(0, np.int64)
+    star_common = np.full(len(order), most, np.int64)
+    apart = np.flatnonzero(~same)
+    star_common[apart[1:]] = prefixes.of(order[apart[1:] - 1], order[apart[1:]])
+    star_common[:1] = 0
     star_symbol = text[order]
     starts, ends = np.searchsorted(star_symbol, np.arange(symbols)), np.searchsorted(star_symbol, np.arange(symbols), "right")
 
@@ -221,20 +248,24 @@ def sorted_suffixes(text: np.ndarray, most: int, symbols: int = 258) -> Iterator
         wanted = np.flatnonzero((before >= 0) & (small[before] == smaller))
         symbol = text[before[wanted]]
         by = np.argsort(symbol, kind="stable")
-        values, firsts = np.unique(symbol[by], return_index=True)
-        untouched = carried.copy()
+        places, symbol = wanted[by], symbol[by]
+        starts = np.flatnonzero(np.append(True, symbol[1:] != symbol[:-1])[:len(symbol)])
+        values, lasts = symbol[starts], places[np.append(starts[1:], len(places))[:len(starts)] - 1]
+        # least common prefix since the same symbol's place before: ranges as every other segment of one reduction
+        ranges = np.empty(2 * len(places), np.int64)
+        ranges[1::2] = places + 1
+        ranges[2::2] = places[:-1] + 1
+        ranges[2 * starts] = 0
+        ended = np.append(common, most)
+        least = np.minimum.reduceat(ended, ranges)[::2].astype(np.int64) if len(places) else np.zeros(0, np.int64)
+        least[starts] = np.minimum(least[starts], carried[values])
+        shared = np.minimum(least + 1, most)
+        shared[starts[queue.arrived[values] == 0]] = 0
         np.minimum(carried, common.min() if len(common) else most, out=carried)
-        for value, places in zip(values.tolist(), np.split(wanted[by], firsts[1:])):
-            cuts = np.append(0, places + 1)
-            least = np.minimum.reduceat(common, cuts[:-1])
-            # reduceat's last segment goes to the end; it has to stop at the last place
-            least[-1] = common[cuts[-2]:cuts[-1]].min()
-            least[0] = min(least[0], untouched[value])
-            shared = np.minimum(least.astype(np.int64) + 1, most)
-            if queue.arrived[value] == 0:
-                shared[0] = 0
-            queue.push(value, before[places], shared)
-            carried[value] = common[cuts[-1]:].min() if cuts[-1] < len(common) else most
+        carried[values] = np.minimum.accumulate(ended[::-1])[::-1][lasts + 1]
+        found, shared = before[places], shared.astype(np.int16)
+        for value, first, end in zip(values.tolist(), starts.tolist(), [*starts[1:].tolist(), len(places)]):
+            queue.push(value, found[first:end], shared[first:end])
 
     def drained(queue: SuffixQueue, carried: np.ndarray, symbol: int, smaller: bool) -> tuple[np.ndarray, np.ndarray]:
         """The bucket's queue, with what its own suffixes add to it."""
@@ -305,28 +336,36 @@ def repeated_starts(segments: list[bytes], owner: np.ndarray, place: np.ndarray,
 BLOCKS = 8
 
 
-def promising(anchor: list[int], place: list[int], data: list[bytes], length: int) -> list[tuple[int, int, int]]:
+def blocks(place: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """The blocks of starts in segments of these anchors' places and sizes: (segment, block, first start, end start, core's begin, core's end).
+
+    All strings that start in a block hold its core. Blocks lie at fixed distances from the anchor."""
+    span = length - gram_of(length)
+    width = -(-(span + 1) // BLOCKS)
+    low = place[:, None] - span + np.arange(0, span + 1, width)
+    high = np.minimum(low + width - 1, place[:, None])
+    begin, end = np.maximum(low, 0), np.minimum(high, sizes[:, None] - length) + 1
+    own, block = np.nonzero(begin < end)
+    return own, block, begin[own, block], end[own, block], high[own, block], low[own, block] + length
+
+
+def promising(anchor: np.ndarray, place: np.ndarray, data: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(segment, first start, end start) of the strings whose core another segment of the anchor has too."""
-    gram = gram_of(length)
-    width = -(-(length - gram + 1) // BLOCKS)
-    keys, owners, firsts, ends = [], [], [], []
-    for k, (a, p, d) in enumerate(zip(anchor, place, data)):
-        for j, low in enumerate(range(p - (length - gram), p + 1, width)):
-            high = min(low + width - 1, p)
-            begin, end = max(low, 0), min(high, len(d) - length) + 1
-            if begin < end:
-                keys.append(xxhash.xxh3_64_intdigest(d[high:low + length], j) ^ (a & 0xFFFFFFFFFFFFFFFF))
-                owners.append(k)
-                firsts.append(begin)
-                ends.append(end)
-    _, inverse, counts = np.unique(np.array(keys, np.uint64), return_inverse=True, return_counts=True)
-    out: list[tuple[int, int, int]] = []
-    for i in np.flatnonzero(counts[inverse] > 1).tolist():
-        if out and out[-1][0] == owners[i] and out[-1][2] == firsts[i]:
-            out[-1] = (owners[i], out[-1][1], ends[i])
-        else:
-            out.append((owners[i], firsts[i], ends[i]))
-    return out
+    text = np.frombuffer(b"".join(data), np.uint8)
+    power, sums = powers(len(text) + 1), np.zeros(len(text) + 1, np.uint64)
+    np.cumsum(BYTE_VALUE[text] * power[:-1], dtype=np.uint64, out=sums[1:])
+    sizes = np.array([len(d) for d in data], np.int64)
+    offset = np.cumsum(sizes) - sizes
+    own, block, begin, end, core, core_end = blocks(place, sizes, length)
+    # a name that two cores share by chance only adds to what is sorted
+    from_, to = offset[own] + core, offset[own] + core_end
+    name = mixed((sums[to] - sums[from_]) * power[len(text) - from_]) + mixed(anchor[own].view(np.uint64) + block.astype(np.uint64))
+    _, inverse, counts = np.unique(name, return_inverse=True, return_counts=True)
+    kept = counts[inverse] > 1
+    own, begin, end = own[kept], begin[kept], end[kept]
+    fresh = np.append(True, (own[1:] != own[:-1]) | (begin[1:] != end[:-1]))[:len(own)]
+    last = np.append(fresh[1:], True)[:len(own)]
+    return own[fresh], begin[fresh], end[last]
 
 
 # --- the jobs
@@ -343,44 +382,46 @@ def _segments_of(column: pa.Array, length: int, maybe) -> Iterator[tuple[np.ndar
         yield data, h, at - start, start, np.minimum(len(data), at + length)
 
 
-def _shard(length: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, anchor, segment, copies, row, start, anchor's place, bytes), shard by shard: the repeated spans of each segment."""
-    columns: list[list] = [[] for _ in range(7)]
-    now = None
+def _spans(length: int, columns: list[np.ndarray], data: list[bytes]) -> pa.RecordBatch:
+    """The repeated spans of a shard's segments, given as (anchor, core, segment, copies, row, start, anchor's place) and bytes."""
+    anchor, core, segment, copies, row, start, place = columns
+    own, begin, end = promising(anchor, place, data, length)
+    at, b, e = (np.zeros(0, np.int64) for _ in range(3))
+    if len(own):
+        pieces = [data[k][x:y + length - 1] for k, x, y in zip(own.tolist(), begin.tolist(), end.tolist())]
+        data.clear()
+        marks = repeated_starts(pieces, row[own], start[own] + begin, copies[own] > 1, length)
+        change = np.zeros(len(marks) + length + 1, np.int32)
+        starts = np.flatnonzero(marks)
+        change[starts] += 1
+        change[starts + length] -= 1
+        edges = np.diff(np.concatenate([[False], np.cumsum(change)[:len(marks)] > 0, [False]]).astype(np.int8))
+        begins, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+        sizes = np.array([len(p) + 1 for p in pieces], np.int64)
+        first = np.cumsum(sizes) - sizes
+        of = np.searchsorted(first, begins, "right") - 1
+        shift = begin[of] - first[of]
+        at, b, e = own[of], begins + shift, ends + shift
+    return pa.RecordBatch.from_arrays([*(pa.array(x[at]) for x in (anchor, core, segment)), *(pa.array(x.astype(np.int32)) for x in (b, e))], names=["anchor", "core", "segment", "b", "e"])
 
-    def spans() -> pa.RecordBatch:
-        anchor, segment, copies, row, start, place, data = columns
-        parts = promising(anchor, place, data, length)
-        own = [k for k, _, _ in parts]
-        pieces = [data[k][a:b + length - 1] for k, a, b in parts]
-        found = ([], [], [], [])
-        if pieces:
-            places = np.array([start[k] + a for k, a, _ in parts], np.int64)
-            marks = repeated_starts(pieces, np.array(row, np.int64)[own], places, np.array(copies)[own] > 1, length)
-            change = np.zeros(len(marks) + length + 1, np.int64)
-            at = np.flatnonzero(marks)
-            np.add.at(change, at, 1)
-            np.add.at(change, at + length, -1)
-            edges = np.diff(np.concatenate([[False], np.cumsum(change)[:len(marks)] > 0, [False]]).astype(np.int8))
-            begins, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-            sizes = np.array([len(p) + 1 for p in pieces], np.int64)
-            first = np.cumsum(sizes) - sizes
-            of = np.searchsorted(first, begins, "right") - 1
-            shift = np.array([a for _, a, _ in parts], np.int64)[of] - first[of]
-            found = ([anchor[own[k]] for k in of], [segment[own[k]] for k in of], begins + shift, ends + shift)
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(found, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["anchor", "segment", "b", "e"])
 
+def _shard(length: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, anchor, core, segment, copies, row, start, anchor's place, bytes), shard by shard: the repeated spans of each segment."""
+    held: list[list[np.ndarray]] = []
+    data: list[bytes] = []
+    now = None
     for batch in batches:
-        shards = batch.column(0).to_pylist()
-        for shard, values in zip(shards, zip(*(batch.column(k).to_pylist() for k in range(1, 8)))):
-            if shard != now and now is not None and columns[0]:
-                yield spans()
-                columns = [[] for _ in range(7)]
-            now = shard
-            for c, v in zip(columns, values):
-                c.append(v)
-    if columns[0]:
-        yield spans()
+        shards, columns = batch.column(0).to_numpy(), [batch.column(k).to_numpy().astype(np.int64) for k in range(1, 8)]
+        cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)] if len(shards) else []
+        for first, end in zip(cuts[:-1], cuts[1:]):
+            if shards[first] != now and held:
+                yield _spans(length, [np.concatenate(c) for c in zip(*held)], data)
+                held, data = [], []
+            now = shards[first]
+            held.append([c[first:end] for c in columns])
+            data += batch.column(8).slice(first, end - first).to_pylist()
+    if held:
+        yield _spans(length, [np.concatenate(c) for c in zip(*held)], data)
 
 
 def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
@@ -414,29 +455,77 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
 
     found = written(marked.mapInArrow(suspects, "row long, anchor long, segment long, place int, b int, e int"), "anchors")
     segments = written(found.groupBy("anchor", "segment").agg(F.count("*").alias("copies"), F.min(F.struct("row", "b", "e", "place")).alias("at")), "segments")
-    shared = segments.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
-    several = segments.join(shared, "anchor")
-    n = max(partitions_of(spark), int((several.agg(F.sum(F.expr("at.e - at.b"))).first()[0] or 0) // SHARD_BYTES))
-    needed = written(several.groupBy("at.row").agg(F.collect_list(F.struct("anchor", "segment", "copies", F.col("at.b").alias("b"), F.col("at.e").alias("e"), F.col("at.place").alias("place"))).alias("parts")), "parts")
+    kinds = segments.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    several = segments.join(kinds, "anchor")
+    crowd = F.col("kinds") > SHARD_BYTES // (2 * length)
+
+    def of_rows(parts: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
+        """Each text with the list of its parts (``names``, and b, e and place of ``at``); these lists."""
+        listed = parts.groupBy("at.row").agg(F.collect_list(F.struct(*names, *(F.col(f"at.{c}").alias(c) for c in ("b", "e", "place")))).alias("parts"))
+        listed = written(listed, "parts")
+        return matching(marked, listed.select("row")).join(listed, "row").select("row", "text", "parts"), listed
+
+    def pieces_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The blocks of segments: named by their cores and by all of their bytes."""
+        names = ["anchor", "segment", "copies", "core", "piece", "from", "row", "b", "e", "place"]
+        kinds = [pa.int64()] * 7 + [pa.int32()] * 3
+        for batch in batches:
+            for first in range(0, batch.num_rows, 64):
+                part, out = batch.slice(first, 64), []
+                for row, data, parts in zip(part.column(0).to_pylist(), texts(part.column(1)), part.column(2).to_pylist()):
+                    view = memoryview(np.ascontiguousarray(data))
+                    place, start = (np.array([p[c] for p in parts], np.int64) for c in ("place", "b"))
+                    sizes = np.array([p["e"] for p in parts], np.int64) - start
+                    for k, block, begin, end, core, core_end in zip(*(x.tolist() for x in blocks(place, sizes, length))):
+                        p, at = parts[k], parts[k]["b"]
+                        core = xxhash.xxh3_64_intdigest(view[at + core:at + core_end], block + 1) >> 1 | 1
+                        piece = xxhash.xxh3_64_intdigest(view[at + begin:at + end + length - 1], p["place"] - begin) >> 1
+                        out.append((p["anchor"], p["segment"], p["copies"], core, piece, begin, row, at + begin, at + end + length - 1, p["place"] - begin))
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=names)
+
+    # an anchor of many segments is taken apart: blocks of a segment are segments of their own, and dealt by their cores too
+    crowded = several.where(crowd).select("anchor", "segment", "copies", "at")
+    held, listed = of_rows(crowded, ["anchor", "segment", "copies"])
+    pieces = written(held.mapInArrow(
+        pieces_of, "anchor long, segment long, copies long, core long, piece long, from long, row long, b int, e int, place int"), "pieces")
+    discard(listed)
+    classes = pieces.groupBy("anchor", "core", "piece").agg(F.sum("copies").alias("copies"), F.min(F.struct("row", "b", "e", "place")).alias("at"))
+    classes = written(classes, "classes")
+    alike = classes.groupBy("anchor", "core").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "core")
+    sorted_ = several.where(~crowd).select("anchor", F.lit(0).cast("long").alias("core"), "segment", "copies", "at").unionByName(
+        classes.join(alike, ["anchor", "core"]).select("anchor", "core", F.col("piece").alias("segment"), "copies", "at"))
+    sorted_ = written(sorted_, "sorted")
+    volume = int(sorted_.agg(F.sum(F.expr("at.e - at.b"))).first()[0] or 0)
+    n = max(partitions_of(spark), volume // (TASK_SHARDS * SHARD_BYTES))
+    shards = max(n, volume // SHARD_BYTES)
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "segment", "copies", "row", "b", "place", "bytes"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        names = ["anchor", "core", "segment", "copies", "row", "b", "place", "bytes"]
+        kinds = [pa.int64()] * 5 + [pa.int32(), pa.int32(), pa.binary()]
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 piece, out = batch.slice(k, 64), []
                 for row, data, parts in zip(piece.column(0).to_pylist(), texts(piece.column(1)), piece.column(2).to_pylist()):
-                    out += [(p["anchor"], p["segment"], p["copies"], row, p["b"], p["place"], data[p["b"]:p["e"]].tobytes()) for p in parts]
+                    out += [(p["anchor"], p["core"], p["segment"], p["copies"], row, p["b"], p["place"], data[p["b"]:p["e"]].tobytes()) for p in parts]
                 yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=names)
 
-    cuts = matching(marked, needed.select("row")).join(needed, "row").select("row", "text", "parts").mapInArrow(cut, "anchor long, segment long, copies long, row long, b int, place int, bytes binary")
+    held, listed = of_rows(sorted_, ["anchor", "core", "segment", "copies"])
+    cuts = held.mapInArrow(
+        cut, "anchor long, core long, segment long, copies long, row long, b int, place int, bytes binary")
     # rows that repeat have the same segments
-    dealt = cuts.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(n)).cast("int")).repartition(n, "shard").sortWithinPartitions("shard", "anchor", "segment")
-    dealt = dealt.select("shard", "anchor", "segment", "copies", "row", "b", "place", "bytes")
-    partly = written(dealt.mapInArrow(partial(_shard, length), "anchor long, segment long, b int, e int"), "spans")
-    wholly = segments.where("copies > 1").select("anchor", "segment", F.lit(0).alias("from"), F.expr("at.e - at.b").alias("to"))
-    spans = partly.select("anchor", "segment", F.col("b").alias("from"), F.col("e").alias("to")).unionByName(wholly)
-    hit = found.join(spans, ["anchor", "segment"]).select("row", (F.col("b") + F.col("from")).alias("b"), (F.col("b") + F.col("to")).alias("e"))
+    dealt = cuts.withColumn("shard", F.pmod(F.xxhash64("anchor", "core"), F.lit(shards)).cast("int")).repartition(n, "shard").sortWithinPartitions("shard", "anchor", "core", "segment")
+    dealt = dealt.select("shard", "anchor", "core", "segment", "copies", "row", "b", "place", "bytes")
+    partly = written(dealt.mapInArrow(partial(_shard, length), "anchor long, core long, segment long, b int, e int"), "spans")
+    discard(listed)
+    discard(sorted_)
+    wholly = segments.where("copies > 1").select("anchor", "segment", F.lit(0).cast("long").alias("from"), F.expr("cast(at.e - at.b as long)").alias("to"))
+    # what was found in a piece holds in all segments that have it
+    of_pieces = partly.where("core <> 0").select("anchor", "core", F.col("segment").alias("piece"), "b", "e").unionByName(
+        classes.where("copies > 1").select("anchor", "core", "piece", F.lit(0).alias("b"), F.expr("at.e - at.b").alias("e")))
+    taken_apart = pieces.where("copies = 1").join(of_pieces.select("anchor", "core", "piece", F.col("b").alias("_b"), F.col("e").alias("_e")), ["anchor", "core", "piece"]).select(
+        "anchor", "segment", (F.col("from") + F.col("_b")).alias("from"), (F.col("from") + F.col("_e")).alias("to"))
+    spans = partly.where("core = 0").select("anchor", "segment", F.col("b").cast("long").alias("from"), F.col("e").cast("long").alias("to")).unionByName(wholly).unionByName(taken_apart)
+    hit = found.join(spans, ["anchor", "segment"]).select("row", (F.col("b") + F.col("from")).cast("int").alias("b"), (F.col("b") + F.col("to")).cast("int").alias("e"))
     return hit.where(F.col("e") - F.col("b") >= length).groupBy("row").agg(F.collect_set(F.struct("b", "e")).alias("spans"))
 
 

@@ -1,5 +1,7 @@
 """Line, substring and near-duplicate operators against brute force, with the awkward rows."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -58,6 +60,53 @@ def test_induced_sorting(monkeypatch, queue):
             assert common[k] == same
 
 
+def test_a_shard_is_sorted_in_little_memory():
+    rng = np.random.default_rng(4)
+    words = [bytes(rng.integers(97, 123, int(rng.integers(2, 9)), dtype=np.uint8)) for _ in range(500)]
+    n = suffix_dedup.SHARD_BYTES // 368
+    pieces = [b" ".join(words[k] for k in rng.integers(0, 500, 80))[:368] for _ in range(n - n // 4)]
+    pieces += [b"#" + p[:300] + b"#" for p in pieces[:n // 4]]
+    tracemalloc.start()
+    marks = suffix_dedup.repeated_starts(pieces, np.arange(len(pieces)), np.zeros(len(pieces), np.int64), np.zeros(len(pieces), bool), 200)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert marks.sum() == 2 * 101 * (n // 4)
+    assert peak < 200 << 20
+
+
+def test_an_anchor_of_many_segments_is_taken_apart(spark, monkeypatch):
+    """A passage with other text around it in each document, and runs of one word: the same rows, and fewer bytes of one anchor in a shard."""
+    rng = np.random.default_rng(6)
+    passage = "the same licence in all of these documents, of some length and then some more words to make it long enough for a repeat " * 2
+    rows = []
+    for i in range(300):
+        a, b = (" ".join("".join(chr(c) for c in rng.integers(97, 123, 5)) for _ in range(int(rng.integers(1, 60)))) for _ in range(2))
+        rows.append((i, f"{a} {passage[i % 7:]} {b} {'the ' * int(rng.integers(0, 90))}{a[:9]}", "en", "s", 0))
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 4000)
+    sizes = []
+    given = suffix_dedup.written
+
+    def noted(df, label):
+        out = given(df, label)
+        if label in ("segments", "sorted"):
+            keys = [c for c in ("anchor", "core") if c in out.columns]
+            sizes.append(out.groupBy(*keys).agg(F.sum(F.expr("at.e - at.b")).alias("n")).agg(F.max("n")).first()[0])
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "written", noted)
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, H.SCHEMA).repartition(4))
+    assert H.ordered(tuple(r) for r in got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()) == H.ordered(H.repeats(rows, 200))
+    assert len(sizes) == 2 and sizes[1] < 0.7 * sizes[0]
+
+
+def test_rows_in_order_of_short_and_long_keys():
+    rng = np.random.default_rng(8)
+    for most in (1, 5, 1 << 20, 1 << 40, (1 << 62) - 1):
+        keys = [rng.integers(0, bound, 2000) for bound in (7, most)]
+        order = suffix_dedup.in_order(*keys)
+        assert order.tolist() == np.lexsort(keys[::-1]).tolist()
+
+
 @pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80), (2, 60)])
 def test_near_groups(docs, rows, n, percent):
     got = jaccard.near_groups(docs, n, percent).select("doc_id", "n_shingles", "component_id").collect()
