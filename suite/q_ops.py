@@ -621,8 +621,11 @@ def flat_sheets(spark, sf):
 
 
 def _vouchers(spark, sf):
-    """Orders as voucher XML elements, read back field by field."""
-    lines = sales_lines(spark, sf)
+    """Orders as voucher XML elements, read back field by field.
+
+    Parsing takes far longer than its few bytes tell, so lines are dealt out evenly, over as many tasks as a shuffle has.
+    """
+    lines = sales_lines(spark, sf).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     def tag(name, value):
         return F.concat(F.lit(f"<{name}>"), F.coalesce(value.cast("string"), F.lit("")), F.lit(f"</{name}>"))
     def tax(name, c):

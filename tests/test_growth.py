@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from khata.operators import canonical, cleaning, filing, text_extract as tx
 from khata.plans import invoice_audit, period_close
-from suite import tables
+from suite import q_ops, tables
 
 
 def optimized(df) -> str:
@@ -68,3 +68,8 @@ def test_filings_shuffle_only_the_columns_they_sum(spark):
 def test_canonical_lines_are_shuffled_without_their_confidence(spark):
     plan = optimized(canonical.to_canonical(tables.sales_lines(spark, SMALL), canonical.SALES, ("task_id", "invoice_no")))
     assert "SQL Load" not in plan[plan.index("Join"):] and "<=>" not in plan
+
+
+def test_vouchers_are_parsed_in_many_tasks(spark):
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert q_ops._vouchers(spark, SMALL).rdd.getNumPartitions() == parts
