@@ -73,3 +73,8 @@ def test_canonical_lines_are_shuffled_without_their_confidence(spark):
 def test_vouchers_are_parsed_in_many_tasks(spark):
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert q_ops._vouchers(spark, SMALL).rdd.getNumPartitions() == parts
+
+
+def test_votes_join_a_state_that_is_worked_out_once(spark):
+    merged, decided = q_ops._votes(spark, SMALL)
+    assert "parquet" not in optimized(decided).lower() and optimized(merged).count("Join") == 0
