@@ -24,7 +24,7 @@ INVOICES_PER_DOCUMENT = 1000
 
 
 def _round2(name: str) -> Column:
-    return F.round(zero_if_null(F.col(name)), 2)
+    return money(F.round(zero_if_null(F.col(name)), 2))
 
 
 def invoice_groups(lines: DataFrame, firm_state: str, by: Sequence[str] = ()) -> DataFrame:
@@ -40,7 +40,8 @@ def invoice_groups(lines: DataFrame, firm_state: str, by: Sequence[str] = ()) ->
         *[_round2(c).alias(c) for c in
           ("taxable_value", "cgst_amount", "sgst_amount", "igst_amount", "total_invoice_value")],
     )
-    grouped = keyed.groupBy(*by, "invoice_no", "party_gstin", "category").agg(
+    # numbers come first, as what is sorted by differs in its first bytes then
+    grouped = keyed.groupBy("invoice_no", "party_gstin", "category", *by).agg(
         money(F.sum("taxable_value")).alias("taxable"),
         money(F.sum("cgst_amount")).alias("cgst"),
         money(F.sum("sgst_amount")).alias("sgst"),

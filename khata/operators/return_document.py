@@ -6,7 +6,7 @@ counterparty or a section with any number of documents is written by as many tas
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.common import money
 from ..session import cut_lineage
@@ -97,6 +97,23 @@ def _frame(lines: DataFrame, groups: DataFrame, registration: str) -> DataFrame:
     return rows.select(registration, F.inline(F.array(*[F.struct(F.lit(s).alias("section"), F.lit(p).alias("part"), v.alias("value")) for s, p, v in texts])))
 
 
+def _with_comma(rows: DataFrame, key: list[str], later: Column) -> DataFrame:
+    """Entries behind a comma where they are later ones; one without a registration has no frame to stand in."""
+    return rows.filter(F.col(key[0]).isNotNull()).select(
+        *key, F.lit(ENTRY).alias("step"), "seq", later.alias("later"), F.concat(F.when(later, ",").otherwise(""), "value").alias("value"))
+
+
+def _placed(entries: DataFrame, firsts: DataFrame, key: list[str]) -> DataFrame:
+    """The entries, all but the first of their group behind a comma.
+
+    They are joined by the whole entry: by their group, all of a large one would meet in one task.
+    """
+    ahead = firsts.select(*[F.col(c).alias(f"_{c}") for c in key], F.col("first.seq").alias("_seq"), F.col("first.value").alias("_value"))
+    ahead = ahead.withColumn("_hash", F.xxhash64("_value"))
+    same = [F.xxhash64("value") == F.col("_hash"), F.col("seq").eqNullSafe(F.col("_seq"))] + [F.col(c) == F.col(f"_{c}") for c in [*key, "value"]]
+    return _with_comma(entries.join(ahead, same, "left"), key, F.col("_hash").isNull())
+
+
 def return_rows(lines: DataFrame, firm_state: str, registration: str = "registration") -> DataFrame:
     """(registration, section, part, grp, step, seq, later, value): the rows of each registration's return, in any order.
 
@@ -104,24 +121,25 @@ def return_rows(lines: DataFrame, firm_state: str, registration: str = "registra
     """
     by = [registration]
     groups = cut_lineage(gstr1.invoice_groups(lines, firm_state, by))
-    # written once, as they are looked at again for what comes first
-    entries = cut_lineage(_documents(groups, firm_state, by).unionByName(_sums(lines, groups, firm_state, by)))
+    # not written: sections that the reader leaves out are then not worked out either
+    documents, sums = _documents(groups, firm_state, by), _sums(lines, groups, firm_state, by)
     # every entry but the first of its group, and every group but the first of its section, follows a comma
     key = [*by, "section", "grp"]
-    firsts = entries.groupBy(*key).agg(F.min(F.struct("seq", "value")).alias("first"))
+    first = F.min(F.struct("seq", "value"))
+    firsts = documents.groupBy("grp", "section", *by).agg(first.alias("first"))
     first_group = firsts.groupBy(*by, "section").agg(F.min("grp").alias("first_grp"))
-    later = F.struct("seq", "value") != F.col("first")
-    placed = entries.join(firsts, key).select(
-        *key, F.lit(ENTRY).alias("step"), "seq", later.alias("later"), F.concat(F.when(later, ",").otherwise(""), "value").alias("value"))
+    # sums are few
+    placed = _placed(documents, firsts, key).unionByName(_with_comma(sums, key, F.struct("seq", "value") != first.over(Window.partitionBy(*key))))
     named = firsts.filter(F.col("section").isin(*GROUPED)).join(first_group, [*by, "section"])
     label = F.lit("")
     for section, (_, name, items) in GROUPED.items():
         opening = F.concat(F.lit(f'{{"{name}":'), F.expr("substring(to_json(array(grp)), 2, length(to_json(array(grp))) - 2)"), F.lit(f',"{items}":['))
         label = F.when(F.col("section") == section, opening).otherwise(label)
     between = F.when(F.col("grp") == F.col("first_grp"), "").otherwise(",")
-    brackets = named.select(*key, F.inline(F.array(
-        F.struct(F.lit(GROUP_OPEN).alias("step"), F.concat(between, label).alias("value")), F.struct(F.lit(GROUP_CLOSE).alias("step"), F.lit("]}").alias("value")))))
-    within = placed.unionByName(brackets, allowMissingColumns=True).withColumn("part", F.lit(WITHIN))
+    # two frames, so that a reader of entries alone has neither
+    opened = named.select(*key, F.lit(GROUP_OPEN).alias("step"), F.concat(between, label).alias("value"))
+    closed = firsts.filter(F.col("section").isin(*GROUPED)).select(*key, F.lit(GROUP_CLOSE).alias("step"), F.lit("]}").alias("value"))
+    within = placed.unionByName(opened, allowMissingColumns=True).unionByName(closed, allowMissingColumns=True).withColumn("part", F.lit(WITHIN))
     return within.unionByName(_frame(lines, groups, registration), allowMissingColumns=True).select(registration, *PLACE)
 
 

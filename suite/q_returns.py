@@ -213,13 +213,11 @@ def return_documents(spark, sf):
     rows = return_document.return_rows(lines, FIRM_STATE)
     names = {return_document.CDNUR: "cdnur", **{k: v[0] for k, v in return_document.GROUPED.items()}}
     section = F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.col("section"))
-    text = F.regexp_replace("value", "^,", "")
-
-    def field(*paths):
-        return F.coalesce(*[F.get_json_object(text, p) for p in paths])
-
+    read = F.from_json(F.regexp_replace("value", "^,", ""), """inum STRING, nt_num STRING, idt STRING, nt_dt STRING, val STRING, pos STRING, ntty STRING,
+        itms ARRAY<STRUCT<itm_det: STRUCT<txval: STRING>, txval: STRING>>""")
     docs = rows.filter((F.col("step") == return_document.ENTRY) & F.col("section").isin(*names))
+    docs = docs.select(section.alias("section"), "grp", F.inline(F.array(read)))  # behind a generator a text is read once, not once for each field
+    item = F.get("itms", F.lit(0))
     return docs.select(
-        section.alias("section"), "grp", field("$.inum", "$.nt_num").alias("number"), field("$.idt", "$.nt_dt").alias("doc_date"),
-        field("$.val").cast("double").alias("val"), field("$.itms[0].itm_det.txval", "$.itms[0].txval").cast("double").alias("txval"),
-        field("$.pos").alias("pos"), field("$.ntty").alias("kind"))
+        "section", "grp", F.coalesce("inum", "nt_num").alias("number"), F.coalesce("idt", "nt_dt").alias("doc_date"), F.col("val").cast("double").alias("val"),
+        F.coalesce(item["itm_det"]["txval"], item["txval"]).cast("double").alias("txval"), "pos", F.col("ntty").alias("kind"))

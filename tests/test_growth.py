@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from khata.operators import canonical, cleaning, filing, text_extract as tx
+from khata.operators import canonical, cleaning, filing, return_document, text_extract as tx
 from khata.plans import invoice_audit, period_close
 from suite import q_ops, tables
 
@@ -70,6 +70,13 @@ def test_canonical_lines_are_shuffled_without_their_confidence(spark):
     assert "SQL Load" not in plan[plan.index("Join"):] and "<=>" not in plan
 
 
+def test_entries_of_a_return_meet_the_first_of_their_group_evenly(spark):
+    rows = return_document.return_rows(tables.sales_lines(spark, SMALL).withColumn("registration", F.lit("07X")), "07")
+    plan = optimized(rows.filter((F.col("step") == return_document.ENTRY) & (F.col("section") == return_document.B2CL)))
+    # of the sums, which have other sections, nothing is worked out, so lines aren't read again
+    assert plan.count("Join LeftOuter") == 1 and "xxhash64(value" in plan and "parquet" not in plan
+
+
 def test_vouchers_are_parsed_in_many_tasks(spark):
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert q_ops._vouchers(spark, SMALL).rdd.getNumPartitions() == parts
