@@ -510,9 +510,12 @@ def audit_fields(documents: DataFrame) -> DataFrame:
         _grab(body, r"(?i)(?:Date|Dated)[:\s]*(\d{1,2}[-/\s][A-Za-z]{3,9}[-/\s]\d{2,4}|\d{1,2}[-/]\d{1,2}[-/]\d{2,4})"))
     labels = F.array_compact(F.array(*[
         F.when(amount > 0, F.lit(label)) for amount, (_, label, _) in zip(_section_amounts(body), SECTIONS)]))
+    # a column of its own: it is used twice, and put in place the sections were looked for each time
+    rows = documents.select("doc_id", "text", labels.alias("labels"))
     taxable = F.regexp_extract(_behind(F.regexp_replace("text", r"[ \t]+", " "), "Taxable Value", "Central Tax"), SUMMARY_ROW, 1)
-    billed = F.when((F.size(labels) == 0) & (zero_if_null(_amount(taxable)) > 0), F.array(F.lit(DEFAULT_SECTION[0]))).otherwise(labels)
-    return documents.select(
+    none = F.size("labels") == 0
+    billed = F.when(none & (zero_if_null(_amount(taxable)) > 0), F.array(F.lit(DEFAULT_SECTION[0]))).otherwise(F.col("labels"))
+    return rows.select(
         "doc_id", _grab(body, r"(?i)Invoice\s*(?:No|Number|#)[:\s]*([A-Z0-9/_-]{4,30})").alias("invoice_no"),
         F.trim(date).alias("voucher_date"),
         _grab(body, r"\b(\d{2}[A-Z]{5}\d{4}[A-Z]{1}\d{1}[Z]{1}[A-Z0-9]{1})\b").alias("party_gstin"),

@@ -28,6 +28,12 @@ def test_audit_fields_blank_out_a_text_once(spark):
     assert plan.count("regexp_replace(text") == 1
 
 
+def test_audit_fields_look_for_a_section_once(spark):
+    out = tx.audit_fields(texts(spark)).select("doc_id", "narration")
+    assert optimized(out).count("Soundbox Charges)") == 1
+    assert [r.narration for r in out.collect()] == ["SaaS/UPI Platform Charges"]
+
+
 def test_cleaning_shuffles_a_documents_lines_once(spark):
     lines = spark.createDataFrame(
         [("d", 1, "item", 10.0, "27AABCF0001A1Z5"), ("d", 2, "sub total", 10.0, None), ("e", 1, "grand total", 5.0, None)],
