@@ -111,7 +111,10 @@ def registration_split(spark, sf):
    CASE WHEN voucher_type='Sales' THEN gstr1_category ELSE 'CDN' END AS cat FROM kept) GROUP BY 1""",
        "sales recon3")
 def filings_by_registration(spark, sf):
-    out = filing.filings_summary(sales_lines(spark, sf), _entries(spark, sf), REGISTRATIONS)
+    docs = sales_documents(spark, sf)
+    # outcomes don't depend on the client's places; without them both sides need the same columns, which are shuffled once
+    client = client_rows(docs).drop("supplier_location", "state_of_supply", "interstate_or_intrastate")
+    out = filing.filings_summary(sales_lines(spark, sf), sales_recon.reconcile_documents(os_rows(docs), client), REGISTRATIONS)
     return out.select("registration", "has_data", "n_lines", *d("total_taxable total_tax"),
                       "total_invoices", "flagged_documents")
 

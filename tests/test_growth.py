@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from khata.operators import canonical, cleaning, filing, return_document, text_extract as tx
 from khata.plans import invoice_audit, period_close
-from suite import q_ops, tables
+from suite import q_ops, q_sales, tables
 
 
 def optimized(df) -> str:
@@ -71,6 +71,19 @@ def test_filings_shuffle_only_the_columns_they_sum(spark):
     assert "LogicalRDD" not in plan and "party_ledger_name" not in plan
 
 
+def test_filings_sum_the_documents_of_both_sides_once(spark):
+    out = q_sales.filings_by_registration(spark, SMALL)
+    assert out.count() == 3
+    out.collect()
+    final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet [l_orderkey") == 2
+
+
+def test_taxes_of_lines_stay_within_18_digits(spark):
+    plan = optimized(tables.sales_lines(spark, SMALL, part=False).select("cgst_amount", "igst_amount", "total_invoice_value"))
+    assert "decimal(19" not in plan and "decimal(2" not in plan.replace("decimal(2,0)", "")
+
+
 def test_canonical_lines_are_shuffled_without_their_confidence(spark):
     plan = optimized(canonical.to_canonical(tables.sales_lines(spark, SMALL), canonical.SALES, ("task_id", "invoice_no")))
     assert "SQL Load" not in plan[plan.index("Join"):] and "<=>" not in plan
