@@ -11,7 +11,8 @@ same size class) share a key, and linked classes are always in one connected com
 component is a block. A large block is cut into pieces, and every pair of pieces is traversed in a task of its own.
 Parts that hold nothing but heavy tokens (of passages that very many documents share) make no key as long as a set has few of
 them, since there are spare parts; so a common passage alone doesn't draw documents into one block. Any choice of heavy
-tokens gives the same links: they are found by counters of fixed size over all documents. Keys seen once are kept from the shuffle by a pair of Bloom filters, which lose no repeated key.
+tokens gives the same links: they are found by counters of fixed size over all documents. All keys are shuffled once, packed to ten bytes
+each with the set they belong to, and met in parts of a bounded number of keys. A filter of a fixed size in front would let all of them through from some size on.
 
 Defined cases: null or empty texts, or texts without words, have an empty set and link with nothing. Equal sets always link. Repeated
 rows are documents that link with each other. Null ids order last among a component's ids.
@@ -29,15 +30,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, chunks, discard, mixed, partitions_of, row_key, shingle_hashes, signed, word_hashes, written
+from .common import bytes_of, chunks, mixed, partitions_of, row_key, shingle_hashes, signed, word_hashes, written
 from .links import components
-from .sightings import SLOT_SCHEMA, filter_bits, matching, slot_batches, suspect, twice_filter
+from .sightings import matching
 
 PIECE_TOKENS = 1 << 21
 """A block of more shingles is cut into pieces of about so many (16 MB)."""
 COUNTER_BITS, COUNTER_PART = 22, 14
 HEAVY = 64
 """A token is heavy if its counter, of 2 ** COUNTER_BITS, is HEAVY above four times the mean."""
+KEY_BITS, SLOT_BITS, OWNER_BITS = 48, 16, 48
+KEYS_HELD, PART_KEYS = 1 << 20, 1 << 21
+"""Keys that a task gathers before it deals them out, and keys of a part that meet in memory."""
 HASHED_BYTES = 1 << 19
 """Text that is hashed at a time, or one text if that is longer; some forty bytes are held for each."""
 LEAF = 16
@@ -202,34 +206,32 @@ def hand_back() -> None:
         trim(0)
 
 
-def _slots(words: int, percent: int, bits: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The filter bits of all sets' keys, and behind them, with negative part numbers, the task's token counters."""
+def _sets(words: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, doc_id, n, sid) of each document, and behind them the task's token counters as rows (part, counts) of their own."""
     hand_back()
-    classes, counts = SizeClasses(percent), np.zeros(1 << COUNTER_BITS, np.uint32)
-
-    def keys() -> Iterator[np.ndarray]:
-        for batch in batches:
-            for tokens in shingle_sets(batch.column(0), words):
-                if len(tokens):
-                    counts[(tokens >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)] += 1
-                    yield part_keys(tokens, classes)
-
-    yield from slot_batches(keys(), bits)
+    counts, names = np.zeros(1 << COUNTER_BITS, np.uint32), ["row", "doc_id", "n", "sid", "part", "counts"]
+    for batch in batches:
+        n, ids = [], []
+        for tokens in shingle_sets(batch.column(2), words):
+            n.append(len(tokens))
+            ids.append(set_id(tokens))
+            counts[(tokens >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)] += 1
+        none = (pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), *none], names=names)
     pieces = counts.reshape(-1, 1 << COUNTER_PART)
-    yield pa.RecordBatch.from_arrays([
-        pa.array(-1 - np.arange(len(pieces)), pa.int32()), pa.array([zlib.compress(p.view(np.uint8).reshape(-1, 4).T.tobytes(), 1) for p in pieces], pa.binary()),
-        pa.array([b""] * len(pieces), pa.binary())], names=["part", "once", "twice"])
+    packed = [zlib.compress(p.view(np.uint8).reshape(-1, 4).T.tobytes(), 1) for p in pieces]
+    yield pa.RecordBatch.from_arrays([pa.nulls(len(pieces), pa.int64())] * 4 + [pa.array(np.arange(len(pieces)), pa.int32()), pa.array(packed, pa.binary())], names=names)
 
 
 def _heavy(limit: float, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (part, once) of counters, sorted by part: a bitmap of the heavy ones for each part."""
+    """Rows (part, counts) of counters, sorted by part: a bitmap of the heavy ones for each part."""
     now, sums = None, None
 
     def done() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(sums > limit, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
 
     for batch in batches:
-        for part, counts, _ in zip(*(c.to_pylist() for c in batch.columns)):
+        for part, counts in zip(*(c.to_pylist() for c in batch.columns)):
             if part != now:
                 if now is not None:
                     yield done()
@@ -239,16 +241,83 @@ def _heavy(limit: float, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Recor
         yield done()
 
 
-def _filters(slots: DataFrame, bits: int, limit: float) -> tuple[np.ndarray, np.ndarray]:
-    """The twice-seen filter and the heavy counters' bitmap; of fixed size (32 MB and half a MB at most)."""
-    slots = written(slots, "slots")
-    counters = slots.where("part < 0").repartition(partitions_of(slots.sparkSession), "part").sortWithinPartitions("part")
+def _heavy_counters(counters: DataFrame, limit: float) -> np.ndarray:
+    """The heavy counters' bitmap, half a MB."""
+    counters = counters.repartition(partitions_of(counters.sparkSession), "part").sortWithinPartitions("part")
     heavy = np.zeros(1 << COUNTER_BITS, bool)
     for row in counters.mapInArrow(partial(_heavy, limit), "part int, bits binary").collect():
-        heavy[(-1 - row["part"]) << COUNTER_PART:(-row["part"]) << COUNTER_PART] = np.unpackbits(np.frombuffer(row["bits"], np.uint8), bitorder="little").astype(bool)
-    seen = twice_filter(slots.where("part >= 0"), bits)
-    discard(slots)
-    return seen, np.packbits(heavy, bitorder="little")
+        heavy[row["part"] << COUNTER_PART:(row["part"] + 1) << COUNTER_PART] = np.unpackbits(np.frombuffer(row["bits"], np.uint8), bitorder="little").astype(bool)
+    return np.packbits(heavy, bitorder="little")
+
+
+def key_part_bits(expected: int, partitions: int) -> int:
+    """Logarithm of the parts that keys are dealt to: none holds more than about PART_KEYS, and each partition has some."""
+    return min(SLOT_BITS, max(0, -(-expected // PART_KEYS) - 1, 4 * partitions - 1).bit_length())
+
+
+def key_batches(keyed: Iterable[tuple[np.ndarray, int]], bits: int) -> Iterator[pa.RecordBatch]:
+    """Rows (part, counts, keys, owners) of the keys of sets: ascending in a part, ten bytes for each.
+
+    A key is its first 48 bits: SLOT_BITS of them, which begin with the part, as the number of keys in each slot, and 32 bits as they are. Its
+    owner is the set's ``owner_of``. Keys that agree in 48 bits only bring sets into one block that needn't be."""
+    held, owners, size = [], [], 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        keys = np.concatenate(held) >> np.uint64(64 - KEY_BITS)
+        order = np.argsort(keys)
+        keys, owner = keys[order], np.repeat(np.array(owners, np.uint64), [len(k) for k in held])[order]
+        counts = np.bincount((keys >> np.uint64(32)).astype(np.int64), minlength=1 << SLOT_BITS).astype("<u4").reshape(1 << bits, -1)
+        ends = np.cumsum(counts.sum(1))
+        low, small, large = keys.astype("<u4"), owner.astype("<u4"), (owner >> np.uint64(32)).astype("<u2")
+        cuts = [(p, int(e) - int(n), int(e)) for p, (n, e) in enumerate(zip(counts.sum(1), ends)) if n]
+        yield pa.RecordBatch.from_arrays([
+            pa.array([p for p, _, _ in cuts], pa.int32()), pa.array([counts[p].tobytes() for p, _, _ in cuts], pa.binary()),
+            pa.array([low[i:j].tobytes() for _, i, j in cuts], pa.binary()),
+            pa.array([small[i:j].tobytes() + large[i:j].tobytes() for _, i, j in cuts], pa.binary())], names=["part", "counts", "keys", "owners"])
+
+    for keys, owner in keyed:
+        if len(keys):
+            held.append(keys)
+            owners.append(owner)
+            size += len(keys)
+        if size >= KEYS_HELD:
+            yield from flush()
+            held, owners, size = [], [], 0
+    if size:
+        yield from flush()
+
+
+def shared_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``key_batches`` sorted by part: (a, b) for each owner of a key and the smallest other one, one part at a time."""
+    hand_back()
+    now, held = None, []
+
+    def met() -> pa.RecordBatch:
+        keys, owners = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(keys, kind="stable")
+        keys, owners = keys[order], owners[order]
+        again = keys[1:] == keys[:-1]
+        many = np.append(again, False) | np.insert(again, 0, False)
+        keys, owners = keys[many], owners[many]
+        pairs = np.zeros((0, 2), np.int64)
+        if len(keys):
+            starts = np.flatnonzero(np.insert(keys[1:] != keys[:-1], 0, True))
+            least = np.repeat(np.minimum.reduceat(owners, starts), np.diff(np.append(starts, len(keys))))
+            pairs = np.unique(np.stack([owners, least], 1)[owners != least], axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    for batch in batches:
+        for part, counts, low, owners in zip(*batch.columns):
+            if part.as_py() != now:
+                if held:
+                    yield met()
+                now, held = part.as_py(), []
+            counts, low = np.frombuffer(counts.as_py(), "<u4"), np.frombuffer(low.as_py(), "<u4")
+            blob, n = owners.as_py(), len(low)
+            owner = np.frombuffer(blob, "<u4", n).astype(np.int64) | np.frombuffer(blob, "<u2", n, 4 * n).astype(np.int64) << 32
+            held.append((np.repeat(np.arange(len(counts), dtype=np.uint64) << np.uint64(32), counts) | low, owner))
+    if held:
+        yield met()
 
 
 def _grouped(words: int, percent: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,41 +352,35 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     ``percent`` * union of their sets of ``words``-word shingles; the component's id is its smallest ``doc_id``."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = filter_bits(total // 12)  # about as many keys as a text has shingles, times 0.4
     texts = docs.select(row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    both = written(texts.mapInArrow(partial(_sets, words), "row long, doc_id long, n long, sid long, part int, counts binary"), "shingle-sets")
+    sets = both.where(F.col("n").isNotNull()).select("row", "doc_id", "n", "sid")
     limit = HEAVY + 4 * (total / 6) / (1 << COUNTER_BITS)
-    seen = spark.sparkContext.broadcast(_filters(docs.select("text").mapInArrow(partial(_slots, words, percent, bits), SLOT_SCHEMA), bits, limit))
+    known = spark.sparkContext.broadcast(_heavy_counters(both.where(F.col("part").isNotNull()).select("part", "counts"), limit))
+    bits = key_part_bits(total // 12, partitions_of(spark))  # about as many keys as a text has shingles, times 0.4
 
-    def marked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each document (row, doc_id, n, sid), and in rows of their own (key, sid) of the keys that may be shared, once for each set of a task."""
+    def keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The keys of all sets, once for each set of a task."""
         hand_back()
-        classes, maybe, sent = SizeClasses(percent), suspect(seen.value[0], bits), set()
-        heavy = np.unpackbits(seen.value[1], bitorder="little").astype(bool)
-        names = ["row", "doc_id", "n", "key", "sid"]
-        for batch in batches:
-            n, ids, keys = [], [], []
-            for tokens in shingle_sets(batch.column(2), words):
-                n.append(len(tokens))
-                ids.append(set_id(tokens))
-                found = part_keys(tokens, classes, heavy) if len(tokens) and ids[-1] not in sent else np.zeros(0, np.uint64)
-                sent.add(ids[-1])
-                keys.append(found[maybe(found)])
-            none = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), none, pa.array(ids, pa.int64())], names=names)
-            owners = np.repeat(np.array(ids, np.int64), [len(k) for k in keys])
-            none = pa.nulls(len(owners), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(signed(np.concatenate([*keys, np.zeros(0, np.uint64)]))), pa.array(owners)], names=names)
-
-    both = written(texts.mapInArrow(marked, "row long, doc_id long, n long, key long, sid long"), "shingle-sets")
-    sets = both.where(F.col("n").isNotNull()).select("row", "doc_id", "n", "sid")
-    keyed = both.where(F.col("key").isNotNull()).select("key", "sid")
-    # a table of its own, so that the join's sides are plain exchanges, of which Spark can split a hot key
-    shared = written(keyed.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("key", "lo"), "shared-parts")
-    blocks = components(keyed.join(shared, "key").where("sid <> lo").select(F.col("sid").alias("a"), F.col("lo").alias("b")).distinct())
-    discard(shared)
+        classes, sent = SizeClasses(percent), set()
+        heavy = np.unpackbits(known.value, bitorder="little").astype(bool)
+
+        def keyed() -> Iterator[tuple[np.ndarray, int]]:
+            for batch in batches:
+                for tokens in shingle_sets(batch.column(0), words):
+                    sid = set_id(tokens)
+                    if len(tokens) and sid not in sent:
+                        sent.add(sid)
+                        yield part_keys(tokens, classes, heavy), sid & (1 << OWNER_BITS) - 1
+
+        yield from key_batches(keyed(), bits)
+
+    dealt = texts.select("text").mapInArrow(keys, "part int, counts binary, keys binary, owners binary")
+    dealt = dealt.repartition(max(partitions_of(spark), 1 << bits >> 2), "part").sortWithinPartitions("part")
+    blocks = components(dealt.mapInArrow(shared_keys, "a long, b long").distinct())
 
     one = sets.where("n > 0").groupBy("sid").agg(F.min("row").alias("row"), F.first("n").alias("n"))
-    members = one.join(blocks.withColumnRenamed("node", "sid"), "sid")
+    members = one.withColumn("node", F.col("sid").bitwiseAND(F.lit((1 << OWNER_BITS) - 1))).join(blocks, "node")
     pieces = members.groupBy("component").agg(F.ceil(F.sum("n") / F.lit(PIECE_TOKENS)).cast("int").alias("pieces"))
     members = written(members.join(pieces, "component").select("row", "sid", F.col("component").alias("block"), "pieces", F.pmod(F.xxhash64("sid"), F.col("pieces")).cast("int").alias("piece")), "blocks")
     dealt = matching(texts, members).join(members, "row").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))

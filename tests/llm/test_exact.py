@@ -3,10 +3,11 @@
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from khata.llm import jaccard, line_dedup, sightings, suffix_dedup
+from khata.llm import common, jaccard, line_dedup, sightings, suffix_dedup
 from khata.llm.links import components
 
 from . import helpers as H
@@ -136,6 +137,44 @@ def test_part_keys_leave_no_link_out():
             assert set(jaccard.part_keys(x, classes, heavy).tolist()) & set(jaccard.part_keys(y, classes, heavy).tolist())
 
 
+def test_shared_keys_meet_whatever_their_number(monkeypatch):
+    """Keys of many sets, dealt in several rows for each part, with keys that one task has twice: ten bytes a key, and all owners meet."""
+    monkeypatch.setattr(jaccard, "KEYS_HELD", 3000)
+    rng = np.random.default_rng(8)
+    known = rng.integers(0, 1 << 64, 500, dtype=np.uint64)
+    sets = [(np.concatenate([rng.integers(0, 1 << 64, 200, dtype=np.uint64), rng.choice(known, 5, replace=False)]), int(rng.integers(0, 1 << jaccard.OWNER_BITS))) for _ in range(120)]
+    sets += [(x, owner) for x, owner in sets[:3]] + [(np.zeros(0, np.uint64), 1)]
+    found = [row for b in jaccard.key_batches(sets, 4) for row in b.to_pylist()]
+    assert sum(len(r["keys"]) + len(r["owners"]) for r in found) == 10 * sum(len(x) for x, _ in sets)
+    parts = pa.RecordBatch.from_pylist(sorted(found, key=lambda r: r["part"]))
+    got = {tuple(r.values()) for b in jaccard.shared_keys(iter([parts.slice(0, 20), parts.slice(20)])) for r in b.to_pylist()}
+    owners = {}
+    for keys, owner in sets:
+        for key in keys.tolist():
+            owners.setdefault(key >> 16, set()).add(owner)
+    assert got == {(o, min(g)) for g in owners.values() for o in g if o != min(g)} and len(got) > 100
+    assert [jaccard.key_part_bits(n, p) for n, p in ((0, 1), (100, 8), (1 << 21, 1), (10**9, 1), (10**15, 600))] == [2, 5, 2, 9, 16]
+
+
+def test_keys_seen_once_are_not_written(spark, monkeypatch):
+    """However small a filter would be for so many keys: scratch tables have a row for each document and each counter piece, none for a key."""
+    monkeypatch.setattr(sightings, "MOST_BITS", 12)
+    monkeypatch.setattr(sightings, "PART_BITS", 12)
+    sizes = {}
+
+    def written(df, label):
+        out = common.written(df, label)
+        sizes[label] = sizes.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "written", written)
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(map(str, rng.integers(0, 10**9, 400)))) for i in range(60)] + [(60, "a b c d e f"), (61, "a b c d e f g"), (62, "x y z")]
+    groups = jaccard.near_groups(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 3, 75)
+    assert {r.doc_id: r.component_id for r in groups.collect()} == {i: 60 if i == 61 else i for i in range(63)}
+    assert sizes["shingle-sets"] == 63 + (1 << jaccard.COUNTER_BITS - jaccard.COUNTER_PART)
+
+
 def test_trees_join_what_pairs_join():
     rng = np.random.default_rng(3)
     base = np.unique(rng.integers(0, 1 << 63, 60, dtype=np.uint64))
