@@ -6,7 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, free_shuffles
 from ..functions.common import (
     first_filled, first_nonzero, money, zero_if_null,
 )
@@ -18,6 +18,8 @@ from .assign import assign_in_parts
 
 BOOK_STATUSES = ("matched", "mismatch", "missing_in_2b")
 STATUSES = (*BOOK_STATUSES, "not_in_books")
+HEAD = ["supplier_inv", "gst_no", "party_ac_name", "invoice_date", "particulars"]
+AMOUNTS = ["amount", "cgst", "sgst", "igst", "total_amount"]
 RECORD = ["inv_no", "gstin", "inv_date", "taxable_val", "igst", "cgst", "sgst", "total_val"]
 
 
@@ -57,13 +59,14 @@ def normalise_books(items: DataFrame) -> DataFrame:
 
 
 def books_by_invoice(books: DataFrame) -> DataFrame:
-    """Normalised lines summed per key, with the head of the first line."""
-    head = F.struct("supplier_inv", "gst_no", "party_ac_name", "invoice_date", "particulars")
+    """Normalised lines summed per key, with the head of the first line; of amounts and head as much as the lines carry."""
+    head = F.struct(*[c for c in HEAD if c in books.columns])
+    sums = [c for c in AMOUNTS if c in books.columns]
     return books.groupBy("norm_key").agg(
-        *[money(F.sum(c)).alias(c) for c in ("amount", "cgst", "sgst", "igst", "total_amount")],
+        *[money(F.sum(c)).alias(c) for c in sums],
         F.count(F.lit(1)).alias("n_lines"), F.min_by(head, "seq").alias("head"),
         F.min("seq").alias("first_seq"),
-    ).select("norm_key", "amount", "cgst", "sgst", "igst", "total_amount", "n_lines", "head.*", "first_seq")
+    ).select("norm_key", *sums, "n_lines", "head.*", "first_seq")
 
 
 def parse_statement(raw: DataFrame) -> DataFrame:
@@ -135,18 +138,19 @@ def exact_matches(invoices: DataFrame, statement: DataFrame) -> DataFrame:
     return invoices.join(first_per_key(statement), "norm_key").withColumn("fuzzy_matched", F.lit(False))
 
 
-def _tokens(number: Column, whole: str, parts: str) -> Column:
+def _tokens(number: Column, whole: str, parts: str, lengths: Column) -> Column:
     """Keys that meet whenever one number contains the other or the bare numbers agree.
 
-    A number longer than any piece is looked for by its end.
+    A number longer than any piece is looked for by its end. Only pieces as long as a number of the other side (``lengths``) can meet one.
     """
     bare = F.ltrim(number, F.lit("0"))
+    pieces = F.filter(substrings(number), lambda s: F.array_contains(lengths, F.length(s)))
     return F.array_compact(F.concat(
         F.array(
             F.when(F.length(number) >= FUZZY_MIN_OVERLAP, F.concat(F.lit(f"{whole}:"), F.right(number, F.lit(LONGEST_PIECE)))),
             F.when(bare != "", F.concat(F.lit("0:"), bare)),
         ),
-        F.transform(substrings(number), lambda s: F.concat(F.lit(f"{parts}:"), s)),
+        F.transform(pieces, lambda s: F.concat(F.lit(f"{parts}:"), s)),
     ))
 
 
@@ -154,8 +158,8 @@ def fuzzy_pairs(invoices: DataFrame, statement: DataFrame) -> DataFrame:
     """Pairs left after the exact pass: same GSTIN, related numbers, totals within tolerance.
 
     Both sides are blocked on (GSTIN, amount band) and then meet on an equal token: a number, or
-    a substring of the other side's number. An invoice number has few substrings, so the pairs grow
-    with the rows even where one GSTIN (or none) holds most of them.
+    a substring of the other side's number, of a length that numbers have on that side of the block. An invoice number
+    has few substrings, so the pairs grow with the rows even where one GSTIN (or none) holds most of them.
     """
     width = 2 * TOL_2B_MATCH
     number = F.split_part(F.col("norm_key"), F.lit("||"), F.lit(2))
@@ -171,10 +175,15 @@ def fuzzy_pairs(invoices: DataFrame, statement: DataFrame) -> DataFrame:
         F.col("total_val").alias("rec_total"), F.floor(F.col("total_val") / width).alias("band"),
     )
     block = ["g", "band"]
-    left_kept = left.join(right.select(*block), block, "left_semi")
-    right_kept = right.join(left.select(*block), block, "left_semi")
-    meet = left_kept.withColumn("token", F.explode(_tokens(F.col("book_inv"), "w", "p"))).join(
-        right_kept.withColumn("token", F.explode(_tokens(F.col("rec_inv"), "p", "w"))),
+
+    def lengths(rows: DataFrame, number: str) -> DataFrame:
+        """The blocks of a side, and how long its numbers are there, as tokens."""
+        return rows.groupBy(*block).agg(F.collect_set(F.least(F.length(number), F.lit(LONGEST_PIECE))).alias("lengths"))
+
+    left_kept = left.join(lengths(right, "rec_inv"), block)
+    right_kept = right.join(lengths(left, "book_inv"), block)
+    meet = left_kept.withColumn("token", F.explode(_tokens(F.col("book_inv"), "w", "p", F.col("lengths")))).drop("lengths").join(
+        right_kept.withColumn("token", F.explode(_tokens(F.col("rec_inv"), "p", "w", F.col("lengths")))).drop("lengths"),
         [*block, "token"],
     )
     ok = (F.abs(F.col("book_total") - F.col("rec_total")) <= TOL_2B_MATCH) & fuzzy_same_number(
@@ -182,9 +191,17 @@ def fuzzy_pairs(invoices: DataFrame, statement: DataFrame) -> DataFrame:
     return meet.filter(ok).select("book_key", "book_seq", "rec_seq", "g").dropDuplicates(["book_key", "rec_seq"])
 
 
+def _settled(rows: DataFrame) -> DataFrame:
+    """The rows written once, without the shuffles that made them: those of one step aren't kept beside those of the next."""
+    out = cut_lineage(rows)
+    del rows
+    free_shuffles(out.sparkSession)
+    return out
+
+
 def fuzzy_matches(invoices: DataFrame, statement: DataFrame) -> DataFrame:
     """One-to-one fuzzy matches, books in arrival order, each statement record used once."""
-    pairs = cut_lineage(fuzzy_pairs(invoices, statement))
+    pairs = _settled(fuzzy_pairs(invoices, statement))
     chosen = assign_in_parts(pairs, "book_seq", "rec_seq", within=("g",))
     records = statement.select(F.col("seq").alias("rec_seq"), F.struct(*RECORD).alias("rec"))
     return (
@@ -203,14 +220,19 @@ class Reconciliation:
         self._fuzzy: DataFrame | None = None
 
     @cached_property
+    def unmatched_lines(self) -> DataFrame:
+        """Lines of the invoices the exact pass left over; few, used several times, so written once."""
+        return _settled(self.books.join(self.statement.select("norm_key"), "norm_key", "left_anti"))
+
+    @property
     def unmatched(self) -> DataFrame:
-        """Invoices the exact pass left over; few, used several times, so written once."""
-        return cut_lineage(self.invoices.join(self.statement.select("norm_key"), "norm_key", "left_anti"))
+        """Invoices the exact pass left over."""
+        return books_by_invoice(self.unmatched_lines)
 
     @cached_property
     def remaining(self) -> DataFrame:
         """Statement records whose key is not in the books, written once for the same reason."""
-        return cut_lineage(self.statement.join(self.books.select("norm_key"), "norm_key", "left_anti"))
+        return _settled(self.statement.join(self.books.select("norm_key"), "norm_key", "left_anti"))
 
     @property
     def fuzzy(self) -> DataFrame:
@@ -244,6 +266,12 @@ class Reconciliation:
     def missing(self) -> DataFrame:
         return self.unmatched.join(self.fuzzy.select("norm_key"), "norm_key", "left_anti")
 
+    @property
+    def missing_lines(self) -> DataFrame:
+        """The missing_in_2b part of ``rows``, from what the exact pass left over: the books aren't read and joined again."""
+        left = self.unmatched_lines.join(self.fuzzy.select("norm_key"), "norm_key", "left_anti")
+        return left.withColumn("recon_status", F.lit("missing_in_2b"))
+
     @property
     def extra(self) -> DataFrame:
         """Statement records no invoice used; copies of a fuzzily used record stay."""

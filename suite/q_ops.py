@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from khata.functions.common import money
 from khata.functions.dates import fiscal_month_index, last_periods, period_folder, voucher_to_iso, iso_to_voucher
 from khata.functions.score import call_cost_inr, composite_quality, priority_score
-from khata.operators import filing, golden, gstr1, ledger, metrics, state, views
+from khata.operators import filing, golden, gstr1, gstr2b, ledger, metrics, state, views
 from khata.session import cut_lineage
 from khata.sources import inventory, tables as source
 
 from .q_gstr2b import reconciliation
 from .registry import query
-from .tables import FIRM_GSTIN, FIRM_STATE, purchase_lines, read, sales_lines
+from .tables import FIRM_GSTIN, FIRM_STATE, purchase_lines, read, sales_lines, statement_2b
 from .util import d
 
 _KIND = {"view": "extraction_quality_score", "purchase": "file_metrics", "error": "system_flag",
@@ -279,9 +279,16 @@ def gap_annotation(spark, sf):
     return state.annotate_rows(rows).groupBy("recon_status", "client_action").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _slim(spark, sf):
+    """The reconciliation of books without the columns that no trigger needs, which are then neither joined nor shuffled."""
+    books = gstr2b.normalise_books(purchase_lines(spark, sf, part=False))
+    return gstr2b.Reconciliation(books.select("seq", "norm_key", "gst_no", "supplier_inv", "amount", "total_amount"),
+                                 statement_2b(spark, sf).select(*gstr2b.RECORD, "norm_key", "seq"))
+
+
 def _gaps(spark, sf):
-    r = reconciliation(spark, sf)
-    rows = r.rows.unionByName(
+    r = _slim(spark, sf)
+    rows = r.missing_lines.unionByName(
         r.extra.withColumn("in_drive", F.lit("No")).withColumn("seq", F.struct(
             *[F.lit(None).cast(t).alias(n) for n, t in
               (("l_orderkey", "bigint"), ("l_linenumber", "int"), ("l_extendedprice", "double"), ("l_partkey", "bigint"))])),
@@ -291,7 +298,7 @@ def _gaps(spark, sf):
 
 def _old_state(spark, sf):
     """State of an earlier run: every third missing invoice is known, and so are vanished ones."""
-    inv = reconciliation(spark, sf).invoices
+    inv = _slim(spark, sf).invoices
     mod = F.substring("supplier_inv", 4, 7).cast("bigint") % 3
     rows = inv.filter((F.col("gst_no") != "") & (mod < 2)).select(
         F.lit("T1").alias("tenant_id"), F.lit(FIRM_GSTIN).alias("registration_gstin"),

@@ -120,3 +120,31 @@ def test_statement_shapes(spark, tmp_path):
     assert got == [("29AAA", "A/1", 100.0, 18.0, 118.0, "29AAA||A1"), ("G2", "B1", 50.0, 0.0, 50.0, "G2||B1"), ("G3", "C1", 10.0, 0.0, 11.8, "G3||C1")]
     assert rows(gstr2b.recipient_gstin(raw), "recipient_gstin") == [("29BBBBB0000B1Z5",), (None,), (None,)]
     assert "statement_id string" in schemas.GSTR2B_STATEMENT
+
+
+def test_missing_lines_are_the_missing_part_of_all_rows(spark):
+    """From slim books too, and with lines of one key that are spelled differently."""
+    b = books(spark, [(G, "A/100", 10), (G, "a-100", 20), (G, "SI2024001", 100), (G, "B7", 5), (None, None, 3), (G, "B 7", 6)])
+    s = statement(spark, [(G, "2024001", 101), (G, "B7", 500)])
+    columns = ("supplier_inv", "gst_no", "recon_status", "seq", F.col("total_amount").cast("double"))
+    slim = b.select("seq", "norm_key", "gst_no", "supplier_inv", "amount", "total_amount")
+    wanted = rows(gstr2b.Reconciliation(b, s).rows.where("recon_status = 'missing_in_2b'"), *columns)
+    assert [w[0] for w in wanted] == ["", "A/100", "a-100"]
+    for given in (b, slim):
+        r = gstr2b.Reconciliation(given, s)
+        assert rows(r.missing_lines, *columns) == wanted
+        assert rows(r.extra, "supplier_inv") == []
+    assert gstr2b.books_by_invoice(slim).columns == ["norm_key", "amount", "total_amount", "n_lines", "supplier_inv", "gst_no", "first_seq"]
+
+
+def test_only_pieces_that_can_meet_are_made(spark):
+    number, lengths = F.lit("PI0000123456"), F.array(F.lit(11))
+    made = spark.range(1).select(gstr2b._tokens(number, "w", "p", lengths).alias("t")).first().t
+    assert sorted(made) == ["0:PI0000123456", "p:I0000123456", "p:PI000012345", "w:PI0000123456"]
+
+
+def test_trigger_gaps_do_not_read_the_books_again(spark):
+    from suite import q_ops
+
+    gaps = q_ops._gaps(spark, "/root/testdata/sf0.001")
+    assert not [f for f in gaps.inputFiles() if "lineitem" in f or "orders" in f]
